@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fallline.llm import byte_bpe, token_store, warc
+from fallline.llm import byte_bpe, importance, lm_score, quality_rules, token_store, warc
 from fallline.runtime import scratch
 
 
@@ -20,6 +20,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read_tokens(spark, path))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -31,6 +37,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    target, background = lm_score.models(docs, _table(spark, sf_dir, "labels"))
+    return lm_score.score(docs, target, background)
+
+
 OP8_SQL = """
 WITH p AS (
     SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
@@ -48,7 +64,7 @@ FROM q
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op5_byte_bpe, op8_warc)}
+    return {f.__name__: f for f in (op2_token_store, op4_quality_rules, op5_byte_bpe, op8_warc, op9_quality_classifier, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
