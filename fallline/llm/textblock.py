@@ -45,8 +45,8 @@ class Block:
         return len(self.offsets) - 1
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a string column into blocks; a null counts as the empty text."""
+def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES, rows: int = 1 << 30) -> Iterator[Block]:
+    """Cut a string column into blocks of at most ``rows`` texts; a null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -58,7 +58,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iter
     first = 0
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), len(column))
+        last = min(max(last, first + 1), first + rows, len(column))
         begin, end = offsets[first], offsets[last]
         yield Block(first, data[begin:end], offsets[first : last + 1] - begin)
         first = last
