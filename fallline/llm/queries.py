@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fallline.llm import byte_bpe, importance, jaccard_join, lm_score, quality_rules, token_store, warc
+from fallline.llm import byte_bpe, decontaminate, importance, jaccard_join, lm_score, quality_rules, token_store, warc
 from fallline.runtime import scratch
 
 
@@ -30,6 +30,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents"), size=3, percent=90)
     return classes.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
@@ -69,7 +73,7 @@ FROM q
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op4_quality_rules, op5_byte_bpe, op7_jaccard_join, op8_warc, op9_quality_classifier, op10_lm_score)}
+    return {f.__name__: f for f in (op2_token_store, op4_quality_rules, op5_byte_bpe, op6_decontaminate, op7_jaccard_join, op8_warc, op9_quality_classifier, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
