@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fallline.llm.rows import per_batch
-from fallline.llm.textblock import LOWER, Block, blocks, gram_hashes, ranges, slice_hashes, words
+from fallline.llm.textblock import LOWER, Block, blocks, distinct_sorted, gram_hashes, ranges, slice_hashes, words
 from fallline.runtime import fresh
 
 SEGMENT, STRIDE = 40, 32
@@ -173,7 +173,7 @@ def find(block: Block, index: Index) -> list[tuple[int, int, float, float, float
         for some in np.array_split(alive, -(-len(alive) // 4096)) if len(alive) else ():
             size = end[some] - begin[some]
             # Each passage's distinct known words, passage after passage.
-            pair = np.unique(np.repeat(np.arange(len(some)), size) * len(index.term) + code[ranges(begin[some], size)])
+            pair = distinct_sorted(np.repeat(np.arange(len(some)), size) * len(index.term) + code[ranges(begin[some], size)])
             passage, term = pair // len(index.term), pair % len(index.term)
             first = np.searchsorted(passage, np.arange(len(some) + 1))
             limits = np.add.reduceat(index.block_max[:, s * SUPERBLOCK // BLOCK : (s + 1) * SUPERBLOCK // BLOCK][term], first[:-1], axis=0, dtype=np.float64)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from fallline.components import connected_components
 from fallline.llm.rows import per_partition
-from fallline.llm.textblock import LOWER, Block, blocks, gram_hashes, mix, slice_hashes, words
+from fallline.llm.textblock import LOWER, Block, blocks, distinct_sorted, gram_hashes, mix, slice_hashes, words
 from fallline.runtime import broadcast_if_small, cut
 
 #: Sets in a block; a task compares two blocks at most.
@@ -71,7 +71,7 @@ def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
         if len(short):
             docs.append(short)
             found.append(mix(gram_hashes(word, n)[w.first[short]] ^ _U(n)))
-    key = np.unique(np.concatenate(docs).astype(_U) << _U(_SHINGLE_BITS) | np.concatenate(found) >> _U(64 - _SHINGLE_BITS))
+    key = distinct_sorted(np.concatenate(docs).astype(_U) << _U(_SHINGLE_BITS) | np.concatenate(found) >> _U(64 - _SHINGLE_BITS))
     bounds = np.searchsorted(key, np.arange(len(block) + 1, dtype=_U) << _U(_SHINGLE_BITS))
     return key & _U((1 << _SHINGLE_BITS) - 1), bounds
 

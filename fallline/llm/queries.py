@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fallline.llm import byte_bpe, decontaminate, importance, jaccard_join, lm_score, quality_rules, token_store, warc
+from fallline.llm import byte_bpe, decontaminate, importance, jaccard_join, lm_score, quality_rules, token_store, warc, wrapper
 from fallline.runtime import scratch
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -73,7 +77,7 @@ FROM q
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op4_quality_rules, op5_byte_bpe, op6_decontaminate, op7_jaccard_join, op8_warc, op9_quality_classifier, op10_lm_score)}
+    return {f.__name__: f for f in (op1_wrapper, op2_token_store, op4_quality_rules, op5_byte_bpe, op6_decontaminate, op7_jaccard_join, op8_warc, op9_quality_classifier, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:

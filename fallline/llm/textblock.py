@@ -159,3 +159,9 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     total = int(length.sum())
     before = np.cumsum(length) - length
     return np.repeat(start - before, length) + np.arange(total)
+
+
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by one sort."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
