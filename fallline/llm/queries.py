@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fallline.llm import byte_bpe, decontaminate, importance, jaccard_join, lm_score, quality_rules, token_store, warc, wrapper
+from fallline.llm import byte_bpe, decontaminate, importance, jaccard_join, license_scan, lm_score, quality_rules, token_store, warc, wrapper
 from fallline.runtime import scratch
 
 
@@ -24,6 +24,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read_tokens(spark, path))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
@@ -77,7 +81,7 @@ FROM q
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_wrapper, op2_token_store, op4_quality_rules, op5_byte_bpe, op6_decontaminate, op7_jaccard_join, op8_warc, op9_quality_classifier, op10_lm_score)}
+    return {f.__name__: f for f in (op1_wrapper, op2_token_store, op3_license_scan, op4_quality_rules, op5_byte_bpe, op6_decontaminate, op7_jaccard_join, op8_warc, op9_quality_classifier, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
