@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from fallline.llm.rows import per_batch
+from fallline.llm.rows import per_batch, per_partition
 from fallline.llm.textblock import Block, binary_array, blocks, ranges
 
 # Symbols: what one code point means to the automaton, looking one or two code points ahead.
@@ -272,23 +272,23 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(load_ranks(path))
 
 
-def encode(df: DataFrame, ranks_path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, *, key: str = "doc_id", text: str = "text", verify: bool = False) -> DataFrame:
     """key and ids (array of int) of every text.  ``ranks_path`` is read on the executors, where the
-    vocabulary package is installed like the other libraries."""
+    vocabulary package is installed like the other libraries.  ``verify`` decodes the ids again and fails
+    where the bytes differ."""
 
-    def run(batch: pa.RecordBatch) -> dict:
-        vocab, values, ends = vocabulary(ranks_path), [], [np.zeros(1, np.int64)]
-        base = 0
-        for block in blocks(batch.column("text")):
-            ids, offsets = vocab.encode(block)
-            values.append(ids.astype(np.int32))
-            ends.append(offsets[1:] + base)
-            base += len(ids)
-        values = np.concatenate(values) if values else np.empty(0, np.int32)
-        return {"key": batch.column("key"), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(values, pa.int32()))}
+    def run(batches):
+        vocab = vocabulary(ranks_path)
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                ids, offsets = vocab.encode(block)
+                if verify and not np.array_equal(vocab.decode(ids)[0], block.data):
+                    raise ValueError("decoded bytes differ from the text")
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                yield {"key": batch.column("key").slice(block.first, len(block)), "ids": lists}
 
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    out = per_batch(rows, run, f"key {df.schema[key].dataType.simpleString()}, ids array<int>")
+    out = per_partition(rows, run, f"key {df.schema[key].dataType.simpleString()}, ids array<int>")
     return out.withColumnRenamed("key", key)
 
 

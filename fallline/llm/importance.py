@@ -12,7 +12,7 @@ of documents whose weight passes a threshold fitted on the labelled documents, s
 however many there are.
 
 Defined results for odd input: null and empty texts have no words and weight 0; a null
-key gets noise from the hash of its text; repeated rows get equal weights and equal noise; ties at the
+key gets its noise from its weight; repeated rows get equal weights and equal noise; ties at the
 k-th place are all kept; without labels, or with one kind of label only, every document is kept; an
 empty table gives an empty table.
 """
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,9 +121,9 @@ def threshold(weighed: DataFrame, labels: DataFrame, *, key: str = "doc_id") ->
     return -np.inf if gain[best] <= 0 else (int(got["bin"].iloc[best]) + 1) / 8
 
 
-def gumbel_key(weight, key, text_hash) -> F.Column:
-    """Log weight plus Gumbel noise that depends on the seed and the document alone."""
-    h = F.xxhash64(F.lit(SEED), F.coalesce(key.cast("string"), text_hash.cast("string")))
+def gumbel_key(weight: Column, key: Column, instead: Column) -> Column:
+    """Log weight plus Gumbel noise that depends on the seed and the key alone (``instead`` for a null key)."""
+    h = F.xxhash64(F.lit(SEED), F.coalesce(key.cast("string"), instead.cast("string")))
     uniform = (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / F.lit(float(1 << 52))
     return weight - F.log(-F.log(uniform))
 
@@ -161,16 +161,34 @@ def _ordered_bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array(o.view(np.int64))], ["o"])
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, log_weight, sample_key and kept for every row of ``docs``."""
-    weighed = weigh(docs, fit(docs, labels, key=key, text=text), key=key, text=text, keep=(key, text))
-    key_name, _, n_name, w_name = fresh(docs.select(key, text), "key", "text", "n_words", "log_weight")
-    scores = weighed.select(
-        F.col(key_name).alias("key"), F.col(n_name).alias("n_words"), F.col(w_name).alias("log_weight"),
-        gumbel_key(F.col(w_name), F.col(key_name), F.xxhash64(F.coalesce(weighed[text], F.lit("")))).alias("sample_key"),
-    )
-    scores = cut(scores, "weights")
+def _noisy(key: str, n_words: str, log_weight: str) -> Column:
+    return gumbel_key(F.col(log_weight), F.col(key).cast("string"), F.xxhash64(log_weight, n_words))
+
+
+def _draw(docs: DataFrame, ratios: Ratios, labels: DataFrame, key: str, text: str) -> tuple[DataFrame, float]:
+    """(key, n_words, log_weight and sample_key of every row; the sample key of the last row drawn)."""
+    weighed = weigh(docs, ratios, key=key, text=text)
+    scores = cut(weighed.withColumn("sample_key", _noisy("key", "n_words", "log_weight")), "weights")
     limit = threshold(scores, labels, key=key)
     k = scores.filter(F.col("log_weight") >= F.lit(float(limit))).count()
-    last = kth_largest(scores, "sample_key", k)
-    return scores.withColumn("kept", F.col("sample_key") >= F.lit(float(last))).withColumnRenamed("key", key)
+    return scores, float(kth_largest(scores, "sample_key", k))
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_words, log_weight, sample_key and kept of every row of ``docs``."""
+    scores, last = _draw(docs, fit(docs, labels, key=key, text=text), labels, key, text)
+    return scores.withColumn("kept", F.col("sample_key") >= F.lit(last)).withColumnRenamed("key", key)
+
+
+def drawn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are drawn, with all their columns.
+
+    Only a number a row is kept between the passes; the texts are read and weighed again rather than
+    written to disk in between.
+    """
+    columns = docs.columns
+    ratios = fit(docs, labels, key=key, text=text)
+    _, last = _draw(docs, ratios, labels, key, text)
+    key_name, _, n_name, w_name = fresh(docs, "key", "text", "n_words", "log_weight")
+    whole = weigh(docs, ratios, key=key, text=text, keep=tuple(columns))
+    return whole.filter(_noisy(key_name, n_name, w_name) >= F.lit(last)).select(*columns)
