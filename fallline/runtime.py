@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 PACKAGE = Path(__file__).resolve().parent
 
 #: Largest table, in rows, that :func:`broadcast_if_small` hands to every executor.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def ship(spark: SparkSession) -> None:
