@@ -28,12 +28,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fallline.llm.rows import per_partition
-from fallline.llm.textblock import Block, binary_array, blocks, ranges, words
+from fallline.llm.textblock import IS_SPACE, LOWER, Block, binary_array, blocks, ranges
+from fallline.runtime import broadcast_if_small
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+#: Parts words that are encoded together.
+MARK = "\x01"
+#: Bytes of text that are encoded together: more repeat more words.
+TEXT_BYTES = 4 << 20
 
 
 def splits_at_space(tokenizer_json: str) -> bool:
@@ -44,6 +49,31 @@ def splits_at_space(tokenizer_json: str) -> bool:
     return normal == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed" and bool(first.get("invert"))
 
 
+_CLASS = np.full(256, 4, dtype=np.uint8)  # anything else
+_CLASS[[c for c in range(256) if chr(c).isascii() and chr(c).isalpha()]] = 1
+_CLASS[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = 2  # no apostrophe: it can begin a suffix
+_CLASS[IS_SPACE] = 0
+
+
+def units(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes without white space, bounds of the units in them, number of units before each text).
+
+    Units are words, cut further where an ASCII letter and an ASCII punctuation mark meet: there the tokenizer
+    cuts too, and cut units repeat far more often than words.
+    """
+    kind = _CLASS[block.data]
+    solid = kind != 0
+    begins = solid.copy()
+    if len(kind):
+        begins[1:] &= ~solid[:-1] | ((kind[1:] ^ kind[:-1]) == 3)
+        inner = block.offsets[1:-1]
+        inner = inner[inner < len(kind)]
+        begins[inner] = solid[inner]
+    before = np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])
+    start = np.flatnonzero(begins)
+    return block.data[solid], np.append(before[start], before[-1]), np.searchsorted(start, block.offsets)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
@@ -54,7 +84,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
         self.by_word = splits_at_space(spec)
-        self.cache: dict[bytes, list[int]] = {}
+        self._forget()
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _forget(self) -> None:
+        self.slot: dict[bytes, int] = {}  # word -> its place in the next two
+        self.first = self.size = np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode words and keep their ids.  Many words go through the tokenizer as one text, parted by a mark that
+        is a token of its own; words that hold the mark go alone."""
+        together = [] if self.mark is None else [w for w in new if MARK.encode() not in w]
+        alone = new if self.mark is None else [w for w in new if MARK.encode() in w]
+        sizes, flat = [], []
+        texts = [f" {MARK} ".join(w.decode() for w in together[i : i + 1000]) for i in range(0, len(together), 1000)]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, np.int32)
+            marks = np.flatnonzero(ids == self.mark)
+            sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+            flat.append(np.delete(ids, marks))
+        for e in self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False):
+            sizes.append(np.array([len(e.ids)]))
+            flat.append(np.array(e.ids, np.int32))
+        size = np.concatenate(sizes)
+        base, known = len(self.ids), len(self.size)
+        self.slot.update(zip(together + alone, range(known, known + len(size))))
+        self.first = np.concatenate([self.first, base + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *flat])
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text's ids)."""
@@ -66,25 +125,22 @@ class Encoder:
         return np.fromiter((i for ids in found for i in ids), np.int64, int(offsets[-1])), offsets
 
     def _encode_words(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        w = words(block)
-        if not len(w.start):
+        # The tokenizer lower-cases, so A-Z need not be kept apart here.
+        data, bounds, first = units(Block(block.first, LOWER[block.data], block.offsets))
+        if len(bounds) == 1:
             return np.empty(0, np.int64), np.zeros(len(block) + 1, np.int64)
-        size = w.end - w.start
-        coded = binary_array(block.data[ranges(w.start, size)], np.concatenate([[0], np.cumsum(size)])).dictionary_encode()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, distinct = self.cache, coded.dictionary.to_pylist()
-        new = [word for word in distinct if word not in cache]
+        coded = binary_array(data, bounds).dictionary_encode()
+        if len(self.slot) > CACHE_WORDS:
+            self._forget()
+        distinct = coded.dictionary.to_pylist()
+        new = [word for word in distinct if word not in self.slot]
         if new:
-            got = self.tokenizer.encode_batch_fast([word.decode() for word in new], add_special_tokens=False)
-            cache.update(zip(new, (e.ids for e in got)))
-        found = [cache[word] for word in distinct]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum()))
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        length = sizes[index]
-        ids = flat[ranges((np.cumsum(sizes) - sizes)[index], length)]
-        return ids, np.concatenate([[0], np.cumsum(length)])[w.first]
+            self._learn(new)
+        slot = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
+        index = slot[coded.indices.to_numpy(zero_copy_only=False)]
+        length = self.size[index]
+        ids = self.ids[ranges(self.first[index], length)]
+        return ids, np.concatenate([[0], np.cumsum(length)])[first]
 
 
 @lru_cache(2)
@@ -104,7 +160,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int
         for batch in batches:
             enc = encoder(tokenizer_path)
             first = 0
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), TEXT_BYTES):
                 ids, offsets = enc.encode(block)
                 n = len(block)
                 ends = offsets[1:] + np.arange(1, n + 1)  # each text has one id more
@@ -154,7 +210,7 @@ def read_tokens(spark: SparkSession, path: str, *, low: int | None = None, high:
     if high is not None:
         wanted = wanted.filter(F.col(key) <= high)
     wanted = wanted.withColumn("file", F.col("_metadata.file_name"))
-    return wanted.join(before, "file").select(key, (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    return wanted.join(broadcast_if_small(before), "file").select(key, (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame, *, key: str = "doc_id") -> DataFrame:
