@@ -7,7 +7,7 @@ corpus.  The join therefore has two levels.
 *Families.*  The empty set is the first pivot: distances to it order documents by size, and a document
 can only match within a window of sizes.  Within a size class every document with fewer than H differing
 shingles from another agrees with it exactly on some part of a hash partition of all shingles into more
-than H parts (pigeonhole).  Documents that agree on a part get an edge; the connected components of these
+than H parts (pigeonhole); shingles that many documents share are left out of the parts.  Documents that agree on a part get an edge; the connected components of these
 edges are families.  Every linked pair lies in one family, and between families no pair is compared.
 
 *Regions.*  A family of up to ``BLOCK`` sets is joined directly.  A larger one gets pivots; each member's
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from fallline.components import connected_components
 from fallline.llm.rows import per_partition
-from fallline.llm.textblock import LOWER, Block, blocks, distinct_sorted, gram_hashes, mix, slice_hashes, words
+from fallline.llm.textblock import LOWER, Block, blocks, distinct_sorted, gram_hashes, mix, ranges, slice_hashes, words
 from fallline.runtime import broadcast_if_small, cut
 
 #: Sets in a block; a task compares two blocks at most.
@@ -48,6 +48,9 @@ PIVOTS = 4
 TEXTS = 4096
 #: Growth of the size classes, and parts beyond the number of differences that a class allows.
 GROWTH, SLACK = 1.5, 1.25
+#: Shingles in this share of all documents, and in HOT_LEAST at least, are left out of the parts; HOT_MOST of
+#: them are kept on every worker.
+HOT_SHARE, HOT_LEAST, HOT_MOST = 0.0005, 64, 65_536
 #: Signatures that a map task gathers before it pre-aggregates and sends them.
 GATHER = 2_000_000
 
@@ -104,34 +107,41 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[:-1], differ, parts
 
 
-def signatures(shingles: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) pairs such that texts whose sets link share a signature.
+def signatures(shingles: np.ndarray, bounds: np.ndarray, percent: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) pairs such that texts whose sets differ and link share a signature.
 
     A text appears in its own size class and in the next ones that a set of its size can still match.
-    A non-empty part is hashed whole.  Where fewer parts are non-empty than differences are allowed the
-    pigeonhole fails; such texts also give the shortest prefix (in hash order) of which two linked sets
-    must share a shingle.  That finds pairs of such texts; in other pairs one text has parts enough.
+    Shingles in ``hot`` (sorted) are left out of the parts: what remains of two sets differs no more than
+    the sets do, and texts that share nothing but a common passage do not meet.  A non-empty part is hashed
+    whole.  Where no more parts are non-empty than differences are allowed the pigeonhole fails; such texts
+    also give the shortest prefix (in hash order, hot ones included) of which two linked sets must share a
+    shingle.  That finds pairs of such texts; in other pairs one text has parts enough.
     """
     low, differ, parts = size_classes(percent)
     size = np.diff(bounds)
     own = np.searchsorted(low, size, side="right") - 1
     texts, found, weak = [], [], np.zeros(len(size), dtype=bool)
+    whole, whole_bounds = shingles, bounds
+    if len(hot):
+        cold = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] != shingles
+        shingles, bounds = shingles[cold], np.concatenate([[0], np.cumsum(cold)])[bounds]
+    rest = np.diff(bounds)
     coded = mix(shingles + _U(29))
     for step in range(0, 64):
         k = own + step
         who = np.flatnonzero((size > 0) & (k < len(low)) & ((step == 0) | (100 * size >= percent * low[np.minimum(k, len(low) - 1)])))
         if not len(who):
             break
-        k = k[who]
-        length = size[who]
+        # Sets of a class that allows no difference link only if they are equal, and then they are one node.
+        who, k = who[differ[k[who]] > 0], k[who[differ[k[who]] > 0]]
+        if not len(who):
+            continue
+        length = rest[who]
         text = np.repeat(np.arange(len(who)), length)
-        if len(who) == len(size) and length.sum() == len(shingles):
-            mine, code = shingles, coded
-        else:
-            at = np.repeat(bounds[who] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            mine, code = shingles[at], coded[at]
+        at = ranges(bounds[who], length)
+        mine, code = shingles[at], coded[at]
         part = ((mine >> _U(_SHINGLE_BITS - 32)) * parts[k][text].astype(_U) >> _U(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (part[1:] != part[:-1])]))
+        first = np.flatnonzero(np.concatenate([[len(mine) > 0], (text[1:] != text[:-1]) | (part[1:] != part[:-1])])[: len(mine)])
         edge = np.append(first, len(mine))
         of, p = text[first], part[first]
         with np.errstate(over="ignore"):
@@ -141,7 +151,7 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[
         weak[who] |= np.bincount(of, minlength=len(who)) <= differ[k]
     for i in np.flatnonzero(weak & (size > 0)):
         n = int(size[i])
-        prefix = shingles[bounds[i] : bounds[i] + n + percent * n // -100 + 1]  # n - ceil(n p / 100) + 1
+        prefix = whole[whole_bounds[i] : whole_bounds[i] + n + percent * n // -100 + 1]  # n - ceil(n p / 100) + 1
         texts.append(np.full(len(prefix), i))
         found.append(mix(prefix + _U(0x5851F42D4C957F2D)))
     if not texts:
@@ -149,6 +159,44 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[
     return np.concatenate(texts), np.concatenate(found)
 
 
+def hot_shingles(docs: DataFrame, size: int, text: str) -> np.ndarray:
+    """Shingles that stand in HOT_SHARE of all documents, the HOT_MOST most frequent at most, sorted.
+
+    Every task counts its documents' shingles and sends those that are frequent among them, so a shingle
+    of twice the share is never missed.  The list only saves work: results are exact whatever it holds.
+    """
+
+    def run(batches):
+        held, texts, waiting = [], 0, 0
+
+        def send():
+            nonlocal texts, waiting
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= max(2, HOT_SHARE * texts)
+            value, n = value[often], n[often]
+            yield {"shingle": np.append(value.view(np.int64), -1), "n": np.append(n, texts)}
+            held.clear()
+            texts = waiting = 0
+
+        for batch in batches:
+            for block in blocks(batch.column("text"), rows=TEXTS):
+                shingles, _ = shingle_sets(block, size)
+                held.append(shingles)
+                texts += len(block)
+                waiting += len(shingles)
+                if waiting > 2 * GATHER:
+                    yield from send()
+        if held:
+            yield from send()
+
+    counts = per_partition(docs.select(docs[text].alias("text")), run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = cut(counts.filter(f"n >= {HOT_LEAST} OR shingle = -1"), "hot")
+    total = counts.filter("shingle = -1").first()
+    least = max(HOT_LEAST, HOT_SHARE * (total["n"] if total else 0))
+    rows = counts.filter((F.col("shingle") >= 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "shingle").limit(HOT_MOST).toArrow()
+    return np.sort(rows.column("shingle").to_numpy().astype(_U))
+
+
 def _agreeing(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first place of each distinct value with its smallest node first; edges from other nodes to that one)."""
     order = np.lexsort((node, value))
@@ -168,6 +216,7 @@ def _candidates(docs: DataFrame, size: int, percent: int, key: str, text: str) -
     kind = docs.schema[key].dataType
     rows = docs.select(docs[key].alias("doc"), docs[text].alias("text"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("text_hash"))
     doc_type = None
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, size, text))
 
     def nothing(n: int, dtype: pa.DataType) -> pa.Array:
         return pa.nulls(n, dtype)
@@ -201,7 +250,7 @@ def _candidates(docs: DataFrame, size: int, percent: int, key: str, text: str) -
                 one = np.flatnonzero(n > 0)[one]
                 which = np.zeros(m, bool)
                 which[one] = True
-                of, value = signatures(shingles, bounds, percent)
+                of, value = signatures(shingles, bounds, percent, hot.value)
                 chosen = which[of]
                 values.append(value[chosen])
                 nodes.append(node[of[chosen]])
