@@ -32,10 +32,12 @@ LETTER, NUMBER, OTHER, SUFFIX1, SUFFIX2, SPACE_BEFORE, BLANK_BEFORE, BLANK_RUN =
 # States: what has been read of the current piece.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_BLANKS, ONE_LEFT, TWO_LEFT = range(8)
 
-#: Pieces longer than this many bytes are merged with a heap and not kept in the cache.
+#: Pieces longer than this many bytes are merged with a heap.
 LONG_PIECE = 256
-#: Pieces that one worker keeps.
-CACHE_PIECES = 400_000
+#: Pieces, and bytes of pieces, that one worker keeps from block to block.
+CACHE_PIECES, CACHE_BYTES = 200_000, 16 << 20
+#: Bytes of text that are encoded together: more repeat more pieces.
+TEXT_BYTES = 2 << 20
 
 
 def _step(state: int, symbol: int) -> tuple[bool, int]:
@@ -172,7 +174,24 @@ class Vocabulary:
         self.tokens = pa.array(tokens, pa.large_binary())
         self.token_bytes = np.array([len(t) for t in tokens], dtype=np.int64)
         self.decimals = pa.array([b"%d " % i for i in range(size)], pa.large_binary())
-        self.cache: dict[bytes, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[bytes, int] = {}  # piece -> its place in the next two
+        self.slot_bytes = 0
+        self.first = self.size = np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Merge pieces and keep their ids."""
+        found = [self.merge(piece) for piece in new]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        base, known = len(self.ids), len(self.size)
+        self.slot.update(zip(new, range(known, known + len(new))))
+        self.slot_bytes += sum(map(len, new))
+        self.first = np.concatenate([self.first, base + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))])
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, the leftmost first, until no pair has a rank."""
@@ -229,21 +248,16 @@ class Vocabulary:
         if len(bounds) == 1:
             return np.empty(0, np.int64), np.zeros(len(block) + 1, np.int64)
         coded = binary_array(block.data, bounds).dictionary_encode()
-        cache, found = self.cache, []
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        for piece in coded.dictionary.to_pylist():
-            ids = cache.get(piece)
-            if ids is None:
-                ids = self.merge(piece)
-                if len(piece) <= LONG_PIECE:
-                    cache[piece] = ids
-            found.append(ids)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum()))
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        length = sizes[index]
-        ids = flat[ranges((np.cumsum(sizes) - sizes)[index], length)]
+        if len(self.slot) > CACHE_PIECES or self.slot_bytes > CACHE_BYTES:
+            self._forget()
+        distinct = coded.dictionary.to_pylist()
+        new = [piece for piece in distinct if piece not in self.slot]
+        if new:
+            self._learn(new)
+        slot = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
+        index = slot[coded.indices.to_numpy(zero_copy_only=False)]
+        length = self.size[index]
+        ids = self.ids[ranges(self.first[index], length)].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(length)])
         return ids, before[np.searchsorted(bounds, block.offsets)]
 
@@ -280,7 +294,7 @@ def encode(df: DataFrame, ranks_path: str, *, key: str = "doc_id", text: str = "
     def run(batches):
         vocab = vocabulary(ranks_path)
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), TEXT_BYTES):
                 ids, offsets = vocab.encode(block)
                 if verify and not np.array_equal(vocab.decode(ids)[0], block.data):
                     raise ValueError("decoded bytes differ from the text")
@@ -317,7 +331,7 @@ def digests(df: DataFrame, ranks_path: str, *, key: str = "doc_id", text: str =
     def run(batch: pa.RecordBatch) -> dict:
         vocab = vocabulary(ranks_path)
         counts, ids_hash, text_hash = [], [], []
-        for block in blocks(batch.column("text")):
+        for block in blocks(batch.column("text"), TEXT_BYTES):
             ids, offsets = vocab.encode(block)
             decoded, at = vocab.decode(ids)
             spelled = vocab.decimals.take(pa.array(ids))

@@ -11,8 +11,8 @@ than H parts (pigeonhole); shingles that many documents share are left out of th
 edges are families.  Every linked pair lies in one family, and between families no pair is compared.
 
 *Regions.*  A family of up to ``BLOCK`` sets is joined directly.  A larger one gets pivots; each member's
-distances to them give its Voronoi region and its band within it, and bands over ``BLOCK`` sets are split
-again by hash.  Two blocks are joined unless the triangle inequality, for some pivot, puts every pair of
+distances to them and to the empty set give its Voronoi region and its band within it, and bands over
+``BLOCK`` sets are split again by hash.  Two blocks are joined unless the triangle inequality, for some pivot, puts every pair of
 them beyond the threshold, or one pivot already links all of both.  So boundary documents meet the regions
 within reach of them, no task holds more than two blocks, and results are exact.
 
@@ -48,11 +48,11 @@ PIVOTS = 4
 TEXTS = 4096
 #: Growth of the size classes, and parts beyond the number of differences that a class allows.
 GROWTH, SLACK = 1.5, 1.25
-#: Shingles in this share of all documents, and in HOT_LEAST at least, are left out of the parts; HOT_MOST of
-#: them are kept on every worker.
-HOT_SHARE, HOT_LEAST, HOT_MOST = 0.0005, 64, 65_536
+#: Shingles that are counted in HOT_LEAST documents are left out of the parts; the HOT_MOST most frequent of them
+#: are kept on every worker.  A task sends the shingles of HOT_SHARE of its documents.
+HOT_SHARE, HOT_LEAST, HOT_MOST = 0.00005, 16, 262_144
 #: Signatures that a map task gathers before it pre-aggregates and sends them.
-GATHER = 2_000_000
+GATHER = 1_000_000
 
 _U = np.uint64
 _SHINGLE_BITS = 52
@@ -160,10 +160,10 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, percent: int, hot: np.n
 
 
 def hot_shingles(docs: DataFrame, size: int, text: str) -> np.ndarray:
-    """Shingles that stand in HOT_SHARE of all documents, the HOT_MOST most frequent at most, sorted.
+    """Shingles counted in HOT_LEAST documents, the HOT_MOST most frequent at most, sorted.
 
-    Every task counts its documents' shingles and sends those that are frequent among them, so a shingle
-    of twice the share is never missed.  The list only saves work: results are exact whatever it holds.
+    Every task counts all its documents' shingles and sends those that repeat in HOT_SHARE of them.  The list
+    only saves work: results are exact whatever it holds.
     """
 
     def run(batches):
@@ -174,7 +174,7 @@ def hot_shingles(docs: DataFrame, size: int, text: str) -> np.ndarray:
             value, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= max(2, HOT_SHARE * texts)
             value, n = value[often], n[often]
-            yield {"shingle": np.append(value.view(np.int64), -1), "n": np.append(n, texts)}
+            yield {"shingle": value.view(np.int64), "n": n}
             held.clear()
             texts = waiting = 0
 
@@ -190,10 +190,8 @@ def hot_shingles(docs: DataFrame, size: int, text: str) -> np.ndarray:
             yield from send()
 
     counts = per_partition(docs.select(docs[text].alias("text")), run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    counts = cut(counts.filter(f"n >= {HOT_LEAST} OR shingle = -1"), "hot")
-    total = counts.filter("shingle = -1").first()
-    least = max(HOT_LEAST, HOT_SHARE * (total["n"] if total else 0))
-    rows = counts.filter((F.col("shingle") >= 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "shingle").limit(HOT_MOST).toArrow()
+    counts = counts.filter(f"n >= {HOT_LEAST}")
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(HOT_MOST).toArrow()
     return np.sort(rows.column("shingle").to_numpy().astype(_U))
 
 
@@ -399,15 +397,20 @@ def _region_tasks(members: DataFrame, families: DataFrame, size: int, percent: i
     nearest = F.array_min("distances")
     placed = near.select(
         "node", "distances", F.array_position("distances", nearest).cast("int").alias("region"), F.floor(nearest / reach).cast("int").alias("band"),
-    ).join(members.select("node", "family"), "node")
-    cells = placed.groupBy("family", "region", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = placed.join(cells, ["family", "region", "band"])
-    block = F.xxhash64("region", "band", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
-    placed = cut(placed.select("node", "family", block.alias("block"), "distances"), "blocks")
+    ).join(members.select("node", "family", "n"), "node")
+    # Sizes are distances to the empty set: sets match only within a ratio of sizes.
+    placed = placed.withColumn("width", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
+    cell = ["family", "region", "band", "width"]
+    cells = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = placed.join(cells, cell)
+    block = F.xxhash64("region", "band", "width", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
+    placed = cut(placed.select("node", "family", "n", block.alias("block"), "distances"), "blocks")
     spans = placed.groupBy("family", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"),
         *[f(F.col("distances")[k]).alias(f"{name}{k}") for k in range(PIVOTS) for name, f in (("low", F.min), ("high", F.max))])
     one, two = (spans.select("family", *[F.col(c).alias(f"{c}_{s}") for c in spans.columns if c != "family"]) for s in "xy")
     pairs = one.join(two, "family").filter("block_x <= block_y")
+    pairs = pairs.filter(f"100 * most_x >= {percent} * least_y AND 100 * most_y >= {percent} * least_x")
     for k in range(PIVOTS):
         gap = F.greatest(F.col(f"low{k}_x") - F.col(f"high{k}_y"), F.col(f"low{k}_y") - F.col(f"high{k}_x"))
         done = (F.col(f"high{k}_x") <= reach) & (F.col(f"high{k}_y") <= reach)  # one pivot links all of both
@@ -430,10 +433,10 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 80, key: s
     family = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     # One document of each set that has a family, with its text.
     families = family.groupBy(F.col("label").alias("family")).agg(F.count("*").alias("members"))
-    chosen = rows.join(family, "node").groupBy("node", F.col("label").alias("family")).agg(F.min(F.struct("doc", "text_hash")).alias("one"))
-    chosen = cut(chosen.join(families, "family").select("node", "family", "members", F.col("one.doc").alias("doc"), F.col("one.text_hash").alias("text_hash")), "members")
+    chosen = rows.join(family, "node").groupBy("node", F.col("label").alias("family")).agg(F.min(F.struct("doc", "text_hash")).alias("one"), F.min("n_shingles").alias("n"))
+    chosen = cut(chosen.join(families, "family").select("node", "family", "members", "n", F.col("one.doc").alias("doc"), F.col("one.text_hash").alias("text_hash")), "members")
     texts = docs.select(docs[key].alias("d_doc"), docs[text].alias("text"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("d_hash"))
-    members = texts.join(broadcast_if_small(chosen), (F.col("d_hash") == F.col("text_hash")) & F.col("d_doc").eqNullSafe(F.col("doc"))).select("node", "family", "members", "text")
+    members = texts.join(broadcast_if_small(chosen), (F.col("d_hash") == F.col("text_hash")) & F.col("d_doc").eqNullSafe(F.col("doc"))).select("node", "family", "members", "n", "text")
     small = members.filter(F.col("members") <= BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "node", "text")
     links = _links(small, size, percent)
     big = families.filter(F.col("members") > BLOCK)
