@@ -197,6 +197,8 @@ def hot_shingles(docs: DataFrame, size: int, text: str) -> np.ndarray:
 
 def _agreeing(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first place of each distinct value with its smallest node first; edges from other nodes to that one)."""
+    if not len(value):
+        return np.empty(0, np.int64), node[:0], node[:0]
     order = np.lexsort((node, value))
     value, node = value[order], node[order]
     first = np.concatenate([[True], value[1:] != value[:-1]])
