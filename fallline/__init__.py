@@ -1,3 +1,20 @@
 """Fallline: terrain segmentation and training-data operators on PySpark DataFrames."""
 
+from fallline.grid import GridSpec
+from fallline.plans.pipeline import Optimizer, Settings, SlopeUnits, write_units
+from fallline.plans.schedule import (
+    ResourcePlan,
+    StorageEstimate,
+    SystemResources,
+    ThresholdLevel,
+    detect_system_resources,
+    estimate_work_storage,
+    make_resource_plan,
+    threshold_schedule,
+)
+
 __version__ = "0.1.0"
+__all__ = [
+    "GridSpec", "Optimizer", "ResourcePlan", "Settings", "SlopeUnits", "StorageEstimate", "SystemResources", "ThresholdLevel",
+    "detect_system_resources", "estimate_work_storage", "make_resource_plan", "threshold_schedule", "write_units",
+]

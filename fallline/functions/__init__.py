@@ -1 +1,5 @@
+"""Scalar functions of the terrain engine, as column expressions."""
 
+from fallline.operators.stencil import circular_variance, display_class, normalize_nodata, quantize
+
+__all__ = ["circular_variance", "display_class", "normalize_nodata", "quantize"]

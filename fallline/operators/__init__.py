@@ -1 +1 @@
-
+"""Set operations and grouped kernels on cell tables."""

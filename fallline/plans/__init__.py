@@ -1 +1 @@
-
+"""Runs put together from operators, and the plans that precede them."""

@@ -1 +1 @@
-
+"""Elevation grids are bounded tables and nothing here is computed from streams; the folder keeps the place."""

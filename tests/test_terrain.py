@@ -13,6 +13,7 @@ from fallline.cli import build_parser
 from fallline.components import connected_components
 from fallline.grid import GridSpec
 from fallline.operators import hierarchy, regions, routing, stencil
+from fallline.plans.domains import estimate_valid_cells, partition
 from fallline.plans.pipeline import Optimizer, Settings, SlopeUnits, five_points, objective
 from fallline.plans.schedule import (
     SystemResources, candidate_storage, choose_coarse_resolution, estimate_work_storage, make_resource_plan, processing_mode, threshold_schedule,
@@ -225,3 +226,12 @@ def test_edge_cases(spark):
         assert stencil.aspect(cells, grid).filter("aspect_valid").count() == 0
     with pytest.raises(ValueError):
         hierarchy.Rules(900.0, -1.0)
+
+
+def test_domains_of_a_coarse_grid(spark):
+    rnd = np.random.default_rng(6)
+    cells, grid = table(spark, rnd.integers(0, 60, (30, 33)))
+    out, records = partition(cells, grid, 3, 9 * 20)
+    sizes = [r.coarse_cells for r in records.collect()]
+    assert sum(sizes) == 110 == out.count() and max(sizes) <= 20
+    assert estimate_valid_cells(out.withColumn("z", F.lit(1.0)), 9.0) == (990, (0, 9, 0, 10))
