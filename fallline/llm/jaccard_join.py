@@ -449,9 +449,11 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 80, key: s
     component = connected_components(links)
     labelled = rows.join(component, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
     labelled = cut(labelled, "labelled")
-    smallest = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("smallest"))
-    out = labelled.join(smallest, "label", "left")
-    return out.select("doc", "text_hash", "n_shingles", F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("smallest")).alias("component_id"), "label")
+    # Most documents stand alone: only classes of two rows or more need their smallest key, and their table is
+    # written so that the join can split a class that holds many rows.
+    smallest = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("smallest"), F.count("*").alias("rows")).filter("rows > 1").select("label", "smallest", F.lit(True).alias("many"))
+    out = labelled.join(broadcast_if_small(cut(smallest, "smallest")), "label", "left")
+    return out.select("doc", "text_hash", "n_shingles", F.when(F.col("many"), F.col("smallest")).otherwise(F.col("doc")).alias("component_id"), "label")
 
 
 def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
