@@ -80,9 +80,31 @@ FROM q
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) < 3 THEN CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END
+        ELSE list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) END AS s FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS k FROM sets
+), links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), steps AS (
+    SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, steps.y FROM reach JOIN steps ON reach.other = steps.x
+), first AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN first USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_wrapper, op2_token_store, op3_license_scan, op4_quality_rules, op5_byte_bpe, op6_decontaminate, op7_jaccard_join, op8_warc, op9_quality_classifier, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op7_jaccard_join": OP7_SQL, "op8_warc": OP8_SQL}

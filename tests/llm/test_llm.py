@@ -6,10 +6,12 @@ import hashlib
 import html
 import itertools
 import json
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -23,6 +25,7 @@ from fallline.llm import (
 )
 from fallline.llm.textblock import blocks
 
+SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -489,3 +492,16 @@ def test_registered_queries():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert set(queries.oracle_sql()) <= set(names)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = queries.queries()[name](spark, SF)
+    cursor = con.execute(queries.oracle_sql()[name])
+    theirs = [d[0] for d in cursor.description]
+    assert sorted(theirs) == sorted(got.columns)
+    assert sorted(map(repr, cursor.fetchall())) == sorted(repr(tuple(r[c] for c in theirs)) for r in got.collect())
