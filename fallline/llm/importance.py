@@ -84,7 +84,7 @@ def weigh(docs: DataFrame, ratios: Ratios, *, key: str = "doc_id", text: str = "
         word, pair = shared.value
         counts, weights = [], []
         for block in blocks(batch.column(text_name)):
-            doc, single, place, double = gram_counts.grams(block)
+            doc, single, place, double = gram_counts.binned(block)
             n = np.bincount(doc, minlength=len(block))
             total = np.bincount(doc, word[single], len(block)) + PAIR_SHARE * np.bincount(doc[place], pair[double], len(block))
             counts.append(n)

@@ -1,7 +1,7 @@
 """Language-model scoring by cross-entropy difference.
 
 A target model (documents labelled good and not toxic) and a background model (the whole corpus) are
-interpolated two-word models over the same hashed vocabulary.  Each word of a document costs minus the
+interpolated two-word models over the same vocabulary, every word and pair of words of the corpus.  Each word of a document costs minus the
 log of its probability under either model; a document's score is the mean difference of these losses,
 target minus background, so lower means closer to the target.
 
@@ -12,70 +12,90 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fallline.llm import gram_counts
-from fallline.llm.rows import per_batch
-from fallline.llm.textblock import blocks
 
 #: Weights of the two-word, one-word and uniform distributions.
 PAIR_WEIGHT, WORD_WEIGHT, UNIFORM_WEIGHT = 0.5, 0.4, 0.1
+#: Words among which the uniform share is dealt out, at least; a corpus of more distinct words deals it among those.
+VOCABULARY = 1 << 18
 
 
+@dataclass(frozen=True)
 class Model:
     """p(w | v) = PAIR_WEIGHT c(v w) / c(v) + WORD_WEIGHT c(w) / N + UNIFORM_WEIGHT / V; a first word, or one after an
-    unseen word, gives the two-word share to the one-word distribution."""
-
-    def __init__(self, word: np.ndarray, pair: np.ndarray):
-        total = word.sum()
-        size = len(word)
-        self.word = (word / total if total else np.full(size, 1 / size)).astype(np.float64)
-        self.history = word.astype(np.float64)
-        self.pair = pair.astype(np.float64)
-        self.uniform = UNIFORM_WEIGHT / size
-
-    def loss(self, single: np.ndarray, place: np.ndarray, double: np.ndarray) -> np.ndarray:
-        """-log p of each word; ``place`` are the words that a next word of the same text follows."""
-        one = self.word[single]
-        p = (PAIR_WEIGHT + WORD_WEIGHT) * one + self.uniform
-        history = self.history[single[place]]
+    unseen word, gives the two-word share to the one-word distribution.
+
+    The counts c stay distributed: a model knows the corpus they come from, N and V, and which counts are its own.
+    """
+
+    docs: DataFrame  #: the corpus as it was given
+    rows: DataFrame  #: key, text and hit of the corpus
+    target: bool  #: whether target documents alone count
+    total: int
+    size: int
+
+    def losses(self) -> Losses:
+        return Losses(int(self.target), self.total, self.size)
+
+
+@dataclass(frozen=True)
+class Losses:
+    """The part of a model that workers need."""
+
+    which: int
+    total: int
+    size: int
+
+    def loss(self, place: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """-log p of each word, by the counts of words and pairs; ``place`` are the words that a next word of the same text follows."""
+        one = word / self.total if self.total else np.full(len(word), 1 / self.size)
+        uniform = UNIFORM_WEIGHT / self.size
+        p = (PAIR_WEIGHT + WORD_WEIGHT) * one + uniform
+        history = word[place]
         seen = history > 0
         at = place[seen] + 1
-        # Bins are shared, so a pair's bin can count more than its first word does.
-        both = np.minimum(self.pair[double[seen]] / history[seen], 1.0)
-        p[at] = PAIR_WEIGHT * both + WORD_WEIGHT * one[at] + self.uniform
+        p[at] = PAIR_WEIGHT * (pair[seen] / history[seen]) + WORD_WEIGHT * one[at] + uniform
         return -np.log(p)
 
 
 def models(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[Model, Model]:
     """(target, background), counted over all documents."""
-    c = gram_counts.count(docs, gram_counts.good_keys(labels, key=key), key=key, text=text)
-    background = Model(c.word_all, c.pair_all)
-    return (Model(c.word_target, c.pair_target) if c.word_target.sum() else background), background
+    rows = gram_counts.marked(docs, gram_counts.good_keys(labels, key=key), key=key, text=text)
+    distinct, n_all, n_target = gram_counts.sizes(rows)
+    size = max(VOCABULARY, distinct)
+    background = Model(docs, rows, False, n_all, size)
+    return (Model(docs, rows, True, n_target, size) if n_target else background), background
 
 
 def score(docs: DataFrame, target: Model, background: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, target_loss, background_loss (means a token) and loss_difference."""
-    shared = docs.sparkSession.sparkContext.broadcast((target, background))
-
-    def run(batch: pa.RecordBatch) -> dict:
-        target, background = shared.value
+    if docs is background.docs:
+        rows = background.rows.withColumns({"counted": F.lit(True), "scored": F.lit(True)})
+    else:
+        corpus = background.rows.select(F.lit(None).cast(docs.schema[key].dataType).alias("key"), "text", "hit", F.lit(True).alias("counted"), F.lit(False).alias("scored"))
+        rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.lit(False).alias("hit"), F.lit(False).alias("counted"), F.lit(True).alias("scored")).unionByName(corpus)
+    both = target.losses(), background.losses()
+
+    def run(table: pa.Table, given: list) -> dict:
         counts, sums = [], ([], [])
-        for block in blocks(batch.column("text")):
-            doc, single, place, double = gram_counts.grams(block)
+        for block, doc, place, word, pair in given:
             counts.append(np.bincount(doc, minlength=len(block)))
-            for out, model in zip(sums, (target, background)):
-                out.append(np.bincount(doc, model.loss(single, place, double), len(block)))
+            for out, model in zip(sums, both):
+                out.append(np.bincount(doc, model.loss(place, word[model.which], pair[model.which]), len(block)))
         n = np.concatenate(counts)
         empty = n == 0
         t, b = (np.concatenate(x) / np.maximum(n, 1) for x in sums)
         return {
-            "key": batch.column("key"), "n_tokens": n, "target_loss": pa.array(t, mask=empty),
+            "key": table.column("key"), "n_tokens": n, "target_loss": pa.array(t, mask=empty),
             "background_loss": pa.array(b, mask=empty), "loss_difference": pa.array(t - b, mask=empty),
         }
 
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    out = per_batch(rows, run, f"key {docs.schema[key].dataType.simpleString()}, n_tokens bigint, target_loss double, background_loss double, loss_difference double")
+    out = gram_counts.lookup(rows, run, f"key {docs.schema[key].dataType.simpleString()}, n_tokens bigint, target_loss double, background_loss double, loss_difference double")
     return out.withColumnRenamed("key", key)

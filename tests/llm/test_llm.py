@@ -271,6 +271,36 @@ def test_language_model_difference(spark):
     assert same[0] is same[1]
 
 
+def test_language_models_count_exactly(spark, monkeypatch):
+    # Two words, and two pairs of words, whose hashes share their first 18 or 20 bits.
+    def alike(names, which, bits):
+        seen = {}
+        for name in names:
+            code = int(gram_counts.grams(next(blocks(pa.array([name]))))[which][0]) >> (64 - bits)
+            if seen.setdefault(code, name) != name:
+                return seen[code], name
+        raise AssertionError("none alike")
+
+    often, rare = alike((f"w{i}" for i in range(20_000)), 1, 18)
+    pair, other = alike((f"v u{i}" for i in range(50_000)), 3, 20)
+    texts = [" ".join([often] * 300), rare, f"{pair} {pair} {pair}", other] + [f"own{i}" for i in range(60)]
+    monkeypatch.setattr(gram_counts, "CHUNK_BYTES", 64)
+    df = docs(spark, texts)
+    target, background = lm_score.models(df, labels(spark, [(0, 1, 0)]))
+    words = [t.split() for t in texts]
+    one = collections.Counter(itertools.chain(*words))
+    two = collections.Counter(p for w in words for p in zip(w, w[1:]))
+    total, uniform = sum(one.values()), 0.1 / 2**18
+    elsewhere = docs(spark, texts)  # the same texts, not as the corpus that was counted
+    for rows in ({r.doc_id: r for r in lm_score.score(d, target, background).collect()} for d in (df, elsewhere)):
+        assert len(rows) == len(texts)
+        for i, w in enumerate(words):
+            losses = [-np.log(0.9 * one[w[0]] / total + uniform)]
+            losses += [-np.log(0.5 * two[a, b] / one[a] + 0.4 * one[b] / total + uniform) for a, b in zip(w, w[1:])]
+            assert rows[i].background_loss == pytest.approx(np.mean(losses), abs=1e-9)
+        assert rows[1].target_loss == pytest.approx(-np.log(uniform), abs=1e-9)
+
+
 # op7
 
 
