@@ -507,6 +507,23 @@ def test_broken_pages_do_not_crash():
     assert [t for _, t, _ in html_tree.blocks(deep)] == ["x"]
 
 
+def test_marks_of_the_whole_page_remove_nothing():
+    text = "<p>The whole text of the page.</p>"
+    wrappers = (
+        '<body class="right-sidebar">{}</body>', '<body class="single no-sidebar"><div>{}</div></body>', '<body><div id="page" class="has-banner">{}</div></body>',
+        '<body><form action="x"><div>{}</div></form></body>', '<body><div class="site">{}</div></body>', '<body class="top">{}</body>',
+    )
+    for outer in wrappers:
+        for inner in (text, f"<article>{text}</article>", f'<div class="ad">Buy!</div>{text}<div class="comments"><p>Nice</p></div>'):
+            assert [t for _, t in wrapper.page_blocks(html_tree.parse(outer.format(inner)))] == ["The whole text of the page."]
+    # An article in a marked element that does not hold most of the text; comments that do.
+    short = f'<div class="has-banner"><article>{text}</article></div><div>{"Other words here. " * 9}</div>'
+    long = f'<div>{text}</div><div class="comments">{"<p>Yes, I think so too.</p>" * 9}</div>'
+    for source in (short, long):
+        assert [t for _, t in wrapper.page_blocks(html_tree.parse(source))] == ["The whole text of the page."]
+    assert [t for _, t in wrapper.page_blocks(html_tree.parse(f'<div class="widget">{text}</div>'))] == ["The whole text of the page."]
+
+
 def test_simple_tree_matching():
     t = lambda s: wrapper._tuples(json.loads(s))
     a, b = t('["r",[["x",[]],["y",[["z",[]]]],["w",[]]]]'), t('["r",[["y",[["z",[]],["q",[]]]],["v",[]],["w",[]]]]')
