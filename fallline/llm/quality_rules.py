@@ -4,7 +4,7 @@ Words are maximal runs without ASCII white space (0x20, 0x09 to 0x0D), compared
 
 Defined results for odd input: a null text has no words and fails the rules; so does an empty one;
 repeated rows get equal results; labels that are null, or whose document is missing, are left out; where
-the labels hold no document or one class only, the trees have nothing to say and the verdict is the
+the labels hold one class only, or too few documents to fit, the trees have nothing to say and the verdict is the
 rules' alone; an empty table gives an empty table; other columns of ``docs`` are ignored or kept as the
 call says.
 """
@@ -161,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, key: st
     if not len(sample):
         return boosting.constant(1.0)
     sample = sample.sort_values("key")
-    return boosting.fit(np.array(sample["features"].tolist()), sample["label"].to_numpy(), monotone=MONOTONE)
+    model = boosting.fit(np.array(sample["features"].tolist()), sample["label"].to_numpy(), monotone=MONOTONE)
+    return model if len(model.roots) else boosting.constant(1.0)  # too few rows, or one class
 
 
 def judge(docs: DataFrame, model: boosting.Forest, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

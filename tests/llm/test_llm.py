@@ -301,6 +301,16 @@ def test_language_models_count_exactly(spark, monkeypatch):
         assert rows[1].target_loss == pytest.approx(-np.log(uniform), abs=1e-9)
 
 
+def test_quality_rules_decide_where_trees_cannot_be_fitted(spark):
+    rnd = random.Random(5)
+    df = docs(spark, [prose(rnd, 60) for _ in range(30)])
+    want = [(r.doc_id, not r.base_failed) for r in quality_rules.judge(df, boosting.constant(1.0)).collect()]
+    assert any(kept for _, kept in want)
+    for known in ([(i, 0, 0) for i in range(4)], [(i, 0, 0) for i in range(30)], [(i, int(i == 0), 0) for i in range(10)]):
+        model = quality_rules.train(df, labels(spark, known))
+        assert sorted((r.doc_id, r.kept) for r in quality_rules.judge(df, model).collect()) == sorted(want)
+
+
 # op7
 
 
