@@ -534,6 +534,15 @@ def test_marks_of_the_whole_page_remove_nothing():
     assert [t for _, t in wrapper.page_blocks(html_tree.parse(f'<div class="widget">{text}</div>'))] == ["The whole text of the page."]
 
 
+def test_split_articles_and_lists_of_references():
+    split = '<body><div class="content"><p>First, the longer half of it.</p></div><div class="ad">Buy!</div><div class="content"><p>Second half.</p></div><div>About us</div></body>'
+    assert [t for _, t in wrapper.page_blocks(html_tree.parse(split))] == ["First, the longer half of it.", "Second half."]
+    linked = '<body><div><a href="/">Home</a></div><div><p>See these.</p><ul><li><a href="1">One work</a></li><li><a href="2">Two works</a></li></ul><p>That is all.</p></div><div><a href="/x">More</a></div></body>'
+    assert [t for _, t in wrapper.page_blocks(html_tree.parse(linked))] == ["See these.", "One work", "Two works", "That is all."]
+    last = linked.replace("<p>That is all.</p>", "")
+    assert [t for _, t in wrapper.page_blocks(html_tree.parse(last))] == ["See these.", "One work", "Two works"]
+
+
 def test_simple_tree_matching():
     t = lambda s: wrapper._tuples(json.loads(s))
     a, b = t('["r",[["x",[]],["y",[["z",[]]]],["w",[]]]]'), t('["r",[["y",[["z",[]],["q",[]]]],["v",[]],["w",[]]]]')
