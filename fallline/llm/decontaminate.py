@@ -10,8 +10,8 @@ passage ends, bounds every passage's score against it; passages below the lowest
 The rest meet the blocks' bounds, and what passes them is scored in full against the block's postings.
 Bounds never lie below scores, so everything above the threshold is found.
 
-A retrieved item counts as a leak when its question and its answer (its last sentence; the whole item
-where it has but one) both have ``OVERLAP`` of their word n-grams in the text.
+A retrieved item counts as a leak when its question and its answer (its last sentences, as few as
+have GRAM words; the whole item where nothing is left before them) both have ``OVERLAP`` of their word n-grams in the text.
 
 The index is broadcast in shards of a bounded number of words; each shard is a pass over the texts.
 
@@ -57,11 +57,16 @@ def _hashed(block: Block):
 
 
 def _parts(text: str) -> tuple[str, str]:
-    """(question, answer): the last sentence is the answer."""
-    body = text.rstrip(" \t\r\n.!?")
-    cut = max((body.rfind(c) for c in ".!?\n"), default=-1)
-    question, answer = text[: cut + 1], text[cut + 1 :]
-    return (question, answer) if any(c.isalnum() for c in question) and any(c.isalnum() for c in answer) else (text, text)
+    """(question, answer): the last sentence is the answer, or the last ones until they have GRAM words."""
+    end = len(text.rstrip(" \t\r\n.!?"))
+    while (cut := max(text.rfind(c, 0, end) for c in ".!?\n")) >= 0:
+        question, answer = text[: cut + 1], text[cut + 1 :]
+        if not any(c.isalnum() for c in question):
+            break
+        if len(_hashed(next(blocks(pa.array([answer]))))[1]) >= GRAM:
+            return question, answer
+        end = cut
+    return text, text
 
 
 def _grams(text: str) -> np.ndarray:

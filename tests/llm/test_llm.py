@@ -311,6 +311,14 @@ def test_quality_rules_decide_where_trees_cannot_be_fitted(spark):
         assert sorted((r.doc_id, r.kept) for r in quality_rules.judge(df, model).collect()) == sorted(want)
 
 
+def test_short_answers_do_not_hide_a_copied_question(spark):
+    question = "Which of the seven rivers that rise in the northern hills turns south at last and never meets the open sea again"
+    for item in (f"{question}? One.", f"Read this first. {question}? The one."):
+        copy = item.replace("One.", "Two.").replace("The one.", "None.")
+        bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+        assert decontaminate.leaks(docs(spark, [copy, "Nothing of it here at all, only other words."]), bench).count() == 1
+
+
 # op7
 
 
