@@ -2,16 +2,8 @@
 
 from fallline.grid import GridSpec
 from fallline.plans.pipeline import Optimizer, Settings, SlopeUnits, write_units
-from fallline.plans.schedule import (
-    ResourcePlan,
-    StorageEstimate,
-    SystemResources,
-    ThresholdLevel,
-    detect_system_resources,
-    estimate_work_storage,
-    make_resource_plan,
-    threshold_schedule,
-)
+from fallline.plans.resources import ResourcePlan, SystemResources, detect_system_resources, make_resource_plan
+from fallline.plans.schedule import StorageEstimate, ThresholdLevel, estimate_work_storage, threshold_schedule
 
 __version__ = "0.1.0"
 __all__ = [

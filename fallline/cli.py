@@ -5,7 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 
-from fallline.plans.schedule import detect_system_resources, estimate_work_storage, make_resource_plan, processing_mode
+from fallline.plans.resources import detect_system_resources, make_resource_plan, processing_mode
+from fallline.plans.schedule import estimate_work_storage
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -40,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("fallline").getOrCreate()
     cells, grid = (read_ascii_grid if a.dem.endswith(".asc") else read_cells)(spark, a.dem)
-    plan = make_resource_plan(detect_system_resources(), grid, memory_limit_bytes=int(a.memory_limit_gb * 1024**3) if a.memory_limit_gb else None, memory_fraction=a.memory_fraction,
+    plan = make_resource_plan(detect_system_resources(spark), grid, memory_limit_bytes=int(a.memory_limit_gb * 1024**3) if a.memory_limit_gb else None, memory_fraction=a.memory_fraction,
                               coarse_memory_fraction=a.coarse_memory_fraction, bytes_per_fine_cell=a.bytes_per_fine_cell, coarse_bytes_per_cell=a.coarse_bytes_per_cell,
                               coarse_resolution_m=a.coarse_resolution_m, workers=a.workers)
     resolution = a.fine_resolution_m or grid.xres

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fallline.runtime import cut
+from fallline.runtime import cut, temporary
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,8 +15,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     graph along these steps.  A star vanishes in one round; on other graphs the nodes that remain shrink
     by a factor each round when ids are not ordered along paths (hashes are not).  Minima are aggregated
     before the shuffle, and the join that relabels a hub's edges is one that skew handling can split.
-    Every round's tables are written to the shared folder, so a lost executor costs one round.
+    Every round's tables are written to the shared folder, so a lost executor costs one round; all but the
+    result go at the end.
     """
+    with temporary(edges.sparkSession) as keep:
+        return keep(cut(_labels(edges, a, b), "labels"))
+
+
+def _labels(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
     current = cut(edges.filter(F.col(a) != F.col(b)).select(*e).distinct(), "edges")
     steps: list[DataFrame] = []
@@ -33,4 +39,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for step in reversed(steps[:-1]):
         further = labels.select(F.col("node").alias("up"), F.col("label").alias("further"))
         labels = step.join(further, "up", "left").select("node", F.coalesce("further", "up").alias("label"))
-    return cut(labels, "labels") if len(steps) > 1 else labels
+    return labels

@@ -20,10 +20,11 @@ from fallline.operators import regions as _regions
 from fallline.operators import stencil
 from fallline.runtime import ship
 
-# The order in which routing looks at neighbours (S, N, W, E, NE, SW, SE, NW), and for each diagonal
-# the places of the cardinal neighbours beside it.
+# The order in which routing looks at neighbours (S, N, W, E, NE, SW, SE, NW), and for each of them the
+# place of the cardinal neighbour that lies east or west of it, and of the one that lies north or south of it.
 LOOK = ((1, 0), (-1, 0), (0, -1), (0, 1), (-1, 1), (1, -1), (1, 1), (-1, -1))
-BESIDE = {4: (3, 1), 5: (2, 0), 6: (3, 0), 7: (2, 1)}
+EAST_WEST = (0, 1, 2, 3, 1, 0, 0, 1)
+NORTH_SOUTH = (0, 1, 2, 3, 3, 2, 3, 2)
 # Direction codes NE 1, N 2, NW 3, W 4, SW 5, S 6, SE 7, E 8, by (dr, dc).
 DIRECTION = {(-1, 1): 1, (-1, 0): 2, (-1, -1): 3, (0, -1): 4, (1, -1): 5, (1, 0): 6, (1, 1): 7, (0, 1): 8}
 
@@ -76,7 +77,7 @@ class Island:
                 rise = z[q] - height
                 if k > 3 and rise > 0:
                     slope = rise / self.length[k]
-                    ew, ns = (p + self.step[b] for b in BESIDE[k])
+                    ew, ns = p + self.step[EAST_WEST[k]], p + self.step[NORTH_SOUTH[k]]
                     if valid[ew] and rank[ew] < 0 and z[q] > z[ew] and slope < (z[q] - z[ew]) / self.xd:
                         continue
                     if valid[ns] and rank[ns] < 0 and z[q] > z[ns] and slope < (z[q] - z[ns]) / self.yd:

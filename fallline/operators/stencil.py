@@ -2,7 +2,8 @@
 
 A *cell table* has a row for every cell of the grid: cell_id, r, c and z, which is null where the cell is
 invalid.  Neighbours come from two windows, one along rows and one along columns; a window's partition is
-one line of the grid, so nothing wider than a line meets in one task, and no join is needed.
+one line of the grid, so nothing wider than a line meets in one task, and no join is needed.  Tables may
+lack cells: a neighbour is taken for one only if its coordinates say so.
 """
 
 from __future__ import annotations
@@ -42,12 +43,18 @@ def quantize(z: Column, scale: float = 1000.0) -> Column:
     return F.coalesce(F.floor(z * scale + 0.5), F.lit(0)).cast("int")
 
 
+def _beside(value: Column, line: str, order: str, back: int) -> Column:
+    """``value`` of the cell ``back`` places before on a line of the grid, null where that cell is not in the table."""
+    there = F.lag(F.struct(F.col(order).alias("at"), value.alias("v")), back).over(Window.partitionBy(line).orderBy(order))
+    return F.when(there["at"] == F.col(order) - back, there["v"])
+
+
 def neighbours(cells: DataFrame, value: Column, name: str = "around") -> DataFrame:
-    """Add an array of ``value`` at the eight neighbours (in AROUND's order), null beyond the grid."""
-    along, across = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
+    """Add an array of ``value`` at the eight neighbours (in AROUND's order), null beyond the grid and where a cell is
+    missing; a diagonal neighbour also counts as missing where the cell between it and this one's row is."""
     out = cells.withColumn("_v", value)
-    out = out.withColumn("_row", F.struct(F.lag("_v").over(along).alias("w"), F.col("_v").alias("x"), F.lead("_v").over(along).alias("e")))
-    up, down = F.lag("_row").over(across), F.lead("_row").over(across)
+    out = out.withColumn("_row", F.struct(_beside(F.col("_v"), "r", "c", 1).alias("w"), F.col("_v").alias("x"), _beside(F.col("_v"), "r", "c", -1).alias("e")))
+    up, down = _beside(F.col("_row"), "c", "r", 1), _beside(F.col("_row"), "c", "r", -1)
     out = out.withColumn("_up", up).withColumn("_down", down)
     parts = [F.col(f"{row}.{k}") for row, k in (("_up", "w"), ("_up", "x"), ("_up", "e"), ("_row", "w"), ("_row", "e"), ("_down", "w"), ("_down", "x"), ("_down", "e"))]
     return out.withColumn(name, F.array(*parts)).drop("_v", "_row", "_up", "_down")
@@ -55,11 +62,9 @@ def neighbours(cells: DataFrame, value: Column, name: str = "around") -> DataFra
 
 def cardinal(cells: DataFrame, value: Column, names: tuple[str, str, str, str] = ("n", "w", "e", "s")) -> DataFrame:
     """Add ``value`` at the four cardinal neighbours."""
-    along, across = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
     out = cells.withColumn("_v", value)
-    made = (F.lag("_v").over(across), F.lag("_v").over(along), F.lead("_v").over(along), F.lead("_v").over(across))
-    for name, column in zip(names, made):
-        out = out.withColumn(name, column)
+    for name, (line, order, back) in zip(names, (("c", "r", 1), ("r", "c", 1), ("r", "c", -1), ("c", "r", -1))):
+        out = out.withColumn(name, _beside(F.col("_v"), line, order, back))
     return out.drop("_v")
 
 
@@ -103,12 +108,16 @@ def boundary(labels: DataFrame, label: str = "label", include_nodata_edge: bool
 
 def adjacency(labels: DataFrame, label: str = "label") -> DataFrame:
     """low, high and contact (shared cell sides) of every two labels that touch."""
-    along, across = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
-    sides = labels.select(F.col(label).alias("a"), F.array(F.lead(label).over(along), F.lead(label).over(across)).alias("next"))
+    me = F.col(label)
+    sides = labels.select(me.alias("a"), F.array(_beside(me, "r", "c", -1), _beside(me, "c", "r", -1)).alias("next"))
     pairs = sides.select("a", F.explode("next").alias("b")).filter("a > 0 AND b > 0 AND a != b")
     return pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.count("*").alias("contact"))
 
 
+# The multipliers of the 32-bit mix of labels.
+MIX = (0x7FEB352D, 0x846CA68B)
+
+
 def display_class(label: Column, classes: int = 255) -> Column:
     """A colour class of a label: 1 + mix32(label) mod classes.
 
@@ -122,9 +131,9 @@ def display_class(label: Column, classes: int = 255) -> Column:
 
     x = label.cast("long").bitwiseAND(mask)
     x = x.bitwiseXOR(F.shiftrightunsigned(x, 16))
-    x = times(x, 0x7FEB352D)
+    x = times(x, MIX[0])
     x = x.bitwiseXOR(F.shiftrightunsigned(x, 15))
-    x = times(x, 0x846CA68B)
+    x = times(x, MIX[1])
     x = x.bitwiseXOR(F.shiftrightunsigned(x, 16))
     return F.when(label > 0, 1 + F.pmod(x, F.lit(classes))).otherwise(0)
 
@@ -195,7 +204,7 @@ def interior(labels: DataFrame, label: str = "label") -> DataFrame:
     label back."""
     out = labels
     for name, line, order in (("_a", "r", "c"), ("_b", "c", "r")):
-        frame = Window.partitionBy(line).orderBy(order).rowsBetween(-2, 2)
+        frame = Window.partitionBy(line).orderBy(order).rangeBetween(-2, 2)
         source = F.coalesce(F.col(label), F.lit(0)) if name == "_a" else None
         if name == "_a":
             out = out.withColumn("_low", F.min(source).over(frame)).withColumn("_high", F.max(source).over(frame)).withColumn("_n", F.count("*").over(frame))

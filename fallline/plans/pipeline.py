@@ -19,7 +19,7 @@ class Settings:
     threshold_m2: float = 250_000.0
     min_area_m2: float = 100_000.0
     cv_min: float = 0.25
-    reduction_factor: float = 2
+    reduction_factor: int = 2
     max_iterations: int = 12
     convergence: int = 5
     max_area_m2: float | None = None
@@ -76,15 +76,21 @@ class SlopeUnits:
         return out.join(neat.withColumnRenamed("clump", "unit"), "cell_id", "left")
 
 
-def objective(points: list[dict]) -> list[float]:
-    """F of each point: how far its V and I fall short of the best, by their ranges over all points."""
+def objective(points: list[dict]) -> list[float | None]:
+    """F of each point: how far its V and its I lie below the largest, each as a share of its range over all points.
+    Low V and low I are good, so the best point has the largest F.  A point without V or I has none."""
 
-    def short(name: str) -> list[float]:
-        values = [p[name] for p in points]
-        span = max(values) - min(values)
-        return [(max(values) - v) / span if span > 0 else 0.0 for v in values]
+    def below(name: str) -> list[float | None]:
+        known = [p[name] for p in points if p[name] is not None]
+        span = max(known, default=0.0) - min(known, default=0.0)
+        return [None if p[name] is None else (max(known) - p[name]) / span if span > 0 else 0.0 for p in points]
 
-    return [a + b for a, b in zip(short("V"), short("I"))]
+    return [None if v is None or i is None else v + i for v, i in zip(below("V"), below("I"))]
+
+
+def _first_best(points: list[dict]) -> dict:
+    """The point of the largest F, the first of equals."""
+    return max(points, key=lambda p: -1.0 if p["F"] is None else p["F"])
 
 
 def five_points(cv: tuple[float, float], area: tuple[float, float]) -> list[tuple[float, float]]:
@@ -93,38 +99,45 @@ def five_points(cv: tuple[float, float], area: tuple[float, float]) -> list[tupl
 
 
 class Optimizer:
-    """Search of (cv_min, min_area): five points a round, then a smaller box around the round's best."""
+    """Search of (cv_min, min_area): five points a round, then a smaller box around the round's best.
 
-    def __init__(self, settings: Settings | None = None, *, cv: tuple[float, float] = (0.05, 0.45), area: tuple[float, float] = (50_000.0, 200_000.0),
-                 rounds: int = 5, cv_epsilon: float = 0.01, area_epsilon: float = 5_000.0):
+    Candidates are made once, and a point that lies in several rounds is evaluated once.
+    """
+
+    def __init__(self, settings: Settings | None = None, *, cv: tuple[float, float] = (0.05, 0.25), area: tuple[float, float] = (50_000.0, 200_000.0),
+                 rounds: int = 8, cv_epsilon: float = 0.01, area_epsilon: float = 50_000.0):
         self.settings, self.cv, self.area = settings or Settings(), cv, area
         self.rounds, self.cv_epsilon, self.area_epsilon = rounds, cv_epsilon, area_epsilon
 
-    def run(self, cells: DataFrame, grid: GridSpec) -> dict:
-        """The best point, all points, and the number of rounds; candidates are made once."""
+    def evaluate(self, cells: DataFrame, levels: DataFrame, count: int, grid: GridSpec, cv: float, area: float) -> dict:
+        settings = Settings(**{**asdict(self.settings), "cv_min": cv, "min_area_m2": area})
+        # Invalid cells stay, without a label: neighbours across them do not touch.
+        labelled = cells.join(SlopeUnits(settings).segment(cells, levels, count, grid), "cell_id", "left")
+        row = regions.segmentation_metrics(labelled, "clump").first()
+        return {"cv_min": cv, "min_area_m2": area, "V": row["V"], "I": row["I"], "units": row["units"]}
+
+    def run(self, cells: DataFrame, grid: GridSpec, *, report: str | None = None) -> dict:
+        """The best point, all points from the best to the worst, and the number of rounds; with ``report`` they are
+        also written there as JSON."""
         base = SlopeUnits(self.settings)
         cells = base.prepare(cells, grid)
         _, levels, count = base.candidates(cells, grid)
-        points: list[dict] = []
-        cv, area = self.cv, self.area
-        done = 0
+        points: dict[tuple[float, float], dict] = {}
+        cv, area, done = self.cv, self.area, 0
         for done in range(1, self.rounds + 1):
-            fresh = []
-            for c, a in five_points(cv, area):
-                settings = Settings(**{**asdict(self.settings), "cv_min": c, "min_area_m2": a})
-                labelled = cells.join(SlopeUnits(settings).segment(cells, levels, count, grid), "cell_id")
-                row = regions.segmentation_metrics(labelled, "clump").first()
-                fresh.append({"cv_min": c, "min_area_m2": a, "V": row["V"], "I": row["I"] if row["I"] is not None else 0.0, "units": row["units"]})
-            points += fresh
-            scores = objective(points)
-            best = min(range(len(points) - len(fresh), len(points)), key=lambda i: (scores[i], i))
+            wanted = {(round(c, 12), round(a, 6)): (c, a) for c, a in five_points(cv, area)}
+            points |= {k: self.evaluate(cells, levels, count, grid, *at) for k, at in wanted.items() if k not in points}
+            for p, f in zip(points.values(), objective(list(points.values()))):
+                p["F"] = f
+            best = _first_best([points[k] for k in wanted])
             if cv[1] - cv[0] <= self.cv_epsilon and area[1] - area[0] <= self.area_epsilon:
                 break
-            cv, area = (self._around(points[best][k], box, whole) for k, box, whole in (("cv_min", cv, self.cv), ("min_area_m2", area, self.area)))
-        scores = objective(points)
-        for p, f in zip(points, scores):
-            p["F"] = f
-        return {"best": min(points, key=lambda p: p["F"]), "points": points, "rounds": done}
+            cv, area = (self._around(best[k], box, whole) for k, box, whole in (("cv_min", cv, self.cv), ("min_area_m2", area, self.area)))
+        found = sorted(points.values(), key=lambda p: 0.0 if p["F"] is None else -p["F"])
+        out = {"best": _first_best(list(points.values())), "points": found, "rounds": done}
+        if report is not None:
+            cells.sparkSession.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(report)
+        return out
 
     @staticmethod
     def _around(x: float, box: tuple[float, float], whole: tuple[float, float]) -> tuple[float, float]:

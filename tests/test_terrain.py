@@ -1,5 +1,6 @@
 import heapq
 import itertools
+import json
 import os
 import random
 
@@ -15,9 +16,9 @@ from fallline.grid import GridSpec
 from fallline.operators import hierarchy, regions, routing, stencil
 from fallline.plans.domains import estimate_valid_cells, partition
 from fallline.plans.pipeline import Optimizer, Settings, SlopeUnits, five_points, objective
-from fallline.plans.schedule import (
-    SystemResources, candidate_storage, choose_coarse_resolution, estimate_work_storage, make_resource_plan, processing_mode, threshold_schedule,
-)
+from fallline.plans.resources import SystemResources, byte_size, detect_system_resources, make_resource_plan, processing_mode
+from fallline.plans.schedule import candidate_storage, estimate_work_storage, threshold_schedule
+from fallline.runtime import broadcast_if_small, cut, drop_table, exists, stage, temporary
 from fallline.sources.ascii_grid import read_ascii_grid, read_cells, write_ascii_grid, write_cells
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,7 @@ def test_schedule():
     assert [x.cells for x in threshold_schedule(250_000, 900)] == [277, 138, 69, 34, 17, 8, 4, 2]
     assert [x.cells for x in threshold_schedule(250_000, 900, 3)] == [277, 184, 122, 81, 54, 36, 24, 16, 10, 6, 4]
     assert [x.cells for x in threshold_schedule(100, 900)] == [1]
+    assert threshold_schedule(250_000, 900, 2.9) == threshold_schedule(250_000, 900, 2)
     with pytest.raises(ValueError):
         threshold_schedule(0, 900)
 
@@ -56,11 +58,22 @@ def test_plans():
     e = estimate_work_storage(grid)
     assert (e.cells, e.candidate_levels) == (2_000_000, 8) and e.estimated_total_gb == pytest.approx(2e6 * 80 / 1024**3)
     assert candidate_storage(grid, 8, 10**12) == "all" and candidate_storage(grid, 8, 10**6) == "stream" and candidate_storage(grid, 8, 0, materialized=True) == "all"
-    assert choose_coarse_resolution(60_000, 30_000, 30, 10**6) == 120.0
-    assert choose_coarse_resolution(6_000_000, 3_000_000, 30, 1000) == 134170.0
-    plan = make_resource_plan(SystemResources(16 * 1024**3, 8, 8), grid, workers=3)
-    assert plan.workers == 3 and processing_mode(grid, 30.0, 10, plan) == "direct"
-    assert processing_mode(grid, 20.0, 10**12, plan) == "hydrological"
+    plan = make_resource_plan(SystemResources(3, 2, 2 * 1024**3), grid)
+    assert plan.tasks == 6 and plan.task_cells == int(1024**3 * 0.65) // 112 and plan.tile**2 <= plan.task_cells and plan.partitions == 6
+    assert plan.coarse_factor == 4 and plan.coarse_resolution_m == 120.0
+    assert make_resource_plan(SystemResources(3, 2, 2 * 1024**3), GridSpec(1_000_000, 1_000_000), workers=2).tasks == 2
+    far = make_resource_plan(SystemResources(3, 2, 2 * 1024**3), GridSpec(1_000_000, 1_000_000))
+    assert (-(-1_000_000 // far.coarse_factor)) ** 2 <= int(1024**3 * 0.18) // 72 and far.partitions == -(-10**12 // far.task_cells)
+    assert processing_mode(grid, 30.0, 10, plan) == "direct" and processing_mode(grid, 20.0, 10, plan) == "single"
+    assert processing_mode(grid, 20.0, 10**12, far) == "single" and processing_mode(GridSpec(10**6, 10**6), 30.0, 10**12, far) == "hydrological"
+    with pytest.raises(ValueError):
+        make_resource_plan(SystemResources(1, 1, 10**9), grid, memory_fraction=0.99)
+    assert byte_size("3000m") == 3000 << 20 and byte_size("2g") == byte_size("2GB") == 2 << 30 and byte_size("17") == 17
+
+
+def test_resources_of_a_session(spark):
+    got = detect_system_resources(spark)
+    assert got.executors == 1 and got.cores == 8 and got.memory_bytes > 0
 
 
 def test_grid():
@@ -86,10 +99,10 @@ def test_nodata():
     assert len(stencil.normalize_nodata([1, 2, 1, float("nan"), float("nan")])) == 3
 
 
-def table(spark, z):
+def table(spark, z, xres=30.0, yres=30.0):
     z = np.asarray(z, dtype=object)
     rows = [(int(r * z.shape[1] + c), int(r), int(c), None if z[r, c] is None else float(z[r, c])) for r in range(z.shape[0]) for c in range(z.shape[1])]
-    return spark.createDataFrame(rows, "cell_id bigint, r int, c int, z double"), GridSpec(*z.shape)
+    return spark.createDataFrame(rows, "cell_id bigint, r int, c int, z double"), GridSpec(*z.shape, xres=xres, yres=yres)
 
 
 def naive_routing(z, xres=30.0, yres=30.0):
@@ -110,7 +123,8 @@ def naive_routing(z, xres=30.0, yres=30.0):
                 continue
             slope = max(0.0, at[q] - h) / (diagonal if a and b else (yres if a else xres) * 1000)
             if a and b and slope > 0:
-                beside = [((p[0], p[1] + b), xres * 1000), ((p[0] + a, p[1]), yres * 1000)]
+                # q is reached along its row from the cell above or below p, along its column from the one beside p.
+                beside = [((p[0] + a, p[1]), xres * 1000), ((p[0], p[1] + b), yres * 1000)]
                 if any(s in at and s not in done and slope < max(0.0, at[q] - at[s]) / d for s, d in beside):
                     continue
             if q not in seen:
@@ -124,17 +138,18 @@ def naive_routing(z, xres=30.0, yres=30.0):
     return popped, receiver
 
 
-def test_routing_equals_a_naive_walk(spark):
+@pytest.mark.parametrize("xres,yres", [(30.0, 30.0), (20.0, 30.0), (50.0, 10.0)])
+def test_routing_equals_a_naive_walk(spark, xres, yres):
     rnd = random.Random(5)
-    for _ in range(4):
+    for _ in range(3):
         rows, cols = rnd.randint(1, 14), rnd.randint(1, 14)
         z = [[None if rnd.random() < 0.1 else rnd.randint(0, rnd.choice((3, 50))) for _ in range(cols)] for _ in range(rows)]
         if all(v is None for row in z for v in row):
             continue
-        cells, grid = table(spark, z)
+        cells, grid = table(spark, z, xres, yres)
         flow = routing.flow(cells, grid, [4, 2], tile=6)
         got = flow.collect()
-        popped, receiver = naive_routing(z)
+        popped, receiver = naive_routing(z, xres, yres)
         assert {(x.cell_id // cols, x.cell_id % cols): x.astar_receiver for x in got} == {p: (receiver[p][0] * cols + receiver[p][1]) if p in receiver else None for p in popped}
         by_island = {}
         for x in sorted(got, key=lambda x: x["rank"]):
@@ -203,13 +218,76 @@ def test_clean_and_sinks(spark, tmp_path):
     assert {(r.cell_id, r.z) for r in again.collect()} == {(r.cell_id, r.z) for r in cells.select("cell_id", "z").collect()}
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     assert len(five_points((0, 1), (0, 1))) == 5
-    assert objective([{"V": 1, "I": 1}, {"V": 0, "I": 1}]) == [0.0, 1.0]
+    assert objective([{"V": 1, "I": 1}, {"V": 0, "I": 1}, {"V": 0.5, "I": None}]) == [0.0, 1.0, None]
     rnd = np.random.default_rng(4)
     cells, grid = table(spark, rnd.integers(0, 30, (12, 12)))
-    out = Optimizer(Settings(threshold_m2=10_000), area=(5_000.0, 30_000.0), rounds=1).run(cells, grid)
+    search = Optimizer(Settings(threshold_m2=10_000), area=(5_000.0, 30_000.0), rounds=1)
+    assert (search.cv, Optimizer().area, Optimizer().rounds, Optimizer().area_epsilon) == ((0.05, 0.25), (50_000.0, 200_000.0), 8, 50_000.0)
+    out = search.run(cells, grid, report=str(tmp_path / "report"))
     assert len(out["points"]) == 5 and out["rounds"] == 1
+    known = [p["F"] for p in out["points"] if p["F"] is not None]
+    assert known == sorted(known, reverse=True) and (not known or out["best"]["F"] == max(known))
+    assert json.loads(spark.read.text(str(tmp_path / "report")).first()["value"])["best"] == out["best"]
+
+
+def test_the_search_looks_around_the_largest_f(monkeypatch, spark):
+    """The lowest V and I win; a point of two rounds is evaluated once."""
+    asked = []
+
+    def evaluate(self, cells, levels, count, grid, cv, area):
+        asked.append((cv, area))
+        return {"cv_min": cv, "min_area_m2": area, "V": cv, "I": None if area > 190_000 else 0.0, "units": 1}
+
+    monkeypatch.setattr(Optimizer, "evaluate", evaluate)
+    cells, grid = table(spark, [[1]])
+    out = Optimizer(rounds=3).run(cells, grid)
+    best = out["best"]
+    assert best["cv_min"] == 0.05 and best["F"] == max(p["F"] for p in out["points"] if p["F"] is not None)
+    assert len(asked) == len(set(asked)) == len(out["points"]) and out["rounds"] == 3
+
+
+def test_neighbours_across_missing_cells(spark):
+    z = np.arange(30).reshape(5, 6) % 7 + 1
+    cells, grid = table(spark, z)
+    gone = cells.filter("cell_id % 4 != 1")
+    dense = cells.withColumn("label", F.when(F.col("cell_id") % 4 != 1, F.col("z")).otherwise(0).cast("long"))
+    sparse = gone.withColumn("label", F.col("z").cast("long"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(stencil.adjacency(sparse)) == rows(stencil.adjacency(dense))
+    masked = cells.withColumn("z", F.when(F.col("cell_id") % 4 != 1, F.col("z")))
+    mine = lambda df, *c: rows(df.filter("z IS NOT NULL").select("cell_id", *c))
+    assert mine(stencil.edge(gone), "is_edge") == mine(stencil.edge(masked), "is_edge")
+    assert mine(stencil.aspect(gone, grid), "sin_aspect", "aspect_valid") == mine(stencil.aspect(masked, grid), "sin_aspect", "aspect_valid")
+    one = gone.withColumn("label", F.lit(1).cast("long"))
+    assert one.join(stencil.interior(one).select("cell_id", F.col("label").alias("kept")), "cell_id").filter("kept > 0").count() == 0
+
+
+def test_tables_of_a_scope_go(spark):
+    with temporary(spark) as keep:
+        gone, kept = cut(spark.range(3), "gone"), keep(cut(spark.range(4), "kept"))
+    assert kept.count() == 4 and not exists(spark, gone._fallline_path)
+    drop_table(kept)
+    assert not exists(spark, kept._fallline_path)
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    marked = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    df = spark.createDataFrame([("x" * 1000, [1, 2], [("a", b"bc")])], "a string, b array<int>, c array<struct<d:string,e:binary>>")
+    assert marked(broadcast_if_small(df)) and not marked(broadcast_if_small(df, size=900)) and not marked(broadcast_if_small(df.unionAll(df), 1))
+
+
+def test_stages_are_written_once(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5)
+
+    path = str(tmp_path / "s")
+    assert [stage(spark, path, build).count() for _ in range(2)] == [5, 5] and len(calls) == 1
+    assert stage(spark, path, build, restart=True).count() == 5 and len(calls) == 2
 
 
 def test_merge_domains():
