@@ -9,6 +9,7 @@ import json
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fallline.llm import (
-    boosting, byte_bpe, decontaminate, gram_counts, html_tree, importance, jaccard_join, license_scan, lm_score, quality_rules, queries, token_store, warc, wrapper,
+    boosting, byte_bpe, decontaminate, gram_counts, html_tree, importance, jaccard_join, license_scan, lm_score, quality_rules, queries, token_store, trees, warc, wrapper,
 )
 from fallline.llm.textblock import blocks
 
@@ -512,17 +513,105 @@ def test_main_text(spark):
     assert {r.text for r in wrapper.extract(copies).collect()} == {"A copied text"}
 
 
+def own_text(source, marks=True):
+    """The text of a page that has no host: by its own tree and marks."""
+    return wrapper.main_text(wrapper.Reader(marks), source, None, None, set()).split("\n")
+
+
 def test_broken_pages_do_not_crash():
     rnd = random.Random(12)
     bits = ["<p>", "</p>", "<b>", "<div class='a", "\">", "</div>", "<!--", "-->", "<script>", "</script>", "text", "&amp", "&#x41;", "<", ">", "<li>", "<ul>", "<table><tr><td>", "<![CDATA[x]]>", "<a href=1>", "</a>", "<article>", "<br/>"]
     for _ in range(2000):
         source = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25)))
+        for marks in (True, False):
+            own_text(source, marks)
+
+
+def test_deep_and_hostile_pages(spark):
+    sources = [
+        "<div>" * 20_000 + "x", "<section>" * 8_000 + "</p>" * 100_000 + "x", "<p><object>" + "<blockquote>" * 8_000 + "<p></p>" * 8_000 + "</object>x",
+        "<a " * 100_000, '<a ">' + '"><a" ' * 50_000, "<title>" * 100_000 + "x", "<div>a</div><p>b</p>" * 5_000,
+        "".join(f"<div class={chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{chr(97 + i // 676)}>t</div>" for i in range(4_000)), "<p>" + "word " * 300_000,
+    ]
+    reader = wrapper.Reader()
+    for source in sources:
+        begun = time.perf_counter()
+        page, shape = reader.page(source)
+        mine = shape[id(page.root)]
+        own = reader.own_region(page, shape)
+        assert list(reader.trees.carried(mine, mine)) and own is not None
+        assert time.perf_counter() - begun < 2.0  # each is under a second on an idle machine
+    df = spark.createDataFrame([(i, "http://h.example/", s) for i, s in enumerate(sources)], "page_id bigint, url string, html string")
+    rows = {r.page_id: r.text for r in wrapper.extract(df).collect()}
+    assert len(rows) == len(sources) and rows[0] == "x" and len(rows[8]) == 5 * 300_000 - 1
+
+
+def soup(rnd, i, name):
+    """(html, article): a page whose elements say nothing; a motto and a closing line are the site's, a menu, an aside and a
+    footer vary from page to page."""
+    paragraphs = [prose(rnd, rnd.randint(15, 60)) for _ in range(rnd.randint(1, 6))]
+    title = f"Title {i} of it"
+    menu = "".join(f"<div>{prose(rnd, 2)}</div>" for _ in range(4))
+    article = f"<h2>{title}</h2>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<p>Read on at our shop, as ever</p>"
+    body = f"<div class=k1><div>{name}, site of sites</div></div><div class=k2>{menu}</div><div class=k3><div class=k4>{article}</div><div class=k5>{prose(rnd, 12)}</div></div><div class=k6><p>{prose(rnd, 9)}</p><p>All rights kept</p></div>"
+    return page(body), "\n".join([title, *paragraphs])
+
+
+@pytest.mark.parametrize("size", [1, 3, 12, 40])
+def test_the_template_decides(spark, size):
+    """Without any mark the alignment finds the article; without the alignment nothing does."""
+    rnd = random.Random(size)
+    pages, expected = [], {}
+    for host in range(8):
+        for i in range(size):
+            source, text = soup(rnd, i, f"Host {host}")
+            # The closing line of the article can only be told from it on hosts of several pages.
+            expected[len(pages)] = text if size >= 4 else text + "\nRead on at our shop, as ever"
+            pages.append((len(pages), f"http://host{host}.example/{i}", source))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    right = lambda **how: np.mean([r.text == expected[r.page_id] for r in wrapper.extract(df, **how).collect()])
+    assert right(marks=False) >= 0.95 and right() >= 0.95
+    assert right(template=False) == 0.0 and right(marks=False, template=False) == 0.0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_what_marks_and_template_do_on_the_tables(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    text = lambda **how: {r.page_id: r.text for r in wrapper.extract(pages, **how).collect()}
+    both, alone, nothing = text(), text(marks=False), text(marks=False, template=False)
+    assert np.mean([both[k] == alone[k] for k in both]) >= 0.95 and np.mean([both[k] == nothing[k] for k in both]) <= 0.05
+
+
+def brute_constants(pages):
+    """Texts at one place of nearly all different pages; all pages of the test have one skeleton."""
+    seen = collections.defaultdict(set)
+    for source in pages:
         root = html_tree.parse(source)
-        shape = wrapper.skeleton(root)
-        wrapper.places(root, shape, shape)
-        wrapper.page_blocks(root)
-    deep = html_tree.parse("<div>" * 400 + "x")
-    assert [t for _, t, _ in html_tree.blocks(deep)] == ["x"]
+        path = {id(root): ""}
+        order = [root]
+        for node in order:
+            for label, members in trees.runs(node):
+                for m in members:
+                    path[id(m)] = f"{path[id(node)]}/{label}"
+                order += members
+        for node, text, _ in html_tree.blocks(root):
+            seen[path[id(node)], text].add(source)
+    return {text for (_, text), on in seen.items() if len(on) >= wrapper.SHARE * (len(set(pages)) + 1)}
+
+
+def test_constants_equal_brute_force(spark):
+    rnd = random.Random(21)
+    for size in (1, 3, 4, 5, 9, 30):
+        pages = []
+        for i in range(size):
+            lines = [f"Own words {i}-{k} " + prose(rnd, 9) for k in range(3)]
+            lines += [f"Shared {k}" if rnd.random() < 0.85 else f"Not shared {i} {k}" for k in range(6)]
+            pages.append(page("<div><div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div></div>"))
+        gone = brute_constants(pages)
+        df = spark.createDataFrame([(i, "http://one.example/", p) for i, p in enumerate(pages + pages)], "page_id bigint, url string, html string")
+        for r in wrapper.extract(df).collect():
+            wanted = [t for _, t, _ in html_tree.blocks(html_tree.parse((pages + pages)[r.page_id])) if t not in gone]
+            assert r.text == "\n".join(wanted)
 
 
 def test_marks_of_the_whole_page_remove_nothing():
@@ -533,29 +622,58 @@ def test_marks_of_the_whole_page_remove_nothing():
     )
     for outer in wrappers:
         for inner in (text, f"<article>{text}</article>", f'<div class="ad">Buy!</div>{text}<div class="comments"><p>Nice</p></div>'):
-            assert [t for _, t in wrapper.page_blocks(html_tree.parse(outer.format(inner)))] == ["The whole text of the page."]
+            assert own_text(outer.format(inner)) == ["The whole text of the page."]
     # An article in a marked element that does not hold most of the text; comments that do.
     short = f'<div class="has-banner"><article>{text}</article></div><div>{"Other words here. " * 9}</div>'
     long = f'<div>{text}</div><div class="comments">{"<p>Yes, I think so too.</p>" * 9}</div>'
     for source in (short, long):
-        assert [t for _, t in wrapper.page_blocks(html_tree.parse(source))] == ["The whole text of the page."]
-    assert [t for _, t in wrapper.page_blocks(html_tree.parse(f'<div class="widget">{text}</div>'))] == ["The whole text of the page."]
+        assert own_text(source) == ["The whole text of the page."]
+    assert own_text(f'<div class="widget">{text}</div>') == ["The whole text of the page."]
 
 
 def test_split_articles_and_lists_of_references():
     split = '<body><div class="content"><p>First, the longer half of it.</p></div><div class="ad">Buy!</div><div class="content"><p>Second half.</p></div><div>About us</div></body>'
-    assert [t for _, t in wrapper.page_blocks(html_tree.parse(split))] == ["First, the longer half of it.", "Second half."]
+    assert own_text(split) == ["First, the longer half of it.", "Second half."]
     linked = '<body><div><a href="/">Home</a></div><div><p>See these.</p><ul><li><a href="1">One work</a></li><li><a href="2">Two works</a></li></ul><p>That is all.</p></div><div><a href="/x">More</a></div></body>'
-    assert [t for _, t in wrapper.page_blocks(html_tree.parse(linked))] == ["See these.", "One work", "Two works", "That is all."]
+    assert own_text(linked) == ["See these.", "One work", "Two works", "That is all."]
     last = linked.replace("<p>That is all.</p>", "")
-    assert [t for _, t in wrapper.page_blocks(html_tree.parse(last))] == ["See these.", "One work", "Two works"]
-
-
-def test_simple_tree_matching():
-    t = lambda s: wrapper._tuples(json.loads(s))
-    a, b = t('["r",[["x",[]],["y",[["z",[]]]],["w",[]]]]'), t('["r",[["y",[["z",[]],["q",[]]]],["v",[]],["w",[]]]]')
-    assert wrapper.match(a, b) == 4 and wrapper.align(a, b) == (1, -1, 2)
-    assert wrapper.merge(a, b) == t('["r",[["x",[]],["y",[["z",[]],["q",[]]]],["v",[]],["w",[]]]]')
+    assert own_text(last) == ["See these.", "One work", "Two works"]
+
+
+def brute_match(a, b):
+    """Simple tree matching by its definition, on nested tuples."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_match(x, y))
+    return best[-1][-1] + 1
+
+
+def test_simple_tree_matching(monkeypatch):
+    rnd = random.Random(13)
+
+    def grow(depth):
+        return rnd.choice("xyz"), tuple(grow(depth - 1) for _ in range(rnd.randint(0, 4))) if depth else ()
+
+    def number(t, n):
+        return t.make(n[0], tuple(number(t, k) for k in n[1]))
+
+    for _ in range(300):
+        t, a, b = trees.Trees(), ("r", grow(3)[1]), ("r", grow(3)[1])
+        x, y = number(t, a), number(t, b)
+        assert t.match(x, y) == brute_match(a, b) == t.match(y, x)
+        both = t.merge(x, y)
+        assert t.match(both, x) == t.size[x] and t.match(both, y) == t.size[y]
+        assert t.size[both] == t.size[x] + t.size[y] - t.match(x, y)
+        assert t.load(t.dump(both)) == both and len(list(t.walk(both))) == t.size[both]
+        monkeypatch.setattr(trees, "PAIRS", 3)  # the greedy way still keeps order and labels
+        greedy = trees.Trees()
+        x, y = number(greedy, a), number(greedy, b)
+        at = [i for i in greedy.align(x, y) if i >= 0]
+        assert at == sorted(set(at)) and greedy.match(x, y) <= brute_match(a, b)
+        monkeypatch.undo()
 
 
 # the registry
