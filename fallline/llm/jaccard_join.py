@@ -1,23 +1,32 @@
 """Exact join of documents by the Jaccard similarity of their word shingles.
 
-Jaccard distance is a metric, so triangle inequalities can prune a join, but between most documents it is
+Jaccard distance is a metric, and the join prunes with its triangle inequality, but between most documents it is
 1: there a nearest pivot says nothing, and every window around a Voronoi region would hold the whole
-corpus.  The join therefore has two levels.
+corpus.  So an exact filter first parts the corpus, and the metric join works inside the parts.
 
 *Families.*  The empty set is the first pivot: distances to it order documents by size, and a document
 can only match within a window of sizes.  Within a size class every document with fewer than H differing
 shingles from another agrees with it exactly on some part of a hash partition of all shingles into more
-than H parts (pigeonhole); shingles that many documents share are left out of the parts.  Documents that agree on a part get an edge; the connected components of these
-edges are families.  Every linked pair lies in one family, and between families no pair is compared.
-
-*Regions.*  A family of up to ``BLOCK`` sets is joined directly.  A larger one gets pivots; each member's
-distances to them and to the empty set give its Voronoi region and its band within it, and bands over
-``BLOCK`` sets are split again by hash.  Two blocks are joined unless the triangle inequality, for some pivot, puts every pair of
-them beyond the threshold, or one pivot already links all of both.  So boundary documents meet the regions
-within reach of them, no task holds more than two blocks, and results are exact.
+than H parts (pigeonhole); shingles that many documents share are left out of the parts.  Documents that agree on a
+part get an edge; the connected components of these edges are families.  Every linked pair lies in one family, and no
+edge of a family is a link before the metric join has found it.
+
+*Regions.*  A region is a set of members of which some are open; the join finds all links that have an open end.  At
+first a family is a region and all of it is open.  A step takes open members as pivots (the middle of the region, then
+those farthest from the pivots so far), measures every member's distance to them, and has thereby settled the pivots.
+Members linked to one pivot are linked through it, so only those that are not stay open.  Then members go to the
+region of their nearest pivot, and as guests to every later one in reach: if x is linked to y, whose nearest pivot is
+q, then x is at most twice the threshold farther from q than from its own.  Members that the triangle inequality, for
+some pivot, puts out of reach of all that is open leave.  Where regions overlap so much that a split saves no
+comparison, the region stays whole, without its settled pivots.  Recursion ends where nothing is open.
+
+Families and regions of up to ``TASK_SHINGLES`` are joined inside one task; larger ones take the same step as tables, a
+level at a time, dealt into chunks of bounded size.  A large region that a step does not shrink is dealt into blocks, so
+that each open member meets each member in one task, which joins them in the same way.
 
 Equal sets are one node throughout, so copies never meet.  Sets are compared by 52-bit hashes of
-shingles and nodes are 64-bit hashes of sets.
+shingles.  Nodes are 64-bit hashes of sets; a second one tells when two sets share a node, and then the join starts again
+with other hashes.
 
 Defined results for odd input: a null or empty text, or one without words, has no shingles and links with
 nothing; a text with fewer words than a shingle has its whole sequence as its one shingle; repeated rows
@@ -38,12 +47,14 @@ from pyspark.sql import functions as F
 from fallline.components import connected_components
 from fallline.llm.rows import per_partition
 from fallline.llm.textblock import LOWER, Block, blocks, distinct_sorted, gram_hashes, mix, ranges, slice_hashes, words
-from fallline.runtime import broadcast_if_small, cut
-
-#: Sets in a block; a task compares two blocks at most.
-BLOCK = 256
-#: Pivots of a family that has more than BLOCK sets.
-PIVOTS = 4
+from fallline.runtime import broadcast_if_small, cut, temporary
+
+#: Shingles of the sets that one task joins, or measures against pivots.
+TASK_SHINGLES = 2_000_000
+#: Pivots of a step over tables, and members among which a task looks for them.
+PIVOTS, SAMPLE = 16, 64
+#: A region that keeps more of its members than this share is dealt into blocks of open members and of all members.
+SHRINK = 0.9
 #: Texts of a block of bytes, so that a text's number fits beside a 52-bit shingle.
 TEXTS = 4096
 #: Growth of the size classes, and parts beyond the number of differences that a class allows.
@@ -87,10 +98,10 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def nodes_of(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def nodes_of(shingles: np.ndarray, bounds: np.ndarray, salt: int = 0) -> np.ndarray:
     """One 64-bit number for each set (as int64)."""
     with np.errstate(over="ignore"):
-        return mix(_sums(mix(shingles + _U(11)), bounds) + np.diff(bounds).astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+        return mix(_sums(mix(shingles + _U(11 + 2 * salt)), bounds) + np.diff(bounds).astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 @lru_cache(4)
@@ -208,21 +219,21 @@ def _agreeing(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[first], pairs[0], pairs[1]
 
 
-_LINK = "key bigint, a bigint, b bigint, doc {kind}, text_hash bigint, n int"
+_LINK = "key bigint, a bigint, b bigint, doc {kind}, text_hash bigint, n int, proof bigint"
 
 
-def _candidates(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """Rows (a, b): nodes that agree on a signature; rows (a, doc, text_hash, n): the documents."""
+def _candidates(docs: DataFrame, size: int, percent: int, key: str, text: str, salt: int = 0) -> DataFrame:
+    """Rows (a, b): nodes that agree on a signature; rows (a, doc, text_hash, n, proof): the documents."""
     kind = docs.schema[key].dataType
     rows = docs.select(docs[key].alias("doc"), docs[text].alias("text"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("text_hash"))
-    doc_type = None
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, size, text))
 
-    def nothing(n: int, dtype: pa.DataType) -> pa.Array:
-        return pa.nulls(n, dtype)
+    def edges(a: np.ndarray, b: np.ndarray | None, key: np.ndarray, doc_type: pa.DataType) -> dict:
+        n = len(a)
+        return {"key": key, "a": a, "b": pa.nulls(n, pa.int64()) if b is None else b, "doc": pa.nulls(n, doc_type), "text_hash": pa.nulls(n, pa.int64()), "n": pa.nulls(n, pa.int32()), "proof": pa.nulls(n, pa.int64())}
 
     def emit(batches):
-        values, nodes, waiting = [], [], 0
+        values, nodes, waiting, doc_type = [], [], 0, None
 
         def send():
             nonlocal waiting
@@ -232,18 +243,18 @@ def _candidates(docs: DataFrame, size: int, percent: int, key: str, text: str) -
             values.clear(), nodes.clear()
             waiting = 0
             head, a, b = _agreeing(value, node)
-            yield {"key": value[head].view(np.int64), "a": node[head], "b": nothing(len(head), pa.int64()), "doc": nothing(len(head), doc_type), "text_hash": nothing(len(head), pa.int64()), "n": nothing(len(head), pa.int32())}
-            yield {"key": a, "a": a, "b": b, "doc": nothing(len(a), doc_type), "text_hash": nothing(len(a), pa.int64()), "n": nothing(len(a), pa.int32())}
+            yield edges(node[head], None, value[head].view(np.int64), doc_type)
+            yield edges(a, b, a, doc_type)
 
         for batch in batches:
             doc_type = batch.schema.field("doc").type
             for block in blocks(batch.column("text"), rows=TEXTS):
                 shingles, bounds = shingle_sets(block, size)
-                n, node = np.diff(bounds), nodes_of(shingles, bounds)
+                n, node = np.diff(bounds), nodes_of(shingles, bounds, salt)
                 m = len(block)
                 yield {
-                    "key": node, "a": pa.array(node, mask=n == 0), "b": nothing(m, pa.int64()), "doc": batch.column("doc").slice(block.first, m),
-                    "text_hash": batch.column("text_hash").slice(block.first, m), "n": pa.array(n, pa.int32()),
+                    "key": node, "a": pa.array(node, mask=n == 0), "b": pa.nulls(m, pa.int64()), "doc": batch.column("doc").slice(block.first, m),
+                    "text_hash": batch.column("text_hash").slice(block.first, m), "n": pa.array(n, pa.int32()), "proof": nodes_of(shingles, bounds, salt + 1000),
                 }
                 # Texts of one set give the same signatures: one of them does.
                 one = np.unique(node[n > 0], return_index=True)[1]
@@ -260,51 +271,129 @@ def _candidates(docs: DataFrame, size: int, percent: int, key: str, text: str) -
         yield from send()
 
     def meet(batches):
-        values, nodes = [], []
+        last, head = None, None  # rows come in the order of key and node, so a key's first node is its smallest
         for batch in batches:
             signature = batch.column("b").is_null().to_numpy(zero_copy_only=False) & batch.column("n").is_null().to_numpy(zero_copy_only=False)
-            values.append(batch.column("key").to_numpy()[signature])
-            nodes.append(np.asarray(batch.column("a").fill_null(0))[signature])
             yield batch.filter(pa.array(~signature))
-        if values:
-            _, a, b = _agreeing(np.concatenate(values), np.concatenate(nodes))
-            yield {"key": a, "a": a, "b": b, "doc": nothing(len(a), batch.schema.field("doc").type), "text_hash": nothing(len(a), pa.int64()), "n": nothing(len(a), pa.int32())}
+            value, node = batch.column("key").to_numpy()[signature], np.asarray(batch.column("a").fill_null(0))[signature]
+            if not len(value):
+                continue
+            first = np.concatenate([[True], value[1:] != value[:-1]])
+            heads = node[np.maximum.accumulate(np.where(first, np.arange(len(value)), 0))]
+            if last is not None and value[0] == last:
+                heads[value == last] = head
+            last, head = value[-1], heads[-1]
+            other = node != heads
+            a, b = np.unique(np.stack([node[other], heads[other]]), axis=1)
+            yield edges(a, b, a, batch.schema.field("doc").type)
 
     schema = _LINK.format(kind=kind.simpleString())
-    return per_partition(per_partition(rows, emit, schema).repartition("key"), meet, schema).drop("key")
-
-
-def _counts(mine: np.ndarray, code: np.ndarray, rows: int, width: int, split: int, chunk: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of sets 0 to split with all sets, given (set, shingle number) pairs."""
-    total = np.zeros((split, rows), np.float32)
-    order = np.argsort(code, kind="stable")
-    mine, code = mine[order], code[order]
-    for first in range(0, width, chunk):
-        a, b = np.searchsorted(code, [first, first + chunk])
-        dense = np.zeros((rows, min(chunk, width - first)), np.float32)
-        dense[mine[a:b], code[a:b] - first] = 1
-        total += dense[:split] @ dense.T
-    return total
-
-
-def similar(sets: list[np.ndarray], split: int, percent: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) that link; with ``cross`` only i < split <= j, else all i < j (split is then all)."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    if n < 2:
+    met = per_partition(rows, emit, schema).repartition("key").sortWithinPartitions("key", "a")
+    return per_partition(met, meet, schema).drop("key")
+
+
+class Sets:
+    """Sets of shingles, told by numbers; shingles of one set alone are only counted."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], dtype=np.int64)
+        _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = (df > 1)[code]
+        self.code = (np.cumsum(df > 1) - 1)[code[shared]].astype(np.int32)
+        self.bounds = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(self.size)])]
+        self.mask = np.zeros(int((df > 1).sum()), dtype=bool)
+
+    def of(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the members' sets, one after the other; their bounds)."""
+        length = self.bounds[members + 1] - self.bounds[members]
+        return self.code[ranges(self.bounds[members], length)], np.concatenate([[0], np.cumsum(length)])
+
+    def common(self, p: int, code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set ``p`` with sets of the given codes."""
+        mine = self.code[self.bounds[p] : self.bounds[p + 1]]
+        self.mask[mine] = True
+        total = np.concatenate([[0], np.cumsum(self.mask[code], dtype=np.int64)])
+        self.mask[mine] = False
+        return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def measure(sets: Sets, members: np.ndarray, open_: np.ndarray, most: int, percent: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(places of the pivots among the members, their distances to all members, whether they are linked).
+
+    Pivots are open members: first the one nearest to the rest by the sums of intersections and unions, then always the
+    one farthest from the pivots so far, up to ``most`` of them or until one pivot is linked to all.
+    """
+    code, bounds = sets.of(members)
+    size = sets.size[members]
+    often = np.bincount(code, minlength=len(sets.mask))
+    total = np.concatenate([[0], np.cumsum(often[code])])
+    inner = (total[bounds[1:]] - total[bounds[:-1]]).astype(np.float64)
+    middle = inner / (size * len(members) + size.sum() - inner)
+    next_one = int(np.argmax(np.where(open_, middle, -1.0)))
+    pivots, distance, linked = [], [], []
+    nearest = np.full(len(members), np.inf)
+    while True:
+        p = members[next_one]
+        common = sets.common(p, code, bounds)
+        union = sets.size[p] + size - common
+        pivots.append(next_one)
+        distance.append(1 - common / union)
+        linked.append((100 * common >= percent * union) & (common > 0))
+        nearest = np.minimum(nearest, distance[-1])
+        nearest[next_one] = -1.0
+        left = np.where(open_, nearest, -1.0)
+        next_one = int(np.argmax(left))
+        if len(pivots) >= most or left[next_one] < 0 or linked[-1].all():
+            return pivots, np.array(distance), np.array(linked)
+
+
+def pivot_links(sets: Sets, percent: int, open_: np.ndarray | None = None, count: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect whatever linked pairs with an open end connect; ``count`` gets the numbers of regions and
+    of distances measured added."""
+    n = len(sets.size)
+    reach = (100 - percent) / 100 + 1e-9
+    todo = [(np.arange(n), np.ones(n, bool) if open_ is None else open_)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while todo:
+        members, open_ = todo.pop()
+        if len(members) < 2 or not open_.any():
+            continue
+        pivots, distance, linked = measure(sets, members, open_, max(4, int(np.sqrt(len(members)) / 2)), percent)
+        if count is not None:
+            count[0] += 1
+            count[1] += distance.size
+        for p, row in zip(pivots, linked):
+            mine = np.flatnonzero(row)
+            mine = mine[mine != p]
+            found.append((members[mine], np.full(len(mine), members[p])))
+        rest = np.ones(len(members), bool)
+        rest[pivots] = False
+        members, open_, distance, linked = members[rest], open_[rest], distance[:, rest], linked[:, rest]
+
+        def narrowed(inside: np.ndarray, covers: list[np.ndarray]):
+            """The region of the members ``inside``: its smallest cover is open, and who is in reach of it for every pivot stays."""
+            cover = min((c & inside for c in covers), key=np.count_nonzero)
+            if not cover.any():
+                return None
+            low, high = distance[:, cover].min(axis=1) - reach, distance[:, cover].max(axis=1) + reach
+            inside = inside & ((distance >= low[:, None]) & (distance <= high[:, None])).all(axis=0)
+            return members[inside], cover[inside]
+
+        whole = narrowed(np.ones(len(members), bool), [open_, *~linked])
+        if whole is None:
+            continue
+        home = distance.argmin(axis=0)
+        nearest = distance.min(axis=0)
+        split = []
+        for j in range(len(pivots)):
+            inside = (home == j) | (home < j) & (distance[j] - nearest <= 2 * reach)
+            if (home == j).any() and (one := narrowed(inside, [open_, ~linked[j]])) is not None:
+                split.append(one)
+        cost = lambda some: sum(len(m) * int(o.sum()) for m, o in some)
+        todo += split if cost(split) < cost([whole]) else [whole]
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    mine = np.repeat(np.arange(n), size)
-    shared = df > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[code]
-    common = _counts(mine[keep], number[code[keep]], n, int(shared.sum()), split)
-    common = common.astype(np.int64)
-    union = size[:split, None] + size[None, :] - common
-    linked = (100 * common >= percent * union) & (common > 0)
-    i, j = np.nonzero(linked)
-    keep = (j >= split) if cross else (i < j)
-    return i[keep], j[keep]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,136 +412,174 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _by_task(batches, size: int, handle):
-    """Call ``handle(first row's batch columns, rows)`` for each run of equal tasks; one task's rows at a time."""
-    current, rows = None, []
+    """Call ``handle`` with the rows (node, open, set) of each task; one task's rows at a time."""
+    current, rows = None, {}
     for batch in batches:
-        tasks = batch.column("task").to_pylist()
-        sides = batch.column("side").to_pylist()
-        nodes = batch.column("node").to_pylist()
+        tasks, nodes, opens = (batch.column(c).to_pylist() for c in ("task", "node", "open"))
         sets: list[np.ndarray] = []
         for block in blocks(batch.column("text"), rows=TEXTS):
             shingles, bounds = shingle_sets(block, size)
             sets += [shingles[a:b].copy() for a, b in zip(bounds[:-1], bounds[1:])]
-        for task, side, node, one in zip(tasks, sides, nodes, sets):
+        for task, node, open_, one in zip(tasks, nodes, opens, sets):
             if task != current:
                 if rows:
-                    yield handle(rows)
-                current, rows = task, []
-            rows.append((side, node, one))
+                    yield handle(current, rows)
+                current, rows = task, {}
+            # A node can come twice, open and not.
+            rows[node] = open_ or node in rows and rows[node][0], one
     if rows:
-        yield handle(rows)
+        yield handle(current, rows)
 
 
-def _distinct(rows: list) -> list:
-    """Rows ordered by side then node, one for each."""
-    out = {(side, node): one for side, node, one in rows}
-    return [(side, node, out[side, node]) for side, node in sorted(out)]
+def _dealt(work: DataFrame) -> DataFrame:
+    return work.select("task", "node", "open", "text").repartition("task").sortWithinPartitions("task")
 
 
-def _links(work: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) edges that join the linked members of each task; ``work`` has task, side, node, text."""
+def _links(work: DataFrame, size: int, percent: int, counters: tuple | None) -> DataFrame:
+    """(a, b) edges that join the linked members of each task; ``work`` has task, node, open and text."""
 
-    def handle(rows):
-        rows = _distinct(rows)
-        split = sum(side == 0 for side, _, _ in rows)
-        cross = split < len(rows)
-        i, j = similar([one for _, _, one in rows], split, percent, cross)
+    def handle(task, rows):
+        if len(rows) < 2:
+            return None
+        count = [0, 0]
+        nodes = sorted(rows)
+        i, j = pivot_links(Sets([rows[n][1] for n in nodes]), percent, np.array([rows[n][0] for n in nodes]), count)
+        for counter, n in zip(counters or (), count):
+            counter.add(n)
         if not len(i):
             return None
-        member, head = _forest(len(rows), i, j)
-        node = np.array([n for _, n, _ in rows], dtype=np.int64)
+        member, head = _forest(len(nodes), i, j)
+        node = np.array(nodes, dtype=np.int64)
         return {"a": node[member], "b": node[head]}
 
-    rows = work.select("task", "side", "node", "text").repartition("task").sortWithinPartitions("task")
-    return per_partition(rows, lambda batches: _by_task(batches, size, handle), "a bigint, b bigint")
-
-
-def _pivot_distances(members: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, family, distances (to the family's pivots) for the members of large families."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-    pivots = members.groupBy("family", slot.alias("slot")).agg(F.min_by(F.struct("node", "text"), F.xxhash64("node", F.lit(1))).alias("p"))
-    chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("members") / BLOCK)).cast("int")
-    mine = members.withColumn("chunk", chunk).select(F.xxhash64("family", "chunk").alias("task"), F.lit(1).alias("side"), "node", "family", "text")
-    copies = pivots.join(families, "family").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / BLOCK).cast("int") - 1)))
-    copies = copies.select(F.xxhash64("family", "chunk").alias("task"), F.lit(0).alias("side"), F.col("p.node").alias("node"), "family", F.col("p.text").alias("text"))
-
-    def handle(rows):
-        rows = _distinct(rows)
-        pivots, mine = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
-        out = np.ones((len(mine), PIVOTS))
-        for k, (_, _, p) in enumerate(pivots):
-            common = np.array([len(np.intersect1d(p, one, assume_unique=True)) for _, _, one in mine])
-            out[:, k] = 1 - common / (len(p) + np.array([len(one) for _, _, one in mine]) - common)
-        distances = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1) * PIVOTS, pa.int32()), pa.array(out.ravel()))
-        return {"node": [n for _, n, _ in mine], "distances": distances, "pivots": pa.array([[p[1] for p in pivots]] * len(mine), pa.list_(pa.int64()))}
+    return per_partition(_dealt(work), lambda batches: _by_task(batches, size, handle), "a bigint, b bigint")
 
-    work = mine.unionByName(copies).repartition("task").sortWithinPartitions("task")
-    return per_partition(work, lambda batches: _by_task(batches, size, handle), "node bigint, distances array<double>, pivots array<bigint>")
 
+def _measured(work: DataFrame, texts: DataFrame, size: int, percent: int, counters: tuple | None) -> DataFrame:
+    """region, node, n, pivots, distances and linked (both to the pivots) of the members of large regions.
 
-def _region_tasks(members: DataFrame, families: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links to pivots, work rows) for families of more than BLOCK members."""
+    ``work`` has region, node, n and open; a task of a region looks for pivots among some open members, and tasks of
+    bounded size then measure all of them.
+    """
+    slot = F.pmod(F.xxhash64("node", "region"), F.lit(SAMPLE))
+    some = work.filter("open").groupBy("region", slot.alias("slot")).agg(F.min_by("node", F.xxhash64("node", F.lit(1))).alias("node"))
+    some = some.join(texts, "node").select(F.col("region").alias("task"), "node", F.lit(True).alias("open"), "text")
+
+    def choose(task, rows):
+        nodes = sorted(rows)
+        pivots = measure(Sets([rows[n][1] for n in nodes]), np.arange(len(nodes)), np.ones(len(nodes), bool), PIVOTS, percent)[0]
+        return {"region": [task] * len(pivots), "p": [nodes[i] for i in pivots]}
+
+    pivots = cut(per_partition(_dealt(some), lambda batches: _by_task(batches, size, choose), "region bigint, p bigint"), "chosen")
+    chunks = work.groupBy("region").agg(F.ceil(F.sum("n") / TASK_SHINGLES).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks"))
+    mine = work.join(chunks, "region").select(F.xxhash64("region", chunk).alias("task"), "region", "node", "n", F.lit(False).alias("open"))
+    copies = pivots.join(chunks, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    copies = copies.select(F.xxhash64("region", F.col("chunk").cast("long")).alias("task"), F.col("p").alias("node"), F.lit(True).alias("open"))
+    both = mine.select("task", "node", "open").unionByName(copies).join(texts, "node")
+
+    def run(task, rows):
+        nodes = sorted(rows)
+        sets = Sets([rows[n][1] for n in nodes])
+        pivots = np.array([i for i, n in enumerate(nodes) if rows[n][0]])
+        code, bounds = sets.of(np.arange(len(nodes)))
+        common = np.stack([sets.common(p, code, bounds) for p in pivots], axis=1)
+        union = sets.size[pivots][None, :] + sets.size[:, None] - common
+        for counter, n in zip(counters or (), (1, common.size)):
+            counter.add(n)
+        edge = pa.array(np.arange(len(nodes) + 1) * len(pivots), pa.int32())
+        linked = (100 * common >= percent * union) & (common > 0)
+        lists = lambda x: pa.ListArray.from_arrays(edge, pa.array(x.ravel()))
+        return {"task": [task] * len(nodes), "node": nodes, "pivots": lists(np.tile(np.array(nodes)[pivots], (len(nodes), 1))), "distances": lists(1 - common / union), "linked": lists(linked)}
+
+    out = per_partition(_dealt(both), lambda batches: _by_task(batches, size, run), "task bigint, node bigint, pivots array<bigint>, distances array<double>, linked array<boolean>")
+    return out.join(mine.select("task", "region", "node", "n"), ["task", "node"]).drop("task")
+
+
+def _large_links(members: DataFrame, size: int, percent: int, counters: tuple | None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(links to pivots; work for tasks) of families too large for one task: one level of regions after the other.
+    ``members`` has family, node, n and text."""
     reach = (100 - percent) / 100 + 1e-9
-    near = cut(_pivot_distances(members, families, size, percent), "pivots")
-    ball = near.select("node", F.explode(F.arrays_zip("distances", "pivots")).alias("z")).filter(F.col("z.distances") <= reach)
-    ball = ball.select(F.col("node").alias("a"), F.col("z.pivots").alias("b")).filter("a != b AND b IS NOT NULL")
-    nearest = F.array_min("distances")
-    placed = near.select(
-        "node", "distances", F.array_position("distances", nearest).cast("int").alias("region"), F.floor(nearest / reach).cast("int").alias("band"),
-    ).join(members.select("node", "family", "n"), "node")
-    # Sizes are distances to the empty set: sets match only within a ratio of sizes.
-    placed = placed.withColumn("width", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
-    cell = ["family", "region", "band", "width"]
-    cells = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = placed.join(cells, cell)
-    block = F.xxhash64("region", "band", "width", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
-    placed = cut(placed.select("node", "family", "n", block.alias("block"), "distances"), "blocks")
-    spans = placed.groupBy("family", "block").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"),
-        *[f(F.col("distances")[k]).alias(f"{name}{k}") for k in range(PIVOTS) for name, f in (("low", F.min), ("high", F.max))])
-    one, two = (spans.select("family", *[F.col(c).alias(f"{c}_{s}") for c in spans.columns if c != "family"]) for s in "xy")
-    pairs = one.join(two, "family").filter("block_x <= block_y")
-    pairs = pairs.filter(f"100 * most_x >= {percent} * least_y AND 100 * most_y >= {percent} * least_x")
-    for k in range(PIVOTS):
-        gap = F.greatest(F.col(f"low{k}_x") - F.col(f"high{k}_y"), F.col(f"low{k}_y") - F.col(f"high{k}_x"))
-        done = (F.col(f"high{k}_x") <= reach) & (F.col(f"high{k}_y") <= reach)  # one pivot links all of both
-        pairs = pairs.filter((gap <= reach) & ~done)
-    pairs = pairs.select("family", "block_x", "block_y", F.xxhash64("family", "block_x", "block_y").alias("task"))
-    sides = pairs.select("task", "family", F.col("block_x").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.filter("block_x != block_y").select("task", "family", F.col("block_y").alias("block"), F.lit(1).alias("side")))
-    work = placed.select("node", "family", "block").join(sides, ["family", "block"]).join(members.select("node", "text"), "node")
-    return ball, work.select("task", "side", "node", "text")
-
-
-def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    texts = members.select("node", "text")
+    work = members.select(F.col("family").alias("region"), "node", "n", F.lit(True).alias("open"))
+    links, tasks = [], []
+    while not work.isEmpty():
+        near = cut(_measured(work, texts, size, percent, counters), "near")
+        ball = near.select(F.col("node").alias("a"), F.explode(F.arrays_zip("pivots", "linked")).alias("z")).filter("z.linked AND z.pivots != a")
+        links.append(ball.select("a", F.col("z.pivots").alias("b")))
+        nearest = F.array_min("distances")
+        sent = near.filter(~F.array_contains("pivots", F.col("node"))).select(
+            "region", "node", "n", nearest.alias("nearest"), (F.array_position("distances", nearest) - 1).alias("home"),
+            F.posexplode(F.arrays_zip("distances", "linked")).alias("j", "z"))
+        sent = sent.filter((F.col("j") == F.col("home")) | (F.col("j") > F.col("home")) & (F.col("z.distances") - F.col("nearest") <= 2 * reach))
+        sent = sent.select(F.col("region").alias("parent"), F.xxhash64("region", "j").alias("region"), "node", "n", (~F.col("z.linked")).alias("open"), F.col("z.distances").alias("d"))
+        # What no open member is in reach of leaves.
+        span = sent.filter("open").groupBy("region").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+        sent = sent.join(span, "region").filter((F.col("d") >= F.col("low") - reach) & (F.col("d") <= F.col("high") + reach))
+        sent = cut(sent.select("parent", "region", "node", "n", "open"), "regions")
+        before = work.groupBy(F.col("region").alias("parent")).agg(F.count("*").alias("before"))
+        sizes = sent.groupBy("parent", "region").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"), F.sum(F.when(F.col("open"), F.col("n"))).alias("open_weight"))
+        sizes = cut(sizes.join(before, "parent").drop("parent"), "sizes")
+        placed = sent.drop("parent").join(sizes, "region")
+        small, stuck = F.col("weight") <= TASK_SHINGLES, F.col("rows") > SHRINK * F.col("before")
+        tasks.append(placed.filter(small).select(F.col("region").alias("task"), "node", "open").join(texts, "node"))
+        wide = placed.filter(~small & stuck)
+        half = TASK_SHINGLES / 2
+        wide = wide.withColumns({"of_open": F.ceil(F.col("open_weight") / half), "of_all": F.ceil(F.col("weight") / half)})
+        one = wide.filter("open").select("region", "node", F.lit(True).alias("open"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("of_open")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_all") - 1)).alias("y"))
+        two = wide.select("region", "node", F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_open") - 1)).alias("x"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("of_all")).alias("y"))
+        tasks.append(one.unionByName(two).select(F.xxhash64("region", "x", "y").alias("task"), "node", "open").join(texts, "node"))
+        work = cut(placed.filter(~small & ~stuck).select("region", "node", "n", "open"), "again")
+    return links, tasks
+
+
+def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", counters: tuple | None = None) -> DataFrame:
     """doc, text_hash, n_shingles, component_id and label of every row.
 
     Documents link when 100 · |x ∩ y| >= percent · |x ∪ y| for their sets of ``size``-word shingles; a
-    component is what links reach, and its id is its smallest key.
+    component is what links reach, and its id is its smallest key.  ``counters`` are two accumulators for the numbers
+    of regions joined and of distances measured.
     """
-    found = cut(_candidates(docs, size, percent, key, text), "candidates")
-    rows = found.filter("n IS NOT NULL").select("doc", "text_hash", F.col("a").alias("node"), F.col("n").cast("long").alias("n_shingles"))
+    with temporary(docs.sparkSession) as keep:
+        return _classes(docs, size, percent, key, text, counters, keep)
+
+
+def _rows(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates, documents) under hashes that tell all sets of the table apart."""
+    for salt in range(8):
+        found = cut(_candidates(docs, size, percent, key, text, salt), "candidates")
+        rows = found.filter("n IS NOT NULL").select("doc", "text_hash", F.col("a").alias("node"), F.col("n").cast("long").alias("n_shingles"), "proof")
+        if rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("proof").alias("p"), F.max("proof").alias("q")).filter("p != q").isEmpty():
+            return found, rows.drop("proof")
+    raise RuntimeError("no hash tells the sets apart")
+
+
+def _classes(docs: DataFrame, size: int, percent: int, key: str, text: str, counters: tuple | None, keep) -> DataFrame:
+    found, rows = _rows(docs, size, percent, key, text)
     family = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     # One document of each set that has a family, with its text.
-    families = family.groupBy(F.col("label").alias("family")).agg(F.count("*").alias("members"))
     chosen = rows.join(family, "node").groupBy("node", F.col("label").alias("family")).agg(F.min(F.struct("doc", "text_hash")).alias("one"), F.min("n_shingles").alias("n"))
-    chosen = cut(chosen.join(families, "family").select("node", "family", "members", "n", F.col("one.doc").alias("doc"), F.col("one.text_hash").alias("text_hash")), "members")
+    chosen = cut(chosen.select("node", "family", "n", F.col("one.doc").alias("doc"), F.col("one.text_hash").alias("text_hash")), "members")
+    weights = cut(chosen.groupBy("family").agg(F.sum("n").alias("weight")).filter(F.col("weight") > TASK_SHINGLES), "heavy")
+    large = chosen.join(broadcast_if_small(weights), "family", "left_semi").select("node").withColumn("heavy", F.lit(True))
+    chosen = cut(chosen.join(large, "node", "left"), "members") if not weights.isEmpty() else chosen.withColumn("heavy", F.lit(None).cast("boolean"))
     texts = docs.select(docs[key].alias("d_doc"), docs[text].alias("text"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("d_hash"))
-    members = texts.join(broadcast_if_small(chosen), (F.col("d_hash") == F.col("text_hash")) & F.col("d_doc").eqNullSafe(F.col("doc"))).select("node", "family", "members", "n", "text")
-    small = members.filter(F.col("members") <= BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "node", "text")
-    links = _links(small, size, percent)
-    big = families.filter(F.col("members") > BLOCK)
-    if not big.isEmpty():
-        large = cut(members.filter(F.col("members") > BLOCK).dropDuplicates(["node"]), "large")
-        ball, work = _region_tasks(large, big, size, percent)
-        links = links.unionByName(ball).unionByName(_links(work, size, percent))
+    members = texts.join(broadcast_if_small(chosen), (F.col("d_hash") == F.col("text_hash")) & F.col("d_doc").eqNullSafe(F.col("doc"))).select("node", "family", "heavy", "n", "text")
+    links = _links(members.filter("heavy IS NULL").select(F.col("family").alias("task"), "node", F.lit(True).alias("open"), "text"), size, percent, counters)
+    if not weights.isEmpty():
+        heavy = cut(members.filter("heavy").dropDuplicates(["node"]), "large")
+        more, tasks = _large_links(heavy, size, percent, counters)
+        for one in more:
+            links = links.unionByName(one)
+        for one in tasks:
+            links = links.unionByName(_links(one, size, percent, counters))
     component = connected_components(links)
     labelled = rows.join(component, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
-    labelled = cut(labelled, "labelled")
+    labelled = keep(cut(labelled, "labelled"))
     # Most documents stand alone: only classes of two rows or more need their smallest key, and their table is
     # written so that the join can split a class that holds many rows.
     smallest = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("smallest"), F.count("*").alias("rows")).filter("rows > 1").select("label", "smallest", F.lit(True).alias("many"))
-    out = labelled.join(broadcast_if_small(cut(smallest, "smallest")), "label", "left")
+    out = labelled.join(broadcast_if_small(keep(cut(smallest, "smallest"))), "label", "left")
     return out.select("doc", "text_hash", "n_shingles", F.when(F.col("many"), F.col("smallest")).otherwise(F.col("doc")).alias("component_id"), "label")
 
 

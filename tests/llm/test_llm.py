@@ -362,16 +362,80 @@ def test_join_equals_all_pairs(spark, size, percent, monkeypatch):
     texts = near_copies(rnd, 30) + ODD
     expected = brute_components(texts, size, percent)
     df = docs(spark, texts, extra=True)
-    for block in (jaccard_join.BLOCK, 6):  # small blocks take the way by pivots and regions
-        monkeypatch.setattr(jaccard_join, "BLOCK", block)
-        monkeypatch.setattr(jaccard_join, "HOT_LEAST", 5 if block == 6 else 16)
-        got = {r.doc: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(df, size=size, percent=percent).collect()}
+    for shingles in (jaccard_join.TASK_SHINGLES, 400):  # where tasks hold little, regions are split as tables
+        monkeypatch.setattr(jaccard_join, "TASK_SHINGLES", shingles)
+        monkeypatch.setattr(jaccard_join, "HOT_LEAST", 5 if shingles == 400 else 16)
+        counters = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
+        got = {r.doc: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(df, size=size, percent=percent, counters=counters).collect()}
         assert [got[i] for i in range(len(texts))] == expected
+        assert counters[0].value > 0 and counters[1].value > 0
     one = jaccard_join.one_of_each(df, size=size, percent=percent)
     assert one.columns == df.columns
     assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, c in expected} | {i for i, (n, _) in enumerate(expected) if not n})
 
 
+def brute_links(sets, percent):
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            yield i, j
+
+
+@pytest.mark.parametrize("edits", [0.5, 2, 6])
+def test_pivots_find_every_link(edits):
+    """Regions of copies around one text, of chains, and of sets equally far from each other: what links connect is
+    connected, and nothing else; only open members need their links."""
+    rnd = np.random.default_rng(int(edits * 2))
+    for percent in (60, 80, 90):
+        base, sets = np.arange(60), []
+        for k in range(90):
+            one = base + 1000 * (k % 3 == 2)
+            flip = rnd.random(60) < edits / 60
+            sets.append(np.unique(np.where(flip, rnd.integers(5000, 9000, 60), one)).astype(np.uint64))
+            if k % 5 == 0:
+                base = np.where(rnd.random(60) < 0.05, rnd.integers(5000, 9000, 60), base)  # the middle wanders
+        links = list(brute_links(sets, percent))
+        for open_ in (None, rnd.random(90) < 0.4):
+            wanted = [(i, j) for i, j in links if open_ is None or open_[i] or open_[j]]
+            count = [0, 0]
+            i, j = jaccard_join.pivot_links(jaccard_join.Sets(sets), percent, open_, count)
+            assert set(map(tuple, map(sorted, zip(i.tolist(), j.tolist())))) <= set(links)
+            home = lambda pairs: jaccard_join._forest(90, *np.array(pairs or [(0, 0)], dtype=np.int64).T)
+            label = np.arange(90)
+            member, head = home(list(zip(i.tolist(), j.tolist())))
+            label[member] = head
+            assert all(label[x] == label[y] for x, y in wanted) and count[0] > 0 and count[1] <= 90 * 90
+
+
+def test_one_pivot_settles_a_group_of_copies():
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(np.where(np.arange(200) == rnd.integers(200), 500 + k, np.arange(200))).astype(np.uint64) for k in range(3000)]
+    sets.append(np.arange(200).astype(np.uint64))
+    count = [0, 0]
+    i, _ = jaccard_join.pivot_links(jaccard_join.Sets(sets), 90, None, count)
+    assert len(np.unique(i)) == 3000 and count == [1, 3001]
+
+
+def test_sets_that_share_a_node_are_told_apart(spark, monkeypatch):
+    whole = jaccard_join.nodes_of
+    monkeypatch.setattr(jaccard_join, "nodes_of", lambda s, b, salt=0: whole(s, b, salt) if salt else whole(s, b) & 1)
+    df = docs(spark, ["a b c d e", "f g h i j", "k l m n o", "p q r s t", "u v w x y"])
+    assert [r.component_id for r in sorted(jaccard_join.jaccard_classes(df, size=3, percent=90).collect())] == list(range(5))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_all_links_of_the_tables_come_from_regions(spark):
+    counters = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = df.select("doc_id", "text").collect()
+    got = {r.doc: r.component_id for r in jaccard_join.jaccard_classes(df, size=3, percent=90, counters=counters).collect()}
+    block = next(blocks(pa.array([r.text for r in rows]), 1 << 30))
+    shingles, bounds = jaccard_join.shingle_sets(block, 3)
+    links = list(brute_links([shingles[a:b] for a, b in zip(bounds[:-1], bounds[1:])], 90))
+    assert links and all(got[rows[i].doc_id] == got[rows[j].doc_id] for i, j in links)  # recall 1
+    assert counters[0].value > 0
+
+
 def test_join_of_odd_rows(spark):
     none = docs(spark, ["a b c d", "a b c d", "e f g h"]).withColumn("doc_id", F.lit(None).cast("bigint"))
     assert [r.component_id for r in jaccard_join.jaccard_classes(none, size=3, percent=90).collect()] == [None] * 3
