@@ -21,8 +21,8 @@ some pivot, puts out of reach of all that is open leave.  Where regions overlap
 comparison, the region stays whole, without its settled pivots.  Recursion ends where nothing is open.
 
 Families and regions of up to ``TASK_SHINGLES`` are joined inside one task; larger ones take the same step as tables, a
-level at a time, dealt into chunks of bounded size.  A large region that a step does not shrink is dealt into blocks, so
-that each open member meets each member in one task, which joins them in the same way.
+level at a time, dealt into chunks of bounded size.  A large region that a split saves too little in is dealt into blocks,
+so that each open member meets each member in one task, which joins them in the same way.
 
 Equal sets are one node throughout, so copies never meet.  Sets are compared by 52-bit hashes of
 shingles.  Nodes are 64-bit hashes of sets; a second one tells when two sets share a node, and then the join starts again
@@ -50,11 +50,12 @@ from fallline.llm.textblock import LOWER, Block, blocks, distinct_sorted, gram_h
 from fallline.runtime import broadcast_if_small, cut, temporary
 
 #: Shingles of the sets that one task joins, or measures against pivots.
-TASK_SHINGLES = 2_000_000
+TASK_SHINGLES = 250_000
 #: Pivots of a step over tables, and members among which a task looks for them.
 PIVOTS, SAMPLE = 16, 64
-#: A region that keeps more of its members than this share is dealt into blocks of open members and of all members.
-SHRINK = 0.9
+#: A large region is split where that leaves this share of its comparisons; else it is dealt into blocks of open members
+#: and of all members.
+WORTH = 0.5
 #: Texts of a block of bytes, so that a text's number fits beside a 52-bit shingle.
 TEXTS = 4096
 #: Growth of the size classes, and parts beyond the number of differences that a class allows.
@@ -456,7 +457,7 @@ def _links(work: DataFrame, size: int, percent: int, counters: tuple | None) ->
 
 
 def _measured(work: DataFrame, texts: DataFrame, size: int, percent: int, counters: tuple | None) -> DataFrame:
-    """region, node, n, pivots, distances and linked (both to the pivots) of the members of large regions.
+    """region, node, n, open, pivots, distances and linked (both to the pivots) of the members of large regions.
 
     ``work`` has region, node, n and open; a task of a region looks for pivots among some open members, and tasks of
     bounded size then measure all of them.
@@ -473,7 +474,7 @@ def _measured(work: DataFrame, texts: DataFrame, size: int, percent: int, counte
     pivots = cut(per_partition(_dealt(some), lambda batches: _by_task(batches, size, choose), "region bigint, p bigint"), "chosen")
     chunks = work.groupBy("region").agg(F.ceil(F.sum("n") / TASK_SHINGLES).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks"))
-    mine = work.join(chunks, "region").select(F.xxhash64("region", chunk).alias("task"), "region", "node", "n", F.lit(False).alias("open"))
+    mine = work.join(chunks, "region").select(F.xxhash64("region", chunk).alias("task"), "region", "node", "n", F.col("open").alias("was"), F.lit(False).alias("open"))
     copies = pivots.join(chunks, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     copies = copies.select(F.xxhash64("region", F.col("chunk").cast("long")).alias("task"), F.col("p").alias("node"), F.lit(True).alias("open"))
     both = mine.select("task", "node", "open").unionByName(copies).join(texts, "node")
@@ -493,7 +494,7 @@ def _measured(work: DataFrame, texts: DataFrame, size: int, percent: int, counte
         return {"task": [task] * len(nodes), "node": nodes, "pivots": lists(np.tile(np.array(nodes)[pivots], (len(nodes), 1))), "distances": lists(1 - common / union), "linked": lists(linked)}
 
     out = per_partition(_dealt(both), lambda batches: _by_task(batches, size, run), "task bigint, node bigint, pivots array<bigint>, distances array<double>, linked array<boolean>")
-    return out.join(mine.select("task", "region", "node", "n"), ["task", "node"]).drop("task")
+    return out.join(mine.select("task", "region", "node", "n", F.col("was").alias("open")), ["task", "node"]).drop("task")
 
 
 def _large_links(members: DataFrame, size: int, percent: int, counters: tuple | None) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -507,29 +508,36 @@ def _large_links(members: DataFrame, size: int, percent: int, counters: tuple |
         near = cut(_measured(work, texts, size, percent, counters), "near")
         ball = near.select(F.col("node").alias("a"), F.explode(F.arrays_zip("pivots", "linked")).alias("z")).filter("z.linked AND z.pivots != a")
         links.append(ball.select("a", F.col("z.pivots").alias("b")))
+        rest = near.filter(~F.array_contains("pivots", F.col("node")))
+        # The smallest set that has an end of every link which is still to be found: what was open, or what one pivot is not linked to.
+        k = F.max(F.size("linked"))
+        covers = [F.sum(F.col("open").cast("long")), *[F.when(k > q, F.sum((~F.get("linked", F.lit(q))).cast("long"))) for q in range(PIVOTS)]]
+        cover = rest.groupBy("region").agg(F.array(*covers).alias("covers"), F.count("*").alias("rows"))
+        cover = cover.select("region", "rows", F.array_min("covers").alias("least"), (F.array_position("covers", F.array_min("covers")) - 2).cast("int").alias("q")).filter("least > 0")
         nearest = F.array_min("distances")
-        sent = near.filter(~F.array_contains("pivots", F.col("node"))).select(
+        sent = rest.join(cover.select("region"), "region").select(
             "region", "node", "n", nearest.alias("nearest"), (F.array_position("distances", nearest) - 1).alias("home"),
             F.posexplode(F.arrays_zip("distances", "linked")).alias("j", "z"))
         sent = sent.filter((F.col("j") == F.col("home")) | (F.col("j") > F.col("home")) & (F.col("z.distances") - F.col("nearest") <= 2 * reach))
         sent = sent.select(F.col("region").alias("parent"), F.xxhash64("region", "j").alias("region"), "node", "n", (~F.col("z.linked")).alias("open"), F.col("z.distances").alias("d"))
         # What no open member is in reach of leaves.
         span = sent.filter("open").groupBy("region").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-        sent = sent.join(span, "region").filter((F.col("d") >= F.col("low") - reach) & (F.col("d") <= F.col("high") + reach))
-        sent = cut(sent.select("parent", "region", "node", "n", "open"), "regions")
-        before = work.groupBy(F.col("region").alias("parent")).agg(F.count("*").alias("before"))
-        sizes = sent.groupBy("parent", "region").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"), F.sum(F.when(F.col("open"), F.col("n"))).alias("open_weight"))
-        sizes = cut(sizes.join(before, "parent").drop("parent"), "sizes")
-        placed = sent.drop("parent").join(sizes, "region")
-        small, stuck = F.col("weight") <= TASK_SHINGLES, F.col("rows") > SHRINK * F.col("before")
-        tasks.append(placed.filter(small).select(F.col("region").alias("task"), "node", "open").join(texts, "node"))
-        wide = placed.filter(~small & stuck)
+        sent = cut(sent.join(span, "region").filter((F.col("d") >= F.col("low") - reach) & (F.col("d") <= F.col("high") + reach)).select("parent", "region", "node", "n", "open"), "regions")
+        sizes = cut(sent.groupBy("parent", "region").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"), F.sum(F.col("open").cast("long")).alias("opens")), "sizes")
+        costs = sizes.groupBy(F.col("parent").alias("region")).agg(F.sum(F.col("rows").cast("double") * F.col("opens")).alias("cost"))
+        cover = cut(cover.join(costs, "region", "left").withColumn("split", F.coalesce("cost", F.lit(0.0)) < WORTH * F.col("rows") * F.col("least")), "covers")
+        parts = sent.join(cover.filter("split").select(F.col("region").alias("parent")), "parent").join(sizes.select("parent", "region", "weight"), ["parent", "region"]).drop("parent")
+        whole = rest.join(cover.filter("NOT split").select("region", "q"), "region")
+        whole = cut(whole.select("region", "node", "n", F.when(F.col("q") < 0, F.col("open")).otherwise(~F.get("linked", F.greatest("q", F.lit(0)))).alias("open")), "wholes")
         half = TASK_SHINGLES / 2
-        wide = wide.withColumns({"of_open": F.ceil(F.col("open_weight") / half), "of_all": F.ceil(F.col("weight") / half)})
-        one = wide.filter("open").select("region", "node", F.lit(True).alias("open"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("of_open")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_all") - 1)).alias("y"))
-        two = wide.select("region", "node", F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_open") - 1)).alias("x"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("of_all")).alias("y"))
+        blocks_of = whole.groupBy("region").agg(F.ceil(F.sum(F.when(F.col("open"), F.col("n"))) / half).alias("of_open"), F.ceil(F.sum("n") / half).alias("of_all"))
+        wide = whole.join(blocks_of, "region")
+        zero = F.lit(0).cast("long")
+        one = wide.filter("open").select("region", "node", F.lit(True).alias("open"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("of_open")).alias("x"), F.explode(F.sequence(zero, F.col("of_all") - 1)).alias("y"))
+        two = wide.select("region", "node", F.lit(False).alias("open"), F.explode(F.sequence(zero, F.col("of_open") - 1)).alias("x"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("of_all")).alias("y"))
         tasks.append(one.unionByName(two).select(F.xxhash64("region", "x", "y").alias("task"), "node", "open").join(texts, "node"))
-        work = cut(placed.filter(~small & ~stuck).select("region", "node", "n", "open"), "again")
+        tasks.append(parts.filter(F.col("weight") <= TASK_SHINGLES).select(F.col("region").alias("task"), "node", "open").join(texts, "node"))
+        work = cut(parts.filter(F.col("weight") > TASK_SHINGLES).select("region", "node", "n", "open"), "again")
     return links, tasks
 
 
