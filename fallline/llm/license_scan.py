@@ -2,16 +2,17 @@
 
 Every run of K words of every text is hashed and joined to the positions of the same run in the notices.
 A match votes for its diagonal, the offset between the text's and the notice's position; neighbouring
-diagonals, which small insertions and deletions cause, are merged.  A merged diagonal becomes a span if
-the matched runs, compared word for word, cover enough of the notice.  Beside the method, the base phrases
-are located exactly.
+diagonals, which small insertions and deletions cause, are merged into bands.  In a band every diagonal opens a window,
+from where the notice would begin on it, of twice the notice's length; a window becomes a span if the band's matched
+runs inside it, compared word for word, cover enough of the notice.  Of windows that overlap the one that covers most,
+and of these the first, is the span.  Beside the method, the base phrases are located exactly.
 
 The notices are a fixed list, so their side of the join is broadcast; no text leaves its scan, and only
 matches are shuffled.
 
 Words are what stands between ASCII characters that are no letters or digits, with A-Z lower-cased.
-Defined results for odd input: null and empty texts have no words, no labels and score 0; repeated rows
-get equal results; rows with one key and different texts are kept apart by a hash of their text; an empty
+Defined results for odd input: null and empty texts have no words, no labels and score 0; texts of any length are scanned
+whole; repeated rows get equal results; rows with one key and different texts are kept apart by a hash of their text; an empty
 table gives an empty table; other columns are ignored.
 """
 
@@ -69,15 +70,28 @@ def spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     # Repeated rows vote once.
     hits = hits.select("key", "text_hash", "notice", "label", "n_notice", "need", "at", "at_notice", (F.col("at") - F.col("at_notice")).alias("diagonal")).distinct()
     votes = hits.groupBy("key", "text_hash", "notice", "label", "n_notice", "need", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("at_notice").alias("places"))
+        F.collect_set("at_notice").alias("places"))
     along = Window.partitionBy("key", "text_hash", "notice").orderBy("diagonal")
     begins = (F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOURS).cast("int")
     votes = votes.withColumn("begins", F.coalesce(begins, F.lit(1))).withColumn("band", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    bands = votes.groupBy("key", "text_hash", "notice", "label", "n_notice", "need", "band").agg(
-        F.min("first").alias("first_word"), (F.max("last") + K - 1).alias("last_word"), F.flatten(F.collect_list("places")).alias("places"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (K - 1))))))
-    bands = bands.withColumn("covered", covered).filter((F.col("covered") >= F.col("need")) & (F.col("last_word") - F.col("first_word") < 2 * F.col("n_notice")))
-    return bands.select("key", "text_hash", "notice", "label", "first_word", "last_word", "covered", (F.col("covered") / F.col("n_notice")).alias("score"))
+    of_band = ["key", "text_hash", "notice", "band"]
+    longest = max(len(_words_of(t)) for t, _ in NOTICES)
+    near = Window.partitionBy(*of_band).orderBy("diagonal").rangeBetween(-longest, 2 * longest)
+    windows = votes.withColumn("near", F.collect_list(F.struct("diagonal", "places")).over(near))
+    # (place in the text, place in the notice) of the band's runs that lie whole in the window.
+    inside = F.flatten(F.transform("near", lambda v: F.transform(v["places"], lambda p: F.struct((v["diagonal"] + p).alias("at"), p.alias("place")))))
+    inside = F.filter(inside, lambda h: (h["at"] >= F.col("diagonal")) & (h["at"] + K <= F.col("diagonal") + 2 * F.col("n_notice")))
+    windows = windows.withColumn("inside", inside).drop("near", "places")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("inside", lambda h: F.sequence(h["place"], h["place"] + (K - 1))))))
+    windows = windows.withColumn("covered", covered).filter("covered >= need")
+    windows = windows.select(*of_band, "label", "n_notice", "covered", F.array_min(F.transform("inside", lambda h: h["at"])).alias("first_word"),
+                             (F.array_max(F.transform("inside", lambda h: h["at"])) + (K - 1)).alias("last_word"))
+    order = Window.partitionBy(*of_band).orderBy("first_word", "last_word")
+    reached = F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    windows = windows.withColumn("opens", F.coalesce((F.col("first_word") > reached).cast("int"), F.lit(1)))
+    windows = windows.withColumn("place", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = windows.groupBy(*of_band, "label", "n_notice", "place").agg(F.max_by(F.struct("first_word", "last_word", "covered"), F.struct("covered", -F.col("first_word"), -F.col("last_word"))).alias("b"))
+    return best.select("key", "text_hash", "notice", "label", "b.first_word", "b.last_word", "b.covered", (F.col("b.covered") / F.col("n_notice")).alias("score"))
 
 
 def _begins(words: str, parts: list[str]):

@@ -1,16 +1,19 @@
 """Token ids in Parquet files.
 
 A store is a folder of Parquet files in ascending key order, one row a document: its key, the number
-of its ids, the number of ids before it in its file, and the ids as a list column.  The id column is
+of its ids, the number of the part it was written in (a part is what one task wrote, in one file or more), the number of
+ids before it in its part, and the ids as a list column.  The id column is
 dictionary encoded (ids repeat, and a page then holds them in as many bits as its dictionary needs);
 keys and counts are delta encoded.  Row groups and pages have a bounded size and the column and offset
 indexes are written, so a reader that wants some keys, or the metadata alone, skips the other pages.
 
 Encoding splits texts at ASCII white space, encodes each distinct word once and keeps it in a bounded
 cache; this needs a tokenizer whose words never reach across white space, which :func:`splits_at_space`
-checks from the tokenizer's file.  For any other tokenizer whole texts are encoded.
+checks from the tokenizer's file.  For any other tokenizer whole texts are encoded, and so are texts that spell one of the
+tokenizer's special tokens: the tokenizer takes such a string for the token.
 
-Defined results for odd input: a null text is the empty text and has the end id alone; a null key
+Defined results for odd input: a null text is the empty text and has the end id alone; a text of any length is encoded
+whole, one block of texts in memory at a time; a null key
 comes before all others; rows with equal keys stand next to each other in an order fixed by the hash of
 their texts; an empty table gives an empty store; other columns are ignored.
 """
@@ -24,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +86,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = f.read()
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
-        self.by_word = splits_at_space(spec)
+        added = json.loads(spec).get("added_tokens") or []
+        self.special = [t["content"].encode() for t in added]
+        # Other kinds of added tokens reach across what stands around them.
+        plain = not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
+        self.by_word = plain and splits_at_space(spec)
         self._forget()
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -117,12 +124,33 @@ class Encoder:
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text's ids)."""
-        if self.by_word:
-            return self._encode_words(block)
-        texts = [bytes(block.data[a:b]).decode() for a, b in zip(block.offsets[:-1], block.offsets[1:])]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        offsets = np.cumsum([0, *map(len, found)])
-        return np.fromiter((i for ids in found for i in ids), np.int64, int(offsets[-1])), offsets
+        if not self.by_word:
+            found = self._encode_whole(block, range(len(block)))
+            return np.concatenate([np.empty(0, np.int64), *found]), np.cumsum([0, *map(len, found)])
+        ids, offsets = self._encode_words(block)
+        marked = self._spell_special(block)
+        if not marked:
+            return ids, offsets
+        parts = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        for i, whole in zip(marked, self._encode_whole(block, marked)):
+            parts[i] = whole
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _encode_whole(self, block: Block, which) -> list[np.ndarray]:
+        texts = [bytes(block.data[block.offsets[i] : block.offsets[i + 1]]).decode() for i in which]
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spell_special(self, block: Block) -> list[int]:
+        """Texts that hold the string of a special token."""
+        data, out = block.data.tobytes(), set()
+        for token in self.special:
+            at = data.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(block.offsets, at, side="right")) - 1
+                if at + len(token) <= block.offsets[i + 1]:
+                    out.add(i)
+                at = data.find(token, at + 1)
+        return sorted(out)
 
     def _encode_words(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         # The tokenizer lower-cases, so A-Z need not be kept apart here.
@@ -156,7 +184,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int
     """
 
     def run(batches):
-        before = 0
+        before, part = 0, TaskContext.get().partitionId()  # tasks stand in the order of the key ranges
         for batch in batches:
             enc = encoder(tokenizer_path)
             first = 0
@@ -172,7 +200,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int
                 yield {
                     key: batch.column("key").slice(first, n),
                     "n_tokens": count,
-                    "start_in_file": before + ends - count,
+                    "part": np.full(n, part),
+                    "start_in_part": before + ends - count,
                     "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out)),
                 }
                 before += int(ends[-1])
@@ -181,7 +210,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int
     tie = F.xxhash64("text")
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     rows = rows.repartitionByRange("key", tie).sortWithinPartitions("key", tie)
-    out = per_partition(rows, run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens bigint, start_in_file bigint, ids array<int>")
+    out = per_partition(rows, run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens bigint, part bigint, start_in_part bigint, ids array<int>")
     (
         out.write.option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
@@ -198,19 +227,18 @@ def read_tokens(spark: SparkSession, path: str, *, low: int | None = None, high:
     """key, n_tokens, start (ids of all documents before it in the store) and ids.
 
     ``low`` and ``high`` bound the keys; the bounds reach the Parquet reader.  ``start`` needs a sum for each
-    file, which reads the count column alone.
+    part, which reads two narrow columns alone.
     """
     stored = spark.read.parquet(path)
-    by_file = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("file_tokens"))
-    # One row a file: the number of files is bounded by the number of write tasks.
-    before = by_file.withColumn("before", F.sum("file_tokens").over(Window.orderBy("file")) - F.col("file_tokens")).select("file", "before")
+    by_part = stored.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
+    # One row a part: their number is bounded by the number of write tasks.
+    before = by_part.withColumn("before", F.sum("part_tokens").over(Window.orderBy("part")) - F.col("part_tokens")).select("part", "before")
     wanted = stored
     if low is not None:
         wanted = wanted.filter(F.col(key) >= low)
     if high is not None:
         wanted = wanted.filter(F.col(key) <= high)
-    wanted = wanted.withColumn("file", F.col("_metadata.file_name"))
-    return wanted.join(broadcast_if_small(before), "file").select(key, (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    return wanted.join(broadcast_if_small(before), "part").select(key, (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame, *, key: str = "doc_id") -> DataFrame:

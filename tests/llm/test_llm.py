@@ -83,8 +83,7 @@ def test_bpe_digests_and_decoding(spark):
 
 def test_token_store(spark, tmp_path):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
-    texts = ODD + ["It's 'RE <|endoftext|> \x01 é, İstanbul ΑΣ,x a.b\"'s", "don't,-re 12ab"]
+    texts = ODD + ["end <|endoftext|> x", "<|startoftext|>", "a<|endoftext|>\u0338b <|ENDOFTEXT|> <|endoftext|", "|>", "wörd, " * 250_000, "It's 'RE <|endoftext|> \x01 é, İstanbul ΑΣ,x a.b\"'s", "don't,-re 12ab"]
     path = str(tmp_path / "t")
     token_store.write_tokens(docs(spark, texts, extra=True), WORDS, path)
     rows = sorted(token_store.checksums(token_store.read_tokens(spark, path)).collect())
@@ -93,6 +92,13 @@ def test_token_store(spark, tmp_path):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    whole = rows
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        token_store.write_tokens(docs(spark, texts), WORDS, path + "-files")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(token_store.checksums(token_store.read_tokens(spark, path + "-files")).collect()) == whole
     part = token_store.read_tokens(spark, path, low=3, high=4).collect()
     assert {r.doc_id: list(r.ids) for r in part}.keys() == {3, 4}
     token_store.write_tokens(docs(spark, []), WORDS, path + "0")
@@ -102,6 +108,13 @@ def test_token_store(spark, tmp_path):
     assert sorted(r.start for r in token_store.read_tokens(spark, path + "1").collect()) == [0, 2]
 
 
+def test_parts_stand_in_the_order_of_their_numbers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(k, 2, k, 0, [k, 1]) for k in (9, 10, 99_999, 100_000, 1_000_000)]
+    spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, part bigint, start_in_part bigint, ids array<int>").write.parquet(path)
+    assert [r.start for r in sorted(token_store.read_tokens(spark, path).collect())] == [0, 2, 4, 6, 8]
+
+
 # op8
 
 
@@ -546,6 +559,59 @@ def test_license_scan(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def brute_spans(text):
+    """Votes, bands, windows and spans by loops over the words."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    out, k = [], license_scan.K
+    for number, (notice, label) in enumerate(license_scan.NOTICES):
+        v = re.findall(r"[a-z0-9]+", notice.lower())
+        need = len(v) if len(v) <= license_scan.SHORT else int(np.ceil(license_scan.COVERAGE * len(v)))
+        hits = [(a, b) for a in range(len(w) - k + 1) for b in range(len(v) - k + 1) if w[a : a + k] == v[b : b + k]]
+        diagonals = sorted({a - b for a, b in hits})
+        bands = []
+        for d in diagonals:
+            if not bands or d - bands[-1][-1] > license_scan.NEIGHBOURS:
+                bands.append([])
+            bands[-1].append(d)
+        for band in bands:
+            windows = []
+            for d in band:
+                mine = [(a, b) for a, b in hits if a - b in band and d <= a and a + k <= d + 2 * len(v)]
+                covered = len({b + i for _, b in mine for i in range(k)})
+                if covered >= need:
+                    windows.append((min(a for a, _ in mine), max(a for a, _ in mine) + k - 1, covered))
+            groups, reached = [], -1
+            for one in sorted(windows):
+                if one[0] > reached:
+                    groups.append([])
+                groups[-1].append(one)
+                reached = max(reached, one[1])
+            out += [(number, label, *max(g, key=lambda x: (x[2], -x[0], -x[1]))) for g in groups]
+    return sorted(out)
+
+
+def test_license_spans_equal_brute_force(spark):
+    rnd = random.Random(14)
+    texts = ["GNU Lesser General " * 3 + "GNU Lesser General Public License", "GNU Lesser General Public License " * 3 + "and GNU Lesser", None, ""]
+    for _ in range(25):
+        parts = []
+        for _ in range(rnd.randint(1, 5)):
+            w = rnd.choice(license_scan.NOTICES)[0].split()
+            a = 0 if rnd.random() < 0.6 else rnd.randrange(len(w))
+            piece = w[a : len(w) if rnd.random() < 0.6 else rnd.randint(a, len(w))]
+            for _ in range(rnd.randint(0, 1 + len(piece) // 15)):
+                at = rnd.randrange(len(piece) + 1)
+                piece[at : at + rnd.randint(0, 1)] = ["own"] * rnd.randint(0, 2)
+            parts += [*piece, *(["between"] * rnd.choice((0, 0, 3)))]
+        texts.append(" ".join(parts))
+    found = collections.defaultdict(list)
+    for r in license_scan.spans(docs(spark, texts, extra=True)).collect():
+        found[r["key"]].append((r.notice, r.label, r.first_word, r.last_word, r.covered))
+    for i, t in enumerate(texts):
+        assert sorted(found[i]) == brute_spans(t)
+    assert found[0] and found[0][0][1] == "lgpl" and len(found[1]) == 3
+
+
 # op1
 
 
