@@ -121,12 +121,20 @@ def _unpack_counts(column: pa.ChunkedArray, n: list[int]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _own(doc: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """How often each running n-gram stands in its own text."""
+    if not len(code):
+        return np.empty(0, np.int64)
+    _, back, n = np.unique(doc.astype(np.int64) * (int(code.max()) + 1) + code, return_inverse=True, return_counts=True)
+    return n[back]
+
+
 def lookup(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
     """Give documents the counts of their n-grams in the whole corpus.
 
     ``rows`` has key, text, hit (in the target), counted (in the corpus) and scored.  ``function`` gets a chunk's
     table, and per block of its texts (block, text of each word, places, word counts, pair counts), the counts as
-    pairs of arrays (corpus, target); it returns columns by name.
+    triples of arrays (corpus, target, the text's own); it returns columns by name.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -173,7 +181,10 @@ def lookup(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
         answers = answers.sort_by("bucket")
         both = [_unpack_counts(answers.column(name), answers.column("n").to_pylist()) for name in ("n_all", "n_target")]
         parts = np.split(code, np.cumsum(lengths)[:-1])
-        given = [(block, doc, place, tuple(n[parts[2 * i]] for n in both), tuple(n[parts[2 * i + 1]] for n in both)) for i, (block, doc, _, place, _) in enumerate(found)]
+        given = []
+        for i, (block, doc, _, place, _) in enumerate(found):
+            word, pair = parts[2 * i], parts[2 * i + 1]
+            given.append((block, doc, place, (*(n[word] for n in both), _own(doc, word)), (*(n[pair] for n in both), _own(doc[place], pair))))
         columns = function(table, given)
         out = pa.table([columns[f.name].cast(f.type) if isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
         trim()

@@ -5,16 +5,21 @@ toxic) and one of the raw corpus, give every document an importance weight: the
 the log ratio of their probabilities.  Documents are then drawn without replacement in proportion to
 their weights by the Gumbel top-k trick: add Gumbel noise to the log weight and take the k largest.
 
-Four choices make the ratio usable as a classifier.  A bin's ratio is shrunk towards 1, and is exactly
+Three choices make the ratio usable as a classifier.  A bin's ratio is shrunk towards 1, and is exactly
 1 where the counts cannot tell target from raw.  The ratio of a typical word is set to 1, or long
-documents would gather weight for being long.  Weights are tempered to one document length.  And k is not a given share of the corpus but the number
-of documents whose weight passes a threshold fitted on the labelled documents, so clean documents stay
-however many there are.
+documents would gather weight for being long.  And documents are drawn by the weight of a passage of ``REFERENCE`` of
+their words: the weight of a whole text grows with its length, so that among whole texts a long clean one with a few odd
+words falls below a short one of abuse, and noise of a spread near 1 decides nothing.
 
-Defined results for odd input: null and empty texts have no words and weight 0; a null
-key gets its noise from its weight; repeated rows get equal weights and equal noise; ties at the
+k is the caller's; where none is given it is the number of documents whose weight passes a threshold, so clean documents
+stay however many there are.  The ratios are counted on one half of the labelled documents (by a hash of their keys) and
+the threshold is taken from the other.
+
+Defined results for odd input: null and empty texts have no words and weight 0; texts of any length are weighed whole; a
+null key gets its noise from its weight; repeated rows get equal weights and equal noise; ties at the
 k-th place are all kept; without labels, or with one kind of label only, every document is kept; an
-empty table gives an empty table.
+empty table gives an empty table; other columns are kept by :func:`drawn`, also such as are named like helper columns, and
+ignored by :func:`resample`.
 """
 
 from __future__ import annotations
@@ -39,9 +44,9 @@ PRIOR = 1.0
 SIGMAS, EFFECT, LEAST = 3.0, 0.7, 3.0
 #: Two-word grams share their words with one-word grams, so they count in part.
 PAIR_SHARE = 0.5
-#: Weights are tempered to a document of REFERENCE words, so that long texts do not drown what marks them;
-#: DAMPING words are added to a text's own length, so that very short ones are not marked by a single word.
-REFERENCE, DAMPING = 1000.0, 20.0
+#: Documents are drawn by the weight of a passage of REFERENCE words; DAMPING words are added to a text's own length, so
+#: that very short ones are not marked by a single word.
+REFERENCE, DAMPING = 200.0, 20.0
 SEED = 7
 
 
@@ -68,6 +73,12 @@ def _log_ratio(everything: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.where(tells & (np.abs(ratio) >= EFFECT), ratio, 0.0)
 
 
+def halves(labels: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(labels for the ratios, labels for the threshold): all labels of a document are in one half."""
+    side = F.pmod(F.xxhash64(F.lit("half"), labels[key]), F.lit(2))
+    return labels.filter(side == 0), labels.filter(side == 1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> Ratios:
     """Count n-grams of all documents and of the target among them."""
     c = gram_counts.count(docs, gram_counts.good_keys(labels, key=key), key=key, text=text)
@@ -75,43 +86,44 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def weigh(docs: DataFrame, ratios: Ratios, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, n_words and log_weight of every row (and the columns in ``keep``)."""
-    names = ("key", "text", "n_words", "log_weight")
-    key_name, text_name, n_name, w_name = fresh(docs.select(*keep), *names) if keep else names
+    """key, n_words, log_weight and passage_weight (of REFERENCE words) of every row (and the columns in ``keep``)."""
+    names = ("key", "text", "n_words", "log_weight", "passage_weight")
+    key_name, text_name, n_name, w_name, p_name = fresh(docs.select(*keep), *names) if keep else names
     shared = docs.sparkSession.sparkContext.broadcast((ratios.word.astype(np.float32), ratios.pair.astype(np.float32)))
 
     def run(batch: pa.RecordBatch) -> dict:
         word, pair = shared.value
-        counts, weights = [], []
+        counts, weights, passages = [], [], []
         for block in blocks(batch.column(text_name)):
             doc, single, place, double = gram_counts.binned(block)
             n = np.bincount(doc, minlength=len(block))
             total = np.bincount(doc, word[single], len(block)) + PAIR_SHARE * np.bincount(doc[place], pair[double], len(block))
             counts.append(n)
-            weights.append(total * REFERENCE / (n + DAMPING))
+            weights.append(total)
+            passages.append(total * REFERENCE / (n + DAMPING))
         return {
             key_name: batch.column(key_name), **{c: batch.column(c) for c in keep},
-            n_name: np.concatenate(counts), w_name: np.concatenate(weights),
+            n_name: np.concatenate(counts), w_name: np.concatenate(weights), p_name: np.concatenate(passages),
         }
 
     rows = docs.select(docs[key].alias(key_name), docs[text].alias(text_name), *[docs[c] for c in keep])
     schema = T.StructType([
         T.StructField(key_name, docs.schema[key].dataType), *[docs.schema[c] for c in keep],
-        T.StructField(n_name, T.LongType()), T.StructField(w_name, T.DoubleType()),
+        T.StructField(n_name, T.LongType()), T.StructField(w_name, T.DoubleType()), T.StructField(p_name, T.DoubleType()),
     ])
     return per_batch(rows, run, schema)
 
 
 def threshold(weighed: DataFrame, labels: DataFrame, *, key: str = "doc_id") -> float:
-    """The log weight that best parts good from bad labelled documents.
+    """The passage weight that best parts good from bad labelled documents.
 
     Labelled weights are counted in a fixed number of bins, so what reaches the driver is bounded.
     """
     fine = gram_counts.good_keys(labels, key=key).withColumnRenamed("key", "good_key")
     known = labels.filter(labels[key].isNotNull()).select(labels[key].alias("label_key")).distinct()
     known = known.join(fine, F.col("label_key") == F.col("good_key"), "left").select("label_key", F.col("good_key").isNotNull().alias("good"))
-    edges = F.floor(F.greatest(F.least(F.col("log_weight"), F.lit(500.0)), F.lit(-500.0)) * 8).cast("int")
-    got = weighed.select("key", "log_weight").join(broadcast_if_small(known), F.col("key") == F.col("label_key"))
+    edges = F.floor(F.greatest(F.least(F.col("passage_weight"), F.lit(500.0)), F.lit(-500.0)) * 8).cast("int")
+    got = weighed.select("key", "passage_weight").join(broadcast_if_small(known), F.col("key") == F.col("label_key"))
     got = got.groupBy(edges.alias("bin")).agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).toPandas().sort_values("bin")
     if not len(got) or not got["good"].sum() or not got["bad"].sum():
         return -np.inf
@@ -161,34 +173,37 @@ def _ordered_bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array(o.view(np.int64))], ["o"])
 
 
-def _noisy(key: str, n_words: str, log_weight: str) -> Column:
-    return gumbel_key(F.col(log_weight), F.col(key).cast("string"), F.xxhash64(log_weight, n_words))
+def _noisy(key: str, n_words: str, weight: str) -> Column:
+    return gumbel_key(F.col(weight), F.col(key).cast("string"), F.xxhash64(weight, n_words))
 
 
-def _draw(docs: DataFrame, ratios: Ratios, labels: DataFrame, key: str, text: str) -> tuple[DataFrame, float]:
-    """(key, n_words, log_weight and sample_key of every row; the sample key of the last row drawn)."""
+def _draw(docs: DataFrame, ratios: Ratios, labels: DataFrame, key: str, text: str, k: int | None) -> tuple[DataFrame, float]:
+    """(key, n_words, weights and sample_key of every row; the sample key of the last row drawn)."""
     weighed = weigh(docs, ratios, key=key, text=text)
-    scores = cut(weighed.withColumn("sample_key", _noisy("key", "n_words", "log_weight")), "weights")
-    limit = threshold(scores, labels, key=key)
-    k = scores.filter(F.col("log_weight") >= F.lit(float(limit))).count()
+    scores = cut(weighed.withColumn("sample_key", _noisy("key", "n_words", "passage_weight")), "weights")
+    if k is None:
+        limit = threshold(scores, labels, key=key)
+        k = scores.filter(F.col("passage_weight") >= F.lit(float(limit))).count()
     return scores, float(kth_largest(scores, "sample_key", k))
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, log_weight, sample_key and kept of every row of ``docs``."""
-    scores, last = _draw(docs, fit(docs, labels, key=key, text=text), labels, key, text)
+def resample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
+    """key, n_words, log_weight, passage_weight, sample_key and kept of every row of ``docs``."""
+    ratio_labels, other_labels = halves(labels, key)
+    scores, last = _draw(docs, fit(docs, ratio_labels, key=key, text=text), other_labels, key, text, k)
     return scores.withColumn("kept", F.col("sample_key") >= F.lit(last)).withColumnRenamed("key", key)
 
 
-def drawn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drawn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
     """The rows of ``docs`` that are drawn, with all their columns.
 
     Only a number a row is kept between the passes; the texts are read and weighed again rather than
     written to disk in between.
     """
     columns = docs.columns
-    ratios = fit(docs, labels, key=key, text=text)
-    _, last = _draw(docs, ratios, labels, key, text)
-    key_name, _, n_name, w_name = fresh(docs, "key", "text", "n_words", "log_weight")
+    ratio_labels, other_labels = halves(labels, key)
+    ratios = fit(docs, ratio_labels, key=key, text=text)
+    _, last = _draw(docs, ratios, other_labels, key, text, k)
+    key_name, _, n_name, _, p_name = fresh(docs, "key", "text", "n_words", "log_weight", "passage_weight")
     whole = weigh(docs, ratios, key=key, text=text, keep=tuple(columns))
-    return whole.filter(_noisy(key_name, n_name, w_name) >= F.lit(last)).select(*columns)
+    return whole.filter(_noisy(key_name, n_name, p_name) >= F.lit(last)).select(*columns)

@@ -1,13 +1,17 @@
 """Language-model scoring by cross-entropy difference.
 
 A target model (documents labelled good and not toxic) and a background model (the whole corpus) are
-interpolated two-word models over the same vocabulary, every word and pair of words of the corpus.  Each word of a document costs minus the
-log of its probability under either model; a document's score is the mean difference of these losses,
-target minus background, so lower means closer to the target.
+interpolated two-word models over the same vocabulary, every word and pair of words of the corpus, with the same weights.
+Each word of a document costs minus the log of its probability under either model; a document's score is the mean
+difference of these losses, target minus background, so lower means closer to the target.
 
-Defined results for odd input: null and empty texts have no tokens and null scores; repeated rows score
-alike; without target documents the target model is the background model and every difference is 0; an
-empty table gives an empty table.
+No model has seen the document that it scores: the document's own counts are left out, of the background and, for a
+target document, of the target.  A text that occurs elsewhere too is therefore scored apart from one that does not.
+
+Defined results for odd input: null and empty texts have no tokens and null scores; texts of any length are counted and
+scored whole; repeated rows score alike, each with the others' counts; without target documents the target model is the
+background model and every difference is 0; a model that is empty without the document deals all probability evenly; an
+empty table gives an empty table; other columns are ignored, also such as are named like the result's.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ class Model:
     """p(w | v) = PAIR_WEIGHT c(v w) / c(v) + WORD_WEIGHT c(w) / N + UNIFORM_WEIGHT / V; a first word, or one after an
     unseen word, gives the two-word share to the one-word distribution.
 
+    Where v ended a text the end of the text is what follows it, so p sums to 1 over the vocabulary and the end.
     The counts c stay distributed: a model knows the corpus they come from, N and V, and which counts are its own.
     """
 
@@ -53,9 +58,10 @@ class Losses:
     total: int
     size: int
 
-    def loss(self, place: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """-log p of each word, by the counts of words and pairs; ``place`` are the words that a next word of the same text follows."""
-        one = word / self.total if self.total else np.full(len(word), 1 / self.size)
+    def loss(self, place: np.ndarray, word: np.ndarray, pair: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """-log p of each word, by the counts of words and pairs; ``place`` are the words that a next word of the same text
+        follows, ``total`` is N for each word."""
+        one = np.where(total > 0, word / np.maximum(total, 1), 1 / self.size)
         uniform = UNIFORM_WEIGHT / self.size
         p = (PAIR_WEIGHT + WORD_WEIGHT) * one + uniform
         history = word[place]
@@ -85,10 +91,16 @@ def score(docs: DataFrame, target: Model, background: Model, *, key: str = "doc_
 
     def run(table: pa.Table, given: list) -> dict:
         counts, sums = [], ([], [])
+        hit, counted = (table.column(c).to_numpy() for c in ("hit", "counted"))
+        seen_by = counted, counted & hit  # background, target
         for block, doc, place, word, pair in given:
-            counts.append(np.bincount(doc, minlength=len(block)))
+            n = np.bincount(doc, minlength=len(block))
+            counts.append(n)
             for out, model in zip(sums, both):
-                out.append(np.bincount(doc, model.loss(place, word[model.which], pair[model.which]), len(block)))
+                mine = seen_by[model.which][block.first : block.first + len(block)].astype(np.int64)
+                left = mine[doc]
+                loss = model.loss(place, word[model.which] - left * word[2], pair[model.which] - left[place] * pair[2], (model.total - mine * n)[doc])
+                out.append(np.bincount(doc, loss, len(block)))
         n = np.concatenate(counts)
         empty = n == 0
         t, b = (np.concatenate(x) / np.maximum(n, 1) for x in sums)

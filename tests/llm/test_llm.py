@@ -240,6 +240,51 @@ def test_importance_resampling(spark):
     assert importance.resample(docs(spark, ["a b"] * 3).withColumn("doc_id", F.lit(None).cast("bigint")), known).count() == 3
 
 
+def test_weights_and_draw_equal_brute_force(spark):
+    texts, known = corpus(spark)
+    texts, df = texts + ODD, docs(spark, texts + ODD)
+    ratio_labels, _ = importance.halves(known)
+    target = {r[0] for r in gram_counts.good_keys(ratio_labels).collect()}
+    assert 0 < len(target) < known.filter("toxic = 0 AND doc_id IS NOT NULL").count()
+
+    def bins(t):
+        _, single, place, double = gram_counts.binned(next(blocks(pa.array([t or ""]))))
+        return single.tolist(), double.tolist()
+
+    grams, log_ratio = [bins(t) for t in texts], []
+    for kind in (0, 1):
+        every, mine = collections.Counter(), collections.Counter()
+        for i, g in enumerate(grams):
+            every.update(g[kind])
+            mine.update(g[kind] if i in target else ())
+        share = sum(mine.values()) / sum(every.values())
+        first = {x: np.log((mine[x] + importance.PRIOR) / (n * share + importance.PRIOR)) for x, n in every.items()}
+        mass, middle = 0, None
+        for x in sorted(first, key=lambda x: first[x]):
+            mass += every[x]
+            if middle is None and 2 * mass >= sum(every.values()):
+                middle = first[x]
+        out = {}
+        for x, n in every.items():
+            e = n * share * np.exp(middle)
+            r = np.log((mine[x] + importance.PRIOR) / (e + importance.PRIOR))
+            tells = max(e, mine[x]) >= importance.LEAST and abs(mine[x] - e) >= importance.SIGMAS * np.sqrt(max(e, 1))
+            out[x] = r if tells and abs(r) >= importance.EFFECT else 0.0
+        log_ratio.append(out)
+    k = 250
+    rows = {r.doc_id: r for r in importance.resample(df, known, k=k).collect()}
+    for i, (single, double) in enumerate(grams):
+        weight = sum(log_ratio[0][x] for x in single) + importance.PAIR_SHARE * sum(log_ratio[1][x] for x in double)
+        assert rows[i].log_weight == pytest.approx(weight, abs=1e-3) and rows[i].n_words == len(single)
+        assert rows[i].passage_weight == pytest.approx(rows[i].log_weight * importance.REFERENCE / (len(single) + importance.DAMPING), abs=1e-9)
+    order = sorted((r.sample_key for r in rows.values()), reverse=True)
+    assert {i for i, r in rows.items() if r.kept} == {i for i, r in rows.items() if r.sample_key >= order[k - 1]} and sum(r.kept for r in rows.values()) == k
+    noise = np.array([r.sample_key - r.passage_weight for r in rows.values()])
+    assert abs(noise.mean() - 0.5772) < 0.25 and abs(noise.std() - 1.2825) < 0.25  # Gumbel noise
+    plain = {i for i, _ in sorted(rows.items(), key=lambda x: -x[1].passage_weight)[:k]}
+    assert plain != {i for i, r in rows.items() if r.kept}  # it matters
+
+
 def test_kth_largest(spark):
     rnd = random.Random(4)
     values = [rnd.choice((rnd.gauss(0, 50), 1.5, -0.0, float(rnd.randint(-3, 3)))) for _ in range(500)]
@@ -249,37 +294,47 @@ def test_kth_largest(spark):
     assert importance.kth_largest(df, "v", 0) == np.inf and importance.kth_largest(df, "v", 501) == -np.inf
 
 
+def brute_losses(words, counted, target):
+    """Mean losses of each text under models of all texts (``counted``) and of ``target``, less the text itself."""
+    out = []
+    size = max(2**18, len({w for i in counted for w in words[i]}))
+    for i, mine in enumerate(words):
+        row = []
+        for keys in (target, counted):
+            others = [words[j] for j in keys if j != i]
+            one, two = collections.Counter(itertools.chain(*others)), collections.Counter(p for w in others for p in zip(w, w[1:]))
+            total, uniform, losses = sum(one.values()), 0.1 / size, []
+            for k, w in enumerate(mine):
+                p = one[w] / total if total else 1 / size
+                if k and one[mine[k - 1]]:
+                    losses.append(-np.log(0.5 * two[mine[k - 1], w] / one[mine[k - 1]] + 0.4 * p + uniform))
+                else:
+                    losses.append(-np.log(0.9 * p + uniform))
+            row.append(np.mean(losses) if losses else None)
+        out.append(row)
+    return out
+
+
 def test_language_model_difference(spark):
     texts, known = corpus(spark)
-    df = docs(spark, texts + ODD, extra=True)
+    texts = [t for i, t in enumerate(texts) if i % 5 == 0]  # 60 good, 20 bad
+    twice, once = (" ".join(f"{x}{k}" for k in range(30)) for x in "uv")
+    texts += [twice, twice, once, *ODD]
+    df = docs(spark, texts, extra=True)
+    known = labels(spark, [(i, 1, 0) for i in range(0, 60, 2)] + [(i, 1, 1) for i in range(60, 80, 2)] + [(None, 1, 0)])
     target, background = lm_score.models(df, known)
     rows = {r.doc_id: r for r in lm_score.score(df, target, background).collect()}
-    # Brute force over words; pairs of words count by their bin, which few pairs share.
-    bins = {}
-
-    def bin_of(pair):
-        if pair not in bins:
-            bins[pair] = int(gram_counts.grams(next(blocks(pa.array([" ".join(pair)]))))[3][0])
-        return bins[pair]
-
-    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
-    every = list(map(split, texts + ODD))
-    mine = [w for i, w in enumerate(every) if i < 300 and i % 2 == 0]
-    for model, column in ((mine, "target_loss"), (every, "background_loss")):
-        one, two = collections.Counter(itertools.chain(*model)), collections.Counter(bin_of(p) for w in model for p in zip(w, w[1:]))
-        total = sum(one.values())
-        for i in (0, 7, 311, 350, 403, 404):
-            losses = []
-            for k, w in enumerate(every[i]):
-                p = one[w] / total
-                uniform = 0.1 / 2**18
-                if k and one[every[i][k - 1]]:
-                    losses.append(-np.log(0.5 * min(1, two[bin_of((every[i][k - 1], w))] / one[every[i][k - 1]]) + 0.4 * p + uniform))
-                else:
-                    losses.append(-np.log(0.9 * p + uniform))
-            assert rows[i][column] == pytest.approx(np.mean(losses), abs=1e-9)
-    assert rows[400].loss_difference is None and rows[400].n_tokens == 0
-    assert np.mean([rows[i].loss_difference for i in range(300, 400)]) > np.mean([rows[i].loss_difference for i in range(300)])
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for t in texts]
+    for i, (t, b) in enumerate(brute_losses(words, range(len(words)), range(0, 60, 2))):
+        r = rows[i]
+        assert r.n_tokens == len(words[i])
+        if t is None:
+            assert r.target_loss is None and r.background_loss is None and r.loss_difference is None
+        else:
+            assert (r.target_loss, r.background_loss, r.loss_difference) == pytest.approx((t, b, t - b), abs=1e-9)
+    assert np.mean([rows[i].loss_difference for i in range(60, 80)]) > np.mean([rows[i].loss_difference for i in range(60)])
+    # A text that occurs twice is known to the background by its other copy.
+    assert rows[80].background_loss == rows[81].background_loss < rows[82].background_loss - 5
     assert lm_score.score(df.limit(0), target, background).count() == 0
     same = lm_score.models(df, known.limit(0))
     assert same[0] is same[1]
@@ -302,17 +357,17 @@ def test_language_models_count_exactly(spark, monkeypatch):
     df = docs(spark, texts)
     target, background = lm_score.models(df, labels(spark, [(0, 1, 0)]))
     words = [t.split() for t in texts]
-    one = collections.Counter(itertools.chain(*words))
-    two = collections.Counter(p for w in words for p in zip(w, w[1:]))
+    rows = {r.doc_id: r for r in lm_score.score(df, target, background).collect()}
+    for i, (t, b) in enumerate(brute_losses(words, range(len(words)), [0])):
+        assert (rows[i].target_loss, rows[i].background_loss) == pytest.approx((t, b), abs=1e-9)
+    # The same texts, not as the corpus that was counted: nothing of them is left out.
+    elsewhere = {r.doc_id - 1000: r for r in lm_score.score(df.withColumn("doc_id", F.col("doc_id") + 1000), target, background).collect()}
+    one, two = collections.Counter(itertools.chain(*words)), collections.Counter(p for w in words for p in zip(w, w[1:]))
     total, uniform = sum(one.values()), 0.1 / 2**18
-    elsewhere = docs(spark, texts)  # the same texts, not as the corpus that was counted
-    for rows in ({r.doc_id: r for r in lm_score.score(d, target, background).collect()} for d in (df, elsewhere)):
-        assert len(rows) == len(texts)
-        for i, w in enumerate(words):
-            losses = [-np.log(0.9 * one[w[0]] / total + uniform)]
-            losses += [-np.log(0.5 * two[a, b] / one[a] + 0.4 * one[b] / total + uniform) for a, b in zip(w, w[1:])]
-            assert rows[i].background_loss == pytest.approx(np.mean(losses), abs=1e-9)
-        assert rows[1].target_loss == pytest.approx(-np.log(uniform), abs=1e-9)
+    for i, w in enumerate(words):
+        losses = [-np.log(0.9 * one[w[0]] / total + uniform)]
+        losses += [-np.log(0.5 * two[a, b] / one[a] + 0.4 * one[b] / total + uniform) for a, b in zip(w, w[1:])]
+        assert elsewhere[i].background_loss == pytest.approx(np.mean(losses), abs=1e-9)
 
 
 def test_quality_rules_decide_where_trees_cannot_be_fitted(spark):
