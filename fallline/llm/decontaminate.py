@@ -13,16 +13,19 @@ Bounds never lie below scores, so everything above the threshold is found.
 A retrieved item counts as a leak when its question and its answer (its last sentences, as few as
 have GRAM words; the whole item where nothing is left before them) both have ``OVERLAP`` of their word n-grams in the text.
 
-The index is broadcast in shards of a bounded number of words; each shard is a pass over the texts.
+The index is built and broadcast in shards of a bounded number of words, with the word statistics of the whole
+benchmark, so that scores and results do not depend on the number of shards.  The driver holds one shard at a time.  One
+pass over the texts meets ``PASS_SHARDS`` shards; more take more passes, so a worker's memory is bounded too.
 
 Words are lower-cased runs of ASCII letters, digits and other non-ASCII bytes.  Defined results for odd
-input: null and empty texts and items match nothing; equal items are found each under its own id;
+input: null and empty texts and items match nothing; texts and items of any length are searched and indexed whole; equal items are found each under its own id;
 repeated rows give repeated leaks; an empty table on either side gives no leaks; other columns are kept
 by :func:`without_leaks` and ignored by :func:`leaks`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fallline.llm.rows import per_batch
+from fallline.llm.rows import per_batch, per_partition
 from fallline.llm.textblock import LOWER, Block, blocks, distinct_sorted, gram_hashes, ranges, slice_hashes, words
-from fallline.runtime import fresh
+from fallline.runtime import cut, fresh
 
 SEGMENT, STRIDE = 40, 32
 PASSAGE = SEGMENT + STRIDE
@@ -42,8 +45,8 @@ OVERLAP = 0.5
 GRAM = 5
 BLOCK, SUPERBLOCK = 8, 64
 K1, B = 1.2, 0.75
-#: Words of test items in one broadcast index.
-SHARD_WORDS = 80_000
+#: Words of test items in one broadcast index, about, and such indexes in one pass over the texts.
+SHARD_WORDS, PASS_SHARDS = 20_000, 64
 
 #: Everything in ASCII but letters and digits parts words.
 PARTS = np.zeros(256, dtype=bool)
@@ -120,7 +123,7 @@ def build(items: list[tuple[object, str]], frequency: dict[int, int] | None = No
     t, seg = pair // n, pair % n
     df = np.bincount(t, minlength=len(term))
     if frequency is not None:
-        df = np.maximum(df, [frequency.get(int(h), 0) for h in term.view(np.int64)])
+        df = np.array([frequency[int(h)] for h in term.view(np.int64)])
     total = segments or n
     idf = np.log1p((total - df + 0.5) / (df + 0.5))
     length = np.bincount(of, minlength=n)
@@ -154,9 +157,9 @@ def _score(index: Index, terms: np.ndarray, b: int, doc: int, hits: dict) -> Non
         hits[pair] = max(hits.get(pair, 0.0), float(score[k] / least[k] * RECALL))
 
 
-def find(block: Block, index: Index) -> list[tuple[int, int, float, float, float]]:
+def find(block: Block, index: Index, hashed=None) -> list[tuple[int, int, float, float, float]]:
     """(text, item number, best share of a segment's own score, question overlap, answer overlap) of leaks."""
-    w, h = _hashed(block)
+    w, h = hashed or _hashed(block)
     if not len(h):
         return []
     at = np.searchsorted(index.term, h)
@@ -193,33 +196,47 @@ def find(block: Block, index: Index) -> list[tuple[int, int, float, float, float
     return out
 
 
-def shards(benchmark: DataFrame, *, key: str = "item_id", text: str = "text") -> list[Index]:
-    """The index of a benchmark, in as many shards as its words need."""
+def _statistics(items: DataFrame) -> DataFrame:
+    """Rows (h, n): segments that hold a word; one row without h: n segments of n_words words in all.  ``items`` has text."""
+
+    def run(batches):
+        segments = n_words = 0
+        for batch in batches:
+            of, hashes, _ = _segments([(None, t) for t in batch.column("text").to_pylist()])
+            n_words += len(hashes)
+            if len(hashes):
+                segments += int(of[-1]) + 1
+                word, code = np.unique(hashes, return_inverse=True)
+                pairs = np.unique(code * (int(of[-1]) + 1) + of)
+                yield {"h": word.view(np.int64), "n": np.bincount(pairs // (int(of[-1]) + 1), minlength=len(word)), "n_words": np.zeros(len(word), np.int64)}
+        yield {"h": pa.nulls(1, pa.int64()), "n": [segments], "n_words": [n_words]}
+
+    return per_partition(items.select("text"), run, "h bigint, n bigint, n_words bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n_words").alias("n_words"))
+
+
+def shards(benchmark: DataFrame, *, key: str = "item_id", text: str = "text") -> Iterator[Index]:
+    """The index of a benchmark, one shard after the other."""
     items = benchmark.select(benchmark[key].alias("item"), benchmark[text].cast("string").alias("text")).filter("text IS NOT NULL")
-    size = items.agg(F.sum(F.size(F.split("text", r"[^\p{Alnum}]+"))).alias("n")).first()["n"] or 0
-    n = -(-int(size) // SHARD_WORDS)
-    if n <= 1:
-        one = build([(r["item"], r["text"]) for r in items.sort("item", "text").toLocalIterator()])
-        return [one] if one else []
+    known = cut(_statistics(items), "statistics")
+    total = known.filter("h IS NULL").first()
+    if total is None or not total["n"]:
+        return
+    n = -(-total["n_words"] // SHARD_WORDS)
     shard = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    for k in range(n):  # each turn gathers one shard, whose size is bounded
+        mine = shard.filter(F.col("shard") == k)
+        words_of = _statistics(mine).filter("h IS NOT NULL").select("h") if n > 1 else known.filter("h IS NOT NULL").select("h")
+        table = words_of.join(known.select("h", "n"), "h").toArrow()
+        frequency = dict(zip(table.column("h").to_pylist(), table.column("n").to_pylist()))
+        rows = [(r["item"], r["text"]) for r in mine.sort("item", "text").toLocalIterator()]
+        if (index := build(rows, frequency, int(total["n"]))) is not None:
+            yield index
 
-    def run(batch: pa.RecordBatch) -> dict:
-        of, hashes, item = _segments([(None, t) for t in batch.column("text").to_pylist()])
-        pairs = np.unique(np.stack([of, hashes.view(np.int64)]), axis=1) if len(of) else np.empty((2, 0), np.int64)
-        row = np.array(batch.column("shard").to_pylist(), dtype=np.int64)
-        return {"shard": row[item[pairs[0]]], "h": pairs[1], "segment_of_batch": pairs[0]}
 
-    words_of = per_batch(shard.select("text", "shard"), run, "shard bigint, h bigint, segment_of_batch bigint")
-    frequency = words_of.groupBy("h").count()
-    segments = shard.agg(F.sum(F.ceil(F.size(F.split("text", r"[^\p{Alnum}]+")) / SEGMENT)).alias("n")).first()["n"]
-    out = []
-    for k in range(n):  # each turn gathers one shard, whose size is bounded
-        mine = words_of.filter(F.col("shard") == k).select("h").distinct().join(frequency, "h").toArrow()
-        known = dict(zip(mine.column("h").to_pylist(), mine.column("count").to_pylist()))
-        rows = [(r["item"], r["text"]) for r in shard.filter(F.col("shard") == k).sort("item", "text").toLocalIterator()]
-        if (index := build(rows, known, int(segments))) is not None:
-            out.append(index)
-    return out
+def _passes(benchmark: DataFrame, item_key: str) -> list[list]:
+    """Broadcast shards, as many together as one pass over the texts meets."""
+    shared = [benchmark.sparkSession.sparkContext.broadcast(index) for index in shards(benchmark, key=item_key)]
+    return [shared[i : i + PASS_SHARDS] for i in range(0, len(shared), PASS_SHARDS)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -229,13 +246,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     names = [*fresh(spark.range(0).toDF(key), item_key)]
     schema = f"key {docs.schema[key].dataType.simpleString()}, item {benchmark.schema[item_key].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
-    for index in shards(benchmark, key=item_key):
-        shared = spark.sparkContext.broadcast(index)
+    for some in _passes(benchmark, item_key):
 
-        def run(batch: pa.RecordBatch, shared=shared) -> dict:
-            index, found = shared.value, []
+        def run(batch: pa.RecordBatch, some=some) -> dict:
+            found = []
             for block in blocks(batch.column("text")):
-                found += [(block.first + d, index.ids[i], *rest) for d, i, *rest in find(block, index)]
+                hashed = _hashed(block)
+                for shared in some:
+                    found += [(block.first + d, shared.value.ids[i], *rest) for d, i, *rest in find(block, shared.value, hashed)]
             where, item, *rest = zip(*found) if found else [()] * 5
             return {"key": batch.column("key").take(pa.array(where, pa.int64())), "item": list(item), **dict(zip(("score", "question_overlap", "answer_overlap"), map(list, rest)))}
 
@@ -248,14 +266,15 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     columns = docs.columns
     flag = fresh(docs, "leaks")[0]
     out = docs
-    for index in shards(benchmark, key=item_key):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for some in _passes(benchmark, item_key):
 
-        def run(batch: pa.RecordBatch, shared=shared) -> dict:
+        def run(batch: pa.RecordBatch, some=some) -> dict:
             leaky = np.zeros(batch.num_rows, dtype=bool)
             for block in blocks(batch.column(text)):
-                for d, *_ in find(block, shared.value):
-                    leaky[block.first + d] = True
+                hashed = _hashed(block)
+                for shared in some:
+                    for d, *_ in find(block, shared.value, hashed):
+                        leaky[block.first + d] = True
             return {**{c: batch.column(c) for c in columns}, flag: leaky}
 
         schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField(flag, T.BooleanType())])

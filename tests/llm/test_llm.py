@@ -578,14 +578,23 @@ def test_bounds_never_hide_a_match(spark, monkeypatch):
 
 
 def test_decontamination_in_shards(spark, monkeypatch):
+    """Any number of shards and of passes finds the same leaks with the same scores, in any script."""
     rnd = random.Random(10)
     items = [(i, prose(rnd, 30, [f"t{k}" for k in range(500)])) for i in range(40)]
-    bench = spark.createDataFrame(items, "item_id bigint, text string")
-    df = docs(spark, [t for _, t in items[:10]] + ["nothing of it"])
-    whole = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
-    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 200)
-    assert len(decontaminate.shards(bench)) > 2
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == whole == {(i, i) for i in range(10)}
+    items += [(100 + i, prose(rnd, 30, [f"слово{k}" for k in range(300)])) for i in range(40)]
+    items += [(200 + i, prose(rnd, 20, ["水" * (1 + k % 5) + chr(0x4E00 + k) for k in range(200)])) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    texts = [t + " and " + prose(rnd, 20) for _, t in items[:10] + items[40:50] + items[80:90]] + ["nothing of it"]
+    df = docs(spark, texts)
+    rows = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(df, bench).collect())
+    whole = rows()
+    assert len(list(decontaminate.shards(bench))) == 1
+    assert {(d, i) for d, i, *_ in whole} == {(k, items[j][0]) for k, j in enumerate([*range(10), *range(40, 50), *range(80, 90)])}
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 300)
+    monkeypatch.setattr(decontaminate, "PASS_SHARDS", 3)
+    assert len(list(decontaminate.shards(bench))) > 6
+    assert rows() == whole
+    assert {r.doc_id for r in decontaminate.without_leaks(df, bench).collect()} == {30}
 
 
 # op3
