@@ -3,10 +3,11 @@
 Words are maximal runs without ASCII white space (0x20, 0x09 to 0x0D), compared byte for byte.
 
 Defined results for odd input: a null text has no words and fails the rules; so does an empty one;
-repeated rows get equal results; labels that are null, or whose document is missing, are left out; where
-the labels hold one class only, or too few documents to fit, the trees have nothing to say and the verdict is the
-rules' alone; an empty table gives an empty table; other columns of ``docs`` are ignored or kept as the
-call says.
+repeated rows get equal results; texts of any length are counted whole; labels that are null, or whose document is missing,
+are left out; a document of several labels is good if all call it good; of several texts under one labelled key the one of the
+smallest features is fitted on; where the labels hold one class only, or too few documents to fit, the trees have nothing to say and the verdict is the
+rules' alone; an empty table gives an empty table; other columns of ``docs`` are ignored or, also under the names of
+the result's columns, kept as the call says.
 """
 
 from __future__ import annotations
@@ -153,11 +154,11 @@ def statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> boosting.Forest:
     """Fit the trees on at most ``rows`` labelled documents, the ones with the smallest hashes of their keys."""
-    known = labels.filter(labels[key].isNotNull() & labels[label].isNotNull()).groupBy(labels[key].alias("key")).agg(F.max(label).cast("double").alias("label"))
+    known = labels.filter(labels[key].isNotNull() & labels[label].isNotNull()).groupBy(labels[key].alias("key")).agg(F.min(label).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("key"), "key").limit(rows)  # the parameter bounds what is broadcast and collected
     picked = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(known), "key")
     # Repeated keys could exceed the bound: one row a document.
-    sample = statistics(picked, key="key", text="text").groupBy("key").agg(F.first("features").alias("features")).join(F.broadcast(known), "key").toPandas()
+    sample = statistics(picked, key="key", text="text").groupBy("key").agg(F.min("features").alias("features")).join(F.broadcast(known), "key").toPandas()
     if not len(sample):
         return boosting.constant(1.0)
     sample = sample.sort_values("key")

@@ -10,21 +10,25 @@ Of the records with equal payloads of at least ``min_bytes`` bytes, that with th
 
 Defined results for odd input: a null payload is the empty payload; a null key is smaller than every
 other key; a null address gets the target ``urn:key:<key>``; control characters in an address are
-percent-encoded, so that no address can forge a header line; repeated rows give repeated records,
-and all rows that carry the response's key are responses; an empty table gives an archive without
+percent-encoded, so that no address can forge a header line; payloads of any length are kept whole; repeated rows give
+records that differ in their identifiers alone, and all rows that carry the response's key are responses, of which
+revisits name the first; an empty table gives an archive without
 rows.  Columns of the input that are not named in the call are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fallline.llm.rows import per_partition
 
+#: Bytes of a WARC file that are opened and parsed at a time.
+PIECE = 16 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -41,7 +45,7 @@ def base32_sha1(data: Column) -> Column:
 
 def _uuid(*parts: Column) -> Column:
     """A name-based identifier of a record, the same whenever the record is written again."""
-    h = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    h = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts]))
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
@@ -61,11 +65,12 @@ def write_archive(pages: DataFrame, path: str, *, key: str = "page_id", target:
     payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     stored = spark.read.parquet(f"{path}/payloads").select("address", "response_key", "n_bytes", "sha1")
-    known = rows.select("key", "target", "address").join(stored, "address")
+    # Equal rows are told apart by a number; the first of a key and payload is the one that others name.
+    known = rows.select("key", "target", "address").withColumn("copy", F.row_number().over(Window.partitionBy("key", "address").orderBy("target"))).join(stored, "address")
     response = F.col("key").eqNullSafe(F.col("response_key")) | (F.col("n_bytes") < min_bytes)
     uri = F.coalesce("target", F.concat(F.lit("urn:key:"), F.coalesce(F.col("key").cast("string"), F.lit("null"))))
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace(uri, "\r", "%0D"), "\n", "%0A"), r"[\x00-\x1F\x7F]", "%20")
-    record_id = _uuid(F.col("key"), F.col("address"))
+    record_id = _uuid(F.col("key"), F.col("address"), F.col("copy"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.length(http) + F.when(response, F.col("n_bytes")).otherwise(0)
     head = F.concat(
@@ -73,7 +78,7 @@ def write_archive(pages: DataFrame, path: str, *, key: str = "page_id", target:
         F.lit("\r\nWARC-Record-ID: <urn:uuid:"), record_id,
         F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("sha1"),
-        F.when(~response, F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: <urn:uuid:"), _uuid(F.col("response_key"), F.col("address")), F.lit(">"))).otherwise(""),
+        F.when(~response, F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: <urn:uuid:"), _uuid(F.col("response_key"), F.col("address"), F.lit(1)), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), block.cast("string"), F.lit("\r\n\r\n"),
     )
     records = known.select("key", "address", F.concat(head, http).cast("binary").alias("header"))
@@ -90,19 +95,20 @@ def read_archive(spark: SparkSession, path: str, *, with_payload: bool = True) -
     """The records of an archive: key, record_type, payload_bytes, payload_digest, refers_to, header and,
     if asked for, payload and the record's exact bytes.
 
-    Every payload is hashed again, once, before the join; one that differs from its address ends the read.
+    Every payload is hashed again, once, before the join; one that differs from its address ends the read.  ``refers_to`` is
+    the key of the record that a revisit's header names.
     """
     payloads = spark.read.parquet(f"{path}/payloads")
     sound = F.sha2("payload", 256) == F.col("address")
     payloads = payloads.select(
-        "address", "response_key", base32_sha1(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "address", base32_sha1(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         *(["payload"] if with_payload else []),
         F.when(sound, True).otherwise(F.raise_error(F.concat(F.lit("payload differs from its address "), F.col("address"))).cast("boolean")).alias("sound"),
     ).filter("sound").drop("sound")
     records = spark.read.parquet(f"{path}/records")
-    records = records.withColumn("record_type", header_field(F.col("header"), "WARC-Type"))
-    out = records.join(payloads, "address")
-    out = out.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("response_key")))
+    records = records.withColumns({"record_type": header_field(F.col("header"), "WARC-Type"), "names": header_field(F.col("header"), "WARC-Refers-To")})
+    named = records.filter("record_type = 'response'").select(header_field(F.col("header"), "WARC-Record-ID").alias("names"), F.col("key").alias("refers_to"))
+    out = records.join(named, "names", "left").join(payloads, "address")
     columns = ["key", "record_type", "payload_bytes", "payload_digest", "refers_to", "header"]
     if not with_payload:
         return out.select(*columns)
@@ -120,29 +126,48 @@ def export_warc(spark: SparkSession, path: str, to: str, *, files: int | None =
     lines.write.option("lineSep", "\n").option("compression", "gzip").text(to)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(header, block) of each record of an uncompressed WARC file, by Content-Length."""
+def parse_warc(data: bytes, *, cut: bool = False) -> Iterator[tuple[bytes, bytes, int]]:
+    """(header, block, where the next record begins) of each record of an uncompressed WARC file, by Content-Length; with
+    ``cut`` a last record that is not there in whole is left out."""
     at = 0
     while (end := data.find(b"\r\n\r\n", at)) >= 0:
         header = data[at : end + 4]
         length = next((int(line.split(b":", 1)[1]) for line in header.split(b"\r\n") if line.lower().startswith(b"content-length:")), 0)
-        yield header, data[end + 4 : end + 4 + length]
         at = end + 4 + length
+        if cut and len(data) < at + 4:
+            return
         while data[at : at + 2] == b"\r\n":
             at += 2
+        yield header, data[end + 4 : end + 4 + length], at
 
 
 def import_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files (gzip or plain): record_type, target, header and block as stored."""
-    import gzip
+    def pieces(data: bytes) -> Iterator[bytes]:
+        """The file's content, gzip members opened bit by bit."""
+        while data[:2] == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
+            while not member.eof and (data or member.unconsumed_tail):
+                yield member.decompress(member.unconsumed_tail or data, PIECE)
+                data = b""
+            data = member.unused_data
+        yield data
 
     def read(batches):
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                pairs = list(parse_warc(data))
-                yield {"header": pa.array([a for a, _ in pairs], pa.binary()), "block": pa.array([b for _, b in pairs], pa.binary())}
+                held, pairs = b"", []
+                for piece in pieces(content.as_py()):
+                    held += piece
+                    whole = list(parse_warc(held, cut=True))
+                    pairs += whole
+                    if whole:
+                        held = held[whole[-1][2] :]
+                    if sum(len(b) for _, b, _ in pairs) > PIECE:
+                        yield {"header": pa.array([a for a, _, _ in pairs], pa.binary()), "block": pa.array([b for _, b, _ in pairs], pa.binary())}
+                        pairs = []
+                pairs += parse_warc(held)
+                yield {"header": pa.array([p[0] for p in pairs], pa.binary()), "block": pa.array([p[1] for p in pairs], pa.binary())}
 
     raw = per_partition(spark.read.format("binaryFile").load(path).select("content"), read, "header binary, block binary")
     return raw.select(header_field(F.col("header"), "WARC-Type").alias("record_type"), header_field(F.col("header"), "WARC-Target-URI").alias("target"), "header", "block")
