@@ -875,6 +875,35 @@ def test_simple_tree_matching(monkeypatch):
         monkeypatch.undo()
 
 
+# very long texts and clashing columns
+
+
+def test_texts_longer_than_a_block(spark):
+    rnd = random.Random(31)
+    long = " ".join(f"w{rnd.randrange(60_000)}" for _ in range(250_000))
+    item = prose(rnd, 25, [f"own{k}" for k in range(300)])
+    texts = [long + " " + item, long + " MIT License", "A short text of its own here", None]
+    assert len(long) > 1 << 20
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    df = docs(spark, texts, extra=True).withColumns({c: F.lit(0) for c in ("text_hash", "log_weight", "sample_key", "component_id", "n_tokens", "hit", "counted", "low", "base")})
+    licenses = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert [licenses[i].n_words for i in range(4)] == [len(w) for w in split] and licenses[1].first_word == 250_000
+    rules = {r.doc_id: r for r in quality_rules.judge(df, boosting.constant(1.0)).collect()}
+    assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(texts[i]) for i, r in rules.items())
+    back = {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(byte_bpe.encode(df, RANKS), RANKS).collect()}
+    assert all(back[i] == (t or "").encode() for i, t in enumerate(texts))
+    bench = spark.createDataFrame([(1, item), (2, long)], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(0, 1), (0, 2), (1, 2)}
+    classes = {r.doc: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(df, size=3, percent=90).collect()}
+    assert [classes[i] for i in range(4)] == brute_components(texts, 3, 90) and classes[1][1] == 0
+    known = labels(spark, [(0, 1, 0), (2, 0, 0)])
+    assert {r.doc_id: r.n_words for r in importance.resample(df, known).collect()} == {i: len(w) for i, w in enumerate(split)}
+    assert importance.drawn(df, known).columns == df.columns and quality_rules.rejected_go(df, known).columns == df.columns
+    target, background = lm_score.models(df, known)
+    scores = {r.doc_id: r for r in lm_score.score(df, target, background).collect()}
+    assert [scores[i].n_tokens for i in range(4)] == [len(w) for w in split] and scores[1].background_loss < scores[2].background_loss
+
+
 # the registry
 
 
