@@ -9,6 +9,7 @@ leave the loop.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -53,18 +54,20 @@ def decide(children: DataFrame, rules: Rules, last: bool) -> DataFrame:
     return out.select("parent", "hb", decision.alias("decision"))
 
 
-def units(cells: DataFrame, levels: DataFrame, rules: Rules, count: int, *, early_exit: bool = True) -> DataFrame:
+def units(cells: DataFrame, levels: DataFrame | Callable[[int], DataFrame], rules: Rules, count: int, *, early_exit: bool = True) -> DataFrame:
     """cell_id and category of every valid cell.
 
-    ``cells`` has cell_id, sin_aspect, cos_aspect and aspect_valid of the valid cells, ``levels`` has level, cell_id and hb.
+    ``cells`` has cell_id, sin_aspect, cos_aspect and aspect_valid of the valid cells, ``levels`` has level, cell_id and hb, or
+    gives cell_id and hb of a level when it is called with one.
     Categories are groups (level, decision, parent, hb) numbered densely; cells that no level decides take the last
     level's half-basin, and what is left is one category.  Without ``early_exit`` all levels are aggregated,
     also those that nothing reaches; the result is the same.
     """
+    level_of = levels if callable(levels) else lambda k: levels.filter(F.col("level") == k).select("cell_id", "hb")
     active = cells.select("cell_id", "sin_aspect", "cos_aspect", "aspect_valid", F.lit(0).cast("long").alias("parent"))
     done: list[DataFrame] = []
     for level in range(1, count + 1):
-        here = levels.filter(F.col("level") == level).select("cell_id", "hb")
+        here = level_of(level)
         work = cut(active.join(here, "cell_id", "left").withColumn("hb", F.coalesce("hb", F.lit(0))), f"level{level}")
         verdict = decide(aggregate(work), rules, level == count)
         # A rejected parent is one group; else a child is.  Groups get ids that tell parents of the next level apart.
@@ -77,7 +80,7 @@ def units(cells: DataFrame, levels: DataFrame, rules: Rules, count: int, *, earl
     chosen = done[0]
     for one in done[1:]:
         chosen = chosen.unionByName(one)
-    rest = levels.filter(F.col("level") == count).select("cell_id", "hb")
+    rest = level_of(count)
     out = cells.select("cell_id").join(chosen, "cell_id", "left").join(rest, "cell_id", "left")
     gap = F.when(F.col("hb") > 0, F.xxhash64(F.lit(0), "hb")).otherwise(F.xxhash64(F.lit(-1)))
     out = cut(out.select("cell_id", F.coalesce("group", gap).alias("group")), "groups")

@@ -42,3 +42,14 @@ def partition(cells: DataFrame, grid: GridSpec, factor: int, max_fine_cells: int
     records = out.groupBy("domain").agg(F.count("*").alias("coarse_cells"), F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.min("c").alias("c_min"), F.max("c").alias("c_max"))
     records = records.withColumn("fine_cells", F.col("coarse_cells") * ratio).withColumn("area_m2", F.col("coarse_cells") * coarse_grid.cell_area)
     return out, records
+
+
+def domain_sizes(records: DataFrame) -> DataFrame:
+    """One row: number, median and largest size of the domains, in coarse cells."""
+    return records.agg(F.count("*").alias("domains"), F.median("coarse_cells").alias("median_cells"), F.max("coarse_cells").alias("largest_cells"))
+
+
+def write_domains(cells: DataFrame, records: DataFrame, path: str) -> None:
+    """The coarse cells' domains, a record of each domain, and their sizes."""
+    for name, table in (("cells", cells), ("records", records), ("sizes", domain_sizes(records))):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from fallline.grid import GridSpec
 from fallline.operators import hierarchy, regions, routing, stencil
-from fallline.plans.schedule import threshold_schedule
-from fallline.runtime import cut
+from fallline.plans.schedule import candidate_storage, threshold_schedule
+from fallline.runtime import cut, exists, free_bytes, stage
 
 
 @dataclass(frozen=True)
@@ -40,38 +41,58 @@ class Settings:
 
 
 class SlopeUnits:
-    """The whole run; each stage is a table that later stages, and later runs with the same settings, reuse."""
+    """The whole run.
 
-    def __init__(self, settings: Settings | None = None):
-        self.settings = settings or Settings()
+    With a ``work`` folder every stage is a table there, under a key of all that decides it, and a later run with the same
+    settings reads what an earlier one finished, also where that was stopped; ``restart`` builds everything anew.  ``storage``
+    says whether half-basins of all levels are written at once (``all``) or made level by level from the flow table
+    (``stream``); ``auto`` decides by the space that they need and the folder has.
+    """
+
+    def __init__(self, settings: Settings | None = None, *, work: str | None = None, source: str = "", restart: bool = False, storage: str = "auto", tile: int = regions.TILE):
+        if storage not in ("auto", "all", "stream"):
+            raise ValueError("storage is auto, all or stream")
+        self.settings, self.work, self.source, self.restart, self.storage, self.tile = settings or Settings(), work, source, restart, storage, tile
+
+    def _stage(self, grid: GridSpec, name: str, build: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+        if self.work is None:
+            return cut(build(), name)
+        return stage(spark, f"{self.work}/{self.settings.key(grid, self.source)}/{name}", build, restart=self.restart)
 
     def prepare(self, cells: DataFrame, grid: GridSpec) -> DataFrame:
-        return cut(stencil.aspect(stencil.with_nodata(cells, self.settings.nodata), grid), "cells")
+        return self._stage(grid, "cells", lambda: stencil.aspect(stencil.with_nodata(cells, self.settings.nodata), grid), cells.sparkSession)
 
-    def candidates(self, cells: DataFrame, grid: GridSpec) -> tuple[DataFrame, DataFrame, int]:
-        """(flow table, half-basins of every level, number of levels)."""
-        s = self.settings
+    def candidates(self, cells: DataFrame, grid: GridSpec, *, mode: str = "lazy") -> tuple[DataFrame, DataFrame | Callable[[int], DataFrame], int]:
+        """(flow table, half-basins of every level, number of levels); streamed half-basins are a function of the level."""
+        s, spark = self.settings, cells.sparkSession
         levels = threshold_schedule(s.threshold_m2, grid.cell_area, s.reduction_factor, s.max_iterations)
-        flow = cut(routing.flow(cells, grid, [x.cells for x in levels], power=s.convergence, scale=s.hydro_scale), "flow")
-        return flow, cut(routing.half_basin_levels(flow), "half_basins"), len(levels)
+        flow = self._stage(grid, "flow", lambda: routing.flow(cells, grid, [x.cells for x in levels], power=s.convergence, scale=s.hydro_scale, tile=self.tile), spark)
+        if candidate_storage(grid, len(levels), free_bytes(spark), self.storage, mode == "materialized") == "stream":
+            return flow, lambda k: routing.half_basin_levels(flow, k).select("cell_id", "hb"), len(levels)
+        return flow, self._stage(grid, "half_basins", lambda: routing.half_basin_levels(flow), spark), len(levels)
 
-    def segment(self, cells: DataFrame, levels: DataFrame, count: int, grid: GridSpec, *, mode: str = "lazy") -> DataFrame:
+    def segment(self, cells: DataFrame, levels: DataFrame | Callable[[int], DataFrame], count: int, grid: GridSpec, *, mode: str = "lazy") -> DataFrame:
         """cell_id and clump of every valid cell, before cleaning."""
         s = self.settings
         rules = hierarchy.Rules(grid.cell_area, s.min_area_m2, s.cv_min, s.max_area_m2)
         valid = cells.filter("z IS NOT NULL")
         categories = hierarchy.units(valid, levels, rules, count, early_exit=mode == "lazy")
-        return regions.clump(cells.select("cell_id", "r", "c").join(categories, "cell_id"), grid, "category")
+        return regions.clump(cells.select("cell_id", "r", "c").join(categories, "cell_id"), grid, "category", tile=self.tile)
 
     def run(self, cells: DataFrame, grid: GridSpec, *, mode: str = "lazy", clean: bool = True) -> DataFrame:
         """cell_id, r, c, z, aspect columns, raw_unit and unit of every cell."""
+        spark = cells.sparkSession
         cells = self.prepare(cells, grid)
-        _, levels, count = self.candidates(cells, grid)
-        raw = cut(self.segment(cells, levels, count, grid, mode=mode), "raw")
+
+        def build() -> DataFrame:
+            _, levels, count = self.candidates(cells, grid, mode=mode)
+            return self.segment(cells, levels, count, grid, mode=mode)
+
+        raw = self._stage(grid, "raw", build, spark)
         out = cells.join(raw.withColumnRenamed("clump", "raw_unit"), "cell_id", "left")
         if not clean or self.settings.clean_size_m2 <= 0:
             return out.withColumn("unit", F.col("raw_unit"))
-        out = cut(out, "raw_cells")
+        out = self._stage(grid, "raw_cells", lambda: out, spark)
         neat = regions.clean(out, grid, self.settings.clean_size_m2, method=self.settings.clean_method, label="raw_unit")
         return out.join(neat.withColumnRenamed("clump", "unit"), "cell_id", "left")
 
@@ -145,12 +166,24 @@ class Optimizer:
         return max(whole[0], x - third), min(whole[1], x + third)
 
 
-def write_units(units: DataFrame, grid: GridSpec, path: str, *, vector: bool = True) -> None:
-    """Labels, polygons, metrics and the grid's header below ``path``."""
+def write_units(units: DataFrame, grid: GridSpec, path: str, *, vector: bool = True, diagnostics: bool = True, skip_existing: bool = False) -> bool:
+    """Labels, polygons, display classes and boundaries, metrics and the grid's header below ``path``; whether they were written
+    (a finished earlier result stays where ``skip_existing`` is set)."""
     spark: SparkSession = units.sparkSession
+    if skip_existing and exists(spark, f"{path}/grid/_SUCCESS"):
+        return False
     units.write.mode("overwrite").parquet(f"{path}/units")
     stored = spark.read.parquet(f"{path}/units")
     if vector:
         regions.polygons(stored, grid, "unit").write.mode("overwrite").parquet(f"{path}/polygons")
+    if diagnostics:
+        shown = stencil.boundary(stored, "unit").select("cell_id", "r", "c", stencil.display_class(F.coalesce("unit", F.lit(0))).alias("display"), "is_boundary")
+        shown.write.mode("overwrite").parquet(f"{path}/diagnostics")
     regions.segmentation_metrics(stored, "unit").write.mode("overwrite").json(f"{path}/metrics")
     spark.createDataFrame([(grid.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/grid")
+    return True
+
+
+def write_report(spark: SparkSession, path: str, report: dict) -> None:
+    """What a run was asked for, planned and did, as one JSON line."""
+    spark.createDataFrame([(json.dumps(report, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fallline.grid import GridSpec
 from fallline.operators import hierarchy, regions, routing, stencil
-from fallline.plans.pipeline import Settings, SlopeUnits
+from fallline.plans.pipeline import Settings, SlopeUnits, objective
 from fallline.plans.schedule import estimate_work_storage, threshold_schedule
 from fallline.runtime import cut
 
@@ -90,6 +90,19 @@ def adjacency_pairs(spark, sf_dir):
     return stencil.adjacency(_labelled(spark, sf_dir)[0])
 
 
+def adjacency_sparse(spark, sf_dir):
+    """Labels that touch, from a table without the invalid cells."""
+    return stencil.adjacency(_labelled(spark, sf_dir)[0].filter("z IS NOT NULL"))
+
+
+def optimize(spark, sf_dir):
+    """The search's objective over points of given V and I."""
+    cells, _ = _labelled(spark, sf_dir)
+    got = cells.filter("z IS NOT NULL").groupBy((F.col("o_custkey") % 7).alias("point")).agg(F.round(F.avg("r"), 6).alias("V"), F.round(F.avg("c"), 6).alias("I"))
+    points = [{"point": r["point"], "V": r["V"], "I": None if r["point"] == 5 else r["I"]} for r in got.sort("point").collect()]  # seven
+    return spark.createDataFrame([(p["point"], p["V"], p["I"], None if f is None else round(f, 9)) for p, f in zip(points, objective(points))], "point bigint, V double, I double, F double")
+
+
 def display_class(spark, sf_dir):
     cells, _ = dem(spark, sf_dir)
     return cells.select("cell_id", stencil.display_class(F.col("cell_id")).cast("long").alias("display"))
@@ -235,7 +248,7 @@ def slope_units(spark, sf_dir):
 
 
 QUERIES = (
-    cv_by_zone, valid_quantized, aspect, edge_cells, label_boundary, adjacency_pairs, display_class, coarse_mean, resampled, domain_lookup, clumps, clumps_tiled,
+    cv_by_zone, valid_quantized, aspect, edge_cells, label_boundary, adjacency_pairs, adjacency_sparse, optimize, display_class, coarse_mean, resampled, domain_lookup, clumps, clumps_tiled,
     grow_labels, interior_seed, unit_stats, segmentation_metrics, level_decisions, schedule, storage_estimate, routing_check, flow_table, mfd_weights_check,
     receivers_check, half_basins_check, drainage_domains, unit_polygons, cleaned_units, slope_units,
 )
@@ -258,6 +271,19 @@ ORACLES = {
     "label_boundary": MASKED + _LAB + """ SELECT u.cell_id, u.label > 0 AND coalesce(bool_or(v.label <> u.label), false) AS is_boundary
         FROM l u LEFT JOIN l v ON (v.r = u.r AND abs(v.c - u.c) = 1) OR (v.c = u.c AND abs(v.r - u.r) = 1) GROUP BY u.cell_id, u.label""",
     "adjacency_pairs": MASKED + _LAB + _PAIRS + " SELECT least(a, b) AS low, greatest(a, b) AS high, count(*) AS contact FROM s GROUP BY 1, 2",
+    "adjacency_sparse": MASKED + _LAB + _PAIRS + " SELECT least(a, b) AS low, greatest(a, b) AS high, count(*) AS contact FROM s GROUP BY 1, 2",
+    "optimize": MASKED + """, p AS (SELECT o_custkey % 7 AS point, round(avg(r), 6) AS v, CASE WHEN o_custkey % 7 <> 5 THEN round(avg(c), 6) END AS i FROM o WHERE z IS NOT NULL GROUP BY 1)
+        SELECT point, v AS "V", i AS "I", round((max(v) OVER () - v) / (max(v) OVER () - min(v) OVER ()) + (max(i) OVER () - i) / (max(i) OVER () - min(i) OVER ()), 9) AS "F" FROM p""",
+    "cleaned_units": MASKED.replace("WITH", "WITH RECURSIVE", 1) + _LAB + """, kept AS (SELECT label FROM l WHERE label > 0 GROUP BY 1 HAVING count(*) * 900.0 > 9000),
+        seed AS (SELECT cell_id, r, c, label FROM l JOIN kept USING (label)),
+        gap AS (SELECT cell_id, r, c, label FROM l WHERE label > 0 AND label NOT IN (SELECT label FROM kept)),
+        near AS (SELECT g.cell_id, s.label, row_number() OVER (PARTITION BY g.cell_id ORDER BY (s.r - g.r) ** 2 + (s.c - g.c) ** 2, s.r, s.c) AS k
+            FROM gap g JOIN seed s ON s.r BETWEEN g.r - 5 AND g.r + 5 AND s.c BETWEEN g.c - 5 AND g.c + 5 AND (s.r - g.r) ** 2 + (s.c - g.c) ** 2 <= 25),
+        v AS (SELECT cell_id, r, c, label AS v FROM seed UNION ALL SELECT g.cell_id, g.r, g.c, coalesce(n.label, g.label) FROM gap g LEFT JOIN near n ON n.cell_id = g.cell_id AND n.k = 1),
+        step AS (SELECT p.cell_id AS a, q.cell_id AS b FROM v p JOIN v q ON p.v = q.v AND ((p.r = q.r AND abs(p.c - q.c) = 1) OR (p.c = q.c AND abs(p.r - q.r) = 1))),
+        reach AS (SELECT cell_id AS a, cell_id AS b FROM v UNION SELECT reach.a, step.b FROM reach JOIN step ON reach.b = step.a),
+        first AS (SELECT a AS cell_id, min(b) AS first FROM reach GROUP BY a)
+        SELECT cell_id, dense_rank() OVER (ORDER BY first) AS clump FROM first""",
     "display_class": MASKED + """, h0 AS (SELECT cell_id, xor(cell_id, cell_id >> 16)::HUGEINT AS x FROM o),
         h1 AS (SELECT cell_id, ((x * 2146121005) % 4294967296)::BIGINT AS x FROM h0), h2 AS (SELECT cell_id, xor(x, x >> 15)::HUGEINT AS x FROM h1),
         h3 AS (SELECT cell_id, ((x * 2221713035) % 4294967296)::BIGINT AS x FROM h2), h4 AS (SELECT cell_id, xor(x, x >> 16) AS x FROM h3)

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Row groups of intermediate tables: a task buffers one while it writes.
+ROW_GROUP_BYTES = 16 << 20
 PACKAGE = Path(__file__).resolve().parent
 
 #: Largest table, in rows and in bytes of its values, that :func:`broadcast_if_small` hands to every executor.
@@ -65,7 +67,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that outlives any executor."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     for paths in _made:
         paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -111,6 +113,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
+def free_bytes(spark: SparkSession) -> int:
+    """Space that the shared folder's file system has left."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus().getRemaining()
+
+
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, restart: bool = False) -> DataFrame:
     """The table at ``path``: read where an earlier run finished writing it, else built and written."""
     if restart or not exists(spark, f"{path}/_SUCCESS"):

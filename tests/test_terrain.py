@@ -3,6 +3,9 @@ import itertools
 import json
 import os
 import random
+import sqlite3
+import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -10,16 +13,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from fallline import queries as terrain
-from fallline.cli import build_parser
+from fallline.cli import build_parser, main
 from fallline.components import connected_components
 from fallline.grid import GridSpec
 from fallline.operators import hierarchy, regions, routing, stencil
-from fallline.plans.domains import estimate_valid_cells, partition
+from fallline.plans.domains import domain_sizes, estimate_valid_cells, partition
 from fallline.plans.pipeline import Optimizer, Settings, SlopeUnits, five_points, objective
 from fallline.plans.resources import SystemResources, byte_size, detect_system_resources, make_resource_plan, processing_mode
 from fallline.plans.schedule import candidate_storage, estimate_work_storage, threshold_schedule
 from fallline.runtime import broadcast_if_small, cut, drop_table, exists, stage, temporary
 from fallline.sources.ascii_grid import read_ascii_grid, read_cells, write_ascii_grid, write_cells
+from fallline.sources.geotiff import read_geotiff
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,6 +96,8 @@ def test_command_line_defaults():
     a = build_parser().parse_args(["dem.asc", "run"])
     assert (a.threshold_m2, a.min_area_m2, a.cv_min, a.reduction_factor, a.max_iterations, a.convergence, a.clean_size_m2) == (250_000, 100_000, 0.25, 2, 12, 5, 25_000)
     assert (a.hierarchy_mode, a.candidate_cache_mode) == ("lazy", "auto")
+    a = build_parser().parse_args("d o --nodata 1 2 --nodata 3 --restart --no-checkpoint --no-diagnostics --checkpoint-minutes 3 --mfd-block-cells 9 --scratch-ram-fraction 0.4 --numba-threads 2".split())
+    assert a.nodata == [1.0, 2.0, 3.0] and a.restart
 
 
 def test_nodata():
@@ -138,6 +144,105 @@ def naive_routing(z, xres=30.0, yres=30.0):
     return popped, receiver
 
 
+def naive_flow(z, popped, routed, thresholds, xres=30.0, yres=30.0):
+    """Accumulation, receivers, stream tests, streams and sides by their definitions, over dictionaries of cells."""
+    at = {(r, c): float(np.floor(z[r][c] * 1000 + 0.5)) for r in range(len(z)) for c in range(len(z[0])) if z[r][c] is not None}
+    place = {p: k for k, p in enumerate(popped)}
+    around = {p: [(p[0] + a, p[1] + b) for a, b in routing.LOOK] for p in at}
+    edge = {p for p in at if any(q not in at for q in around[p])}
+    near = {p: [q for q in around[p] if q in at] for p in at}
+    apart = lambda p, q: (np.hypot(xres, yres) if p[0] != q[0] and p[1] != q[1] else xres if p[0] == q[0] else yres) * 1000
+    share = {}
+    for p in at:
+        if p in edge:
+            continue
+        lower = {q: max(at[p] - at[q], 0.5) / apart(p, q) if at[p] == at[q] else (at[p] - at[q]) / apart(p, q) for q in near[p] if place[q] < place[p] and at[q] <= at[p]}
+        weight = {q: x**5 for q, x in lower.items()}
+        if p in routed and routed[p] not in weight:
+            weight[routed[p]] = max(weight.values(), default=1.0)
+        share[p] = {q: w / sum(weight.values()) for q, w in weight.items()}
+    # Solve flow = 1 + what comes in, from the last popped cell down.
+    flow = dict.fromkeys(at, 1.0)
+    for p in sorted(at, key=place.get, reverse=True):
+        for q, w in share.get(p, {}).items():
+            flow[q] += flow[p] * w
+    receiver = dict(routed)
+    for p in at:
+        below = [q for q in near[p] if place[q] < place[p]]
+        if p not in edge and below:
+            best = max(below, key=lambda q: (flow[q], -around[p].index(q)))
+            if p not in routed or flow[best] > flow[routed[p]]:
+                receiver[p] = best
+    ok = {p: p not in edge and any(place[q] < place[p] and at[q] != at[p] for q in near[p]) for p in at}
+    up = {p: max([flow[q] + 0.5 for q in near[p] if at[q] > at[p]], default=0.0) for p in at}
+    outlet = {}
+    for p in popped:
+        outlet[p] = outlet[receiver[p]] if p in receiver else p
+    donors = {p: sorted(q for q in receiver if receiver[q] == p) for p in at}
+    compass = {d: k for d, k in zip(((-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1)), range(1, 9))}
+    way = lambda p, q: compass[q[0] - p[0], q[1] - p[1]]
+    levels = []
+    for threshold in thresholds:
+        stream = set()
+        for p in reversed(popped):
+            if p not in stream and ok[p] and flow[p] >= threshold and float(np.float32(up[p])) < threshold and not any(q in stream for q in near[p]):
+                stream.add(p)
+            if p in stream and p in receiver:
+                stream.add(receiver[p])
+        # Paths are walked upwards from the outlets of streams; each junction ends a path and begins one at each stream donor.
+        side, begin = {}, [p for p in popped if p in stream and p not in receiver]
+        while begin:
+            root = here = begin.pop(0)
+            while True:
+                mine = donors[here]
+                streams = [q for q in mine if q in stream]
+                if not mine:
+                    side[here] = root, False
+                    break
+                main = streams[0] if streams else max(mine, key=lambda q: (flow[q], [-q[0], -q[1]]))
+                ahead = way(here, main)
+                behind = way(here, receiver[here]) if here in receiver else (ahead + 3) % 8 + 1
+                turned = {q: (way(here, q) - behind) % 8 < (ahead - behind) % 8 for q in mine if q != main and q not in streams}
+                for q, left in turned.items():
+                    below = [q]
+                    for x in below:
+                        side[x] = root, left
+                        below += donors[x]
+                n_left = sum(turned.values())
+                n_right = len(turned) - n_left
+                if len(streams) > 1:
+                    side[here] = root, n_left >= n_right
+                    begin += streams
+                    break
+                side[here] = root, n_left > n_right
+                here = main
+        levels.append((stream, side))
+    return flow, receiver, ok, up, outlet, levels
+
+
+@pytest.mark.parametrize("size,values", [((9, 11), 6), ((14, 9), 200), ((12, 16), 40)])
+def test_flow_table_equals_its_definitions(spark, size, values):
+    rnd = np.random.default_rng(values)
+    surface = rnd.integers(0, values, size) + np.add.outer(np.arange(size[0]), np.arange(size[1]))
+    z = [[None if rnd.random() < 0.06 else int(v) for v in row] for row in surface]
+    cols, thresholds = size[1], [12, 6, 3]
+    cells, grid = table(spark, z, 20.0, 30.0)
+    rows = routing.flow(cells, grid, thresholds, tile=8).collect()
+    popped, routed = naive_routing(z, 20.0, 30.0)
+    flow, receiver, ok, up, outlet, levels = naive_flow(z, popped, routed, thresholds, 20.0, 30.0)
+    number = lambda p: None if p is None else p[0] * cols + p[1]
+    streams = 0
+    for r in rows:
+        p = divmod(r.cell_id, cols)
+        assert r.accumulation == pytest.approx(flow[p], rel=1e-9) and r.receiver == number(receiver.get(p)) and r.outlet == number(outlet[p])
+        assert r.static_ok == ok[p] and r.up_max == pytest.approx(up[p], rel=1e-5)
+        for k, (stream, side) in enumerate(levels):
+            assert r.streams[k] == (p in stream)
+            assert (r.roots[k], r.lefts[k]) == ((number(side[p][0]), side[p][1]) if p in side else (-1, False))
+            streams += p in stream
+    assert streams > 10 and len(rows) == len(popped)
+
+
 @pytest.mark.parametrize("xres,yres", [(30.0, 30.0), (20.0, 30.0), (50.0, 10.0)])
 def test_routing_equals_a_naive_walk(spark, xres, yres):
     rnd = random.Random(5)
@@ -296,6 +401,107 @@ def test_merge_domains():
     assert got[1] == got[3] != got[2]
 
 
+def tiff(z, *, order="<", big=False, tile=None, compress=False, predictor=1, nodata=None, x0=1000.0, y0=2000.0, res=30.0, crs=3035, kind=None):
+    """A GeoTIFF written field by field."""
+    z = np.asarray(z)
+    rows, cols = z.shape
+    high, wide = tile or (2, cols)
+    chunks = []
+    for r in range(0, rows, high):
+        for c in range(0, cols, wide):
+            part = z[r : r + high, c : c + wide]
+            if tile:
+                part = np.pad(part, ((0, high - part.shape[0]), (0, wide - part.shape[1])))
+            if predictor == 2:
+                part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1).astype(z.dtype)
+            raw = part.astype(z.dtype.newbyteorder(order)).tobytes()
+            if predictor == 3:
+                planes = part.astype(z.dtype.newbyteorder(">")).view(np.uint8).reshape(part.shape[0], part.shape[1], -1).transpose(0, 2, 1).reshape(part.shape[0], -1)
+                raw = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], axis=1).astype(np.uint8).tobytes()
+            chunks.append(zlib.compress(raw) if compress else raw)
+    H, I, D, A = "H", "Q" if big else "I", "d", "s"
+    tags = [(256, I, [cols]), (257, I, [rows]), (258, H, [z.dtype.itemsize * 8]), (259, H, [8 if compress else 1]), (277, H, [1]), (317, H, [predictor]), (339, H, [{"u": 1, "i": 2, "f": 3}[z.dtype.kind]]),
+            (33550, D, [res, res, 0.0]), (33922, D, [0.0, 0.0, 0.0, x0, y0, 0.0]), (34735, H, [1, 1, 0, 1, 3072, 0, 1, crs] if crs else [1, 1, 0, 0])]
+    tags += [(42113, A, [str(nodata).encode() + b"\0"])] if nodata is not None else []
+    offsets = (324, 325) if tile else (273, 279)
+    tags += [(322, I, [wide]), (323, I, [high])] if tile else [(278, I, [high])]
+    tags += [(offsets[0], I, [0] * len(chunks)), (offsets[1], I, [len(x) for x in chunks])]
+    numbers = {"H": 3, "I": 4, "Q": 16, "d": 12, "s": 2}
+    width, inline = (20, 8) if big else (12, 4)
+    head = 16 if big else 8
+    after = head + (8 if big else 2) + width * len(tags) + (8 if big else 4)
+    for _ in range(2):  # the second time the offsets are known
+        entries, extra = b"", b""
+        for tag, code, values in sorted(tags):
+            body = values[0] if code == "s" else struct.pack(order + code * len(values), *values)
+            n = len(values[0]) if code == "s" else len(values)
+            at = after + len(extra)
+            if len(body) > inline:
+                extra += body
+                body = struct.pack(order + ("Q" if big else "I"), at)
+            entries += struct.pack(order + "HH" + ("Q" if big else "I"), tag, numbers[code], n) + body.ljust(inline, b"\0")
+        first = after + len(extra)
+        places = [first + sum(map(len, chunks[:k])) for k in range(len(chunks))]
+        tags = [(t, c, places if t == offsets[0] else v) for t, c, v in tags]
+    start = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, 16) if big else struct.pack(order + "HI", 42, 8))
+    return start + struct.pack(order + ("Q" if big else "H"), len(tags)) + entries + bytes(8 if big else 4) + extra + b"".join(chunks)
+
+
+def test_geotiff(spark, tmp_path):
+    rnd = np.random.default_rng(8)
+    ways = [
+        dict(), dict(order=">"), dict(big=True), dict(compress=True), dict(tile=(16, 16)), dict(compress=True, predictor=2), dict(tile=(16, 16), compress=True, predictor=3), dict(order=">", compress=True, predictor=3),
+    ]
+    for k, how in enumerate(ways):
+        kind = np.int16 if how.get("predictor") == 2 else np.float32
+        z = (rnd.integers(-50, 900, (7, 19)) if kind == np.int16 else rnd.normal(500, 90, (7, 19))).astype(kind)
+        z[2, 3] = -999
+        path = tmp_path / f"{k}.tif"
+        path.write_bytes(tiff(z, nodata=-999, **how))
+        cells, grid = read_geotiff(spark, str(path))
+        assert grid == GridSpec(7, 19, 1000.0, 2000.0, 30.0, 30.0, "EPSG:3035")
+        got = {(r.r, r.c): r.z for r in cells.collect()}
+        assert got == {(r, c): None if (r, c) == (2, 3) else float(z[r, c]) for r in range(7) for c in range(19)}
+    mosaic = tmp_path / "mosaic"
+    mosaic.mkdir()
+    whole = rnd.integers(0, 99, (8, 10)).astype(np.int32)
+    for k, (r, c) in enumerate(((0, 0), (0, 5), (4, 0), (4, 5))):
+        (mosaic / f"{k}.tif").write_bytes(tiff(whole[r : r + 4, c : c + 5], x0=1000.0 + 30 * c, y0=2000.0 - 30 * r))
+    cells, grid = read_geotiff(spark, str(mosaic / "*.tif"))
+    assert (grid.rows, grid.cols) == (8, 10) and {(r.r, r.c): r.z for r in cells.collect()} == {(r, c): float(whole[r, c]) for r in range(8) for c in range(10)}
+    (mosaic / "9.tif").write_bytes(tiff(whole, x0=1007.0))
+    with pytest.raises(ValueError):
+        read_geotiff(spark, str(mosaic / "*.tif"))
+    (tmp_path / "geo.tif").write_bytes(tiff(whole, crs=None))
+    with pytest.raises(Exception, match="projected"):
+        read_geotiff(spark, str(tmp_path / "geo.tif"))
+
+
+def test_command_line_runs_and_resumes(spark, tmp_path):
+    rnd = np.random.default_rng(9)
+    (tmp_path / "dem.tif").write_bytes(tiff((rnd.random((16, 18)) * 60).astype(np.float32)))
+    out, package = str(tmp_path / "out"), str(tmp_path / "units.gpkg")
+    args = [str(tmp_path / "dem.tif"), out, "--quiet", "--threshold-m2", "20000", "--min-area-m2", "9000", "--cv-min", "0.2", "--clean-size-m2", "3000", "--nodata", "-1", "-2", "--geopackage", package]
+    report = lambda: json.loads(spark.read.text(f"{out}/run_report").first()["value"])
+    assert main([*args, "--plan-only"], spark) == 0 and "run" not in report()
+    assert main(args, spark) == 0
+    first = report()
+    units = {r.cell_id: r.unit for r in spark.read.parquet(first["run"] + "/units").collect()}
+    assert first["written"] and len(units) == 16 * 18 and first["settings"]["nodata"] == [-1.0, -2.0]
+    con = sqlite3.connect(package)
+    features = con.execute("SELECT su_id, area_map, geom FROM slope_units ORDER BY su_id").fetchall()
+    assert len(features) == first["features"] == len(set(units.values())) and sum(a for _, a, _ in features) == 16 * 18 * 900
+    assert all(g[:2] == b"GP" and struct.unpack_from("<i", g, 4)[0] == 3035 and struct.unpack_from("<BI", g, 8) == (1, 6) for _, _, g in features)
+    assert con.execute("PRAGMA integrity_check").fetchone() == ("ok",)
+    assert main(args, spark) == 0 and not report()["written"]  # all of it was there
+    assert main([*args, "--candidate-cache-mode", "stream", "--no-checkpoint", "--no-skip-existing"], spark) == 0
+    assert report()["written"] and {r.cell_id: r.unit for r in spark.read.parquet(first["run"] + "/units").collect()} == units
+    shown = spark.read.parquet(first["run"] + "/diagnostics")
+    assert shown.filter("is_boundary").count() > 0 and shown.filter("display > 0").count() == 16 * 18
+    with pytest.raises(SystemExit):
+        main([*args, "--target-crs", "EPSG:4326"], spark)
+
+
 def test_edge_cases(spark):
     for z in ([[5]], [[1, 2, 3]], [[None, None]], [[4, 4], [4, 4]]):
         cells, grid = table(spark, z)
@@ -313,3 +519,5 @@ def test_domains_of_a_coarse_grid(spark):
     sizes = [r.coarse_cells for r in records.collect()]
     assert sum(sizes) == 110 == out.count() and max(sizes) <= 20
     assert estimate_valid_cells(out.withColumn("z", F.lit(1.0)), 9.0) == (990, (0, 9, 0, 10))
+    row = domain_sizes(records).first()
+    assert (row.domains, row.median_cells, row.largest_cells) == (len(sizes), float(np.median(sizes)), max(sizes))
