@@ -181,22 +181,24 @@ def grow(labels: DataFrame, radius: float, label: str = "label", target: str = "
     """Give every unlabelled cell with ``target`` true the nearest label within ``radius`` cells (ties: the seed of
     the smallest row, then column).
 
-    A label can be needed only if its cell has a gap within the radius, so only cells on a label's boundary
-    send their label out.
+    Of a line of the grid only the nearest label on either side of a gap's column can be the nearest of all.  So every gap
+    asks the lines within the radius, a line answers all that ask it in one window, and a gap has two answers a line.
     """
     span = int(radius)
-    steps = [(dr, dc) for dr in range(-span, span + 1) for dc in range(-span, span + 1) if 0 < dr * dr + dc * dc <= radius * radius]
-    around = neighbours(labels, F.coalesce(F.col(label), F.lit(0)), "_around")
-    seeds = around.filter((F.col(label) > 0) & F.exists("_around", lambda v: F.coalesce(v, F.lit(0)) == 0))
-    seeds = seeds.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(label).alias("_label"))
-    offsets = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in steps])
-    sent = seeds.select("_label", "sr", "sc", F.explode(offsets).alias("o"))
-    sent = sent.select((F.col("sr") + F.col("o.dr")).alias("r"), (F.col("sc") + F.col("o.dc")).alias("c"), "_label",
-                       F.struct((F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).alias("d"), "sr", "sc").alias("near"))
-    best = sent.groupBy("r", "c").agg(F.min_by("_label", "near").alias("_grown"))
+    gap = (F.coalesce(F.col(label), F.lit(0)) == 0) & F.col(target)
+    lines = F.explode(F.array(*[F.lit(d) for d in range(-span, span + 1)]))
+    asked = labels.filter(gap).select("r", "c", lines.alias("dr")).select((F.col("r") + F.col("dr")).alias("line"), "c", "dr", F.lit(None).cast(labels.schema[label].dataType).alias("has"))
+    seeds = labels.filter(F.col(label) > 0).select(F.col("r").alias("line"), "c", F.lit(None).cast("int").alias("dr"), F.col(label).alias("has"))
+    # Two orders rather than a frame that looks ahead: Spark adds to a frame that grows, but computes a shrinking one again a row.
+    west, east = (Window.partitionBy("line").orderBy(order, F.col("dr").isNotNull()).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc("c"), F.desc("c")))
+    seed = F.when(F.col("has").isNotNull(), F.struct(F.col("c").alias("sc"), "has"))
+    met = seeds.unionByName(asked).select(
+        "line", "c", "dr", F.last(seed, ignorenulls=True).over(west).alias("west"), F.last(seed, ignorenulls=True).over(east).alias("east")).filter("dr IS NOT NULL")
+    found = met.select((F.col("line") - F.col("dr")).alias("r"), "c", "line", "dr", F.explode(F.array("west", "east")).alias("s")).filter("s IS NOT NULL")
+    found = found.withColumn("d", F.col("dr") * F.col("dr") + (F.col("s.sc") - F.col("c")) * (F.col("s.sc") - F.col("c"))).filter(F.col("d") <= radius * radius)
+    best = found.groupBy("r", "c").agg(F.min_by("s.has", F.struct("d", "line", "s.sc")).alias("_grown"))
     out = labels.join(best, ["r", "c"], "left")
-    empty = (F.coalesce(F.col(label), F.lit(0)) == 0) & F.col(target)
-    return out.withColumn(label, F.when(empty, F.coalesce("_grown", F.lit(0))).otherwise(F.coalesce(F.col(label), F.lit(0)))).drop("_grown")
+    return out.withColumn(label, F.when(gap, F.coalesce("_grown", F.lit(0))).otherwise(F.coalesce(F.col(label), F.lit(0)))).drop("_grown")
 
 
 def interior(labels: DataFrame, label: str = "label") -> DataFrame:
