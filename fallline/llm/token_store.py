@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fallline.llm.rows import per_partition
-from fallline.llm.textblock import IS_SPACE, LOWER, Block, binary_array, blocks, ranges
+from fallline.llm.textblock import IS_SPACE, LOWER, Block, binary_array, blocks
 from fallline.runtime import broadcast_if_small
 
 ROW_GROUP_BYTES = 32 << 20
@@ -42,7 +42,7 @@ CACHE_WORDS = 700_000
 #: Parts words that are encoded together.
 MARK = "\x01"
 #: Bytes of text that are encoded together: more repeat more words.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 
 
 def splits_at_space(tokenizer_json: str) -> bool:
@@ -73,9 +73,10 @@ def units(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inner = block.offsets[1:-1]
         inner = inner[inner < len(kind)]
         begins[inner] = solid[inner]
-    before = np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])
     start = np.flatnonzero(begins)
-    return block.data[solid], np.append(before[start], before[-1]), np.searchsorted(start, block.offsets)
+    before = np.cumsum(solid, dtype=np.int32 if len(solid) < 1 << 31 else np.int64)  # a unit's first byte is counted
+    bounds = np.append(before[start] - 1, before[-1] if len(before) else 0)
+    return block.data[solid], bounds, np.searchsorted(start, block.offsets)
 
 
 class Encoder:
@@ -97,16 +98,18 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slot: dict[bytes, int] = {}  # word -> its place in the next two
-        self.first = self.size = np.empty(0, np.int64)
+        self.first = self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.int32)
 
     def _learn(self, new: list[bytes]) -> None:
         """Encode words and keep their ids.  Many words go through the tokenizer as one text, parted by a mark that
         is a token of its own; words that hold the mark go alone."""
-        together = [] if self.mark is None else [w for w in new if MARK.encode() not in w]
-        alone = new if self.mark is None else [w for w in new if MARK.encode() in w]
+        mark = MARK.encode()
+        alone = new if self.mark is None else [w for w in new if mark in w]
+        together = [] if self.mark is None else [w for w in new if mark not in w] if alone else new
         sizes, flat = [], []
-        texts = [f" {MARK} ".join(w.decode() for w in together[i : i + 1000]) for i in range(0, len(together), 1000)]
+        between = b" " + mark + b" "
+        texts = [between.join(together[i : i + 1000]).decode() for i in range(0, len(together), 1000)]
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(e.ids, np.int32)
             marks = np.flatnonzero(ids == self.mark)
@@ -115,10 +118,10 @@ class Encoder:
         for e in self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False):
             sizes.append(np.array([len(e.ids)]))
             flat.append(np.array(e.ids, np.int32))
-        size = np.concatenate(sizes)
+        size = np.concatenate(sizes).astype(np.int32)
         base, known = len(self.ids), len(self.size)
         self.slot.update(zip(together + alone, range(known, known + len(size))))
-        self.first = np.concatenate([self.first, base + np.cumsum(size) - size])
+        self.first = np.concatenate([self.first, base + np.cumsum(size, dtype=np.int32) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, *flat])
 
@@ -164,11 +167,14 @@ class Encoder:
         new = [word for word in distinct if word not in self.slot]
         if new:
             self._learn(new)
-        slot = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
+        slot = np.fromiter(map(self.slot.__getitem__, distinct), np.int32, len(distinct))
         index = slot[coded.indices.to_numpy(zero_copy_only=False)]
         length = self.size[index]
-        ids = self.ids[ranges(self.first[index], length)]
-        return ids, np.concatenate([[0], np.cumsum(length)])[first]
+        ends = np.cumsum(length, dtype=np.int64)
+        small = np.int32 if ends[-1] < 1 << 31 else np.int64  # half the memory for all but giant texts
+        at = np.repeat((self.first[index] - (ends - length)).astype(small), length)
+        at += np.arange(len(at), dtype=small)
+        return self.ids[at], np.concatenate([[0], ends])[first]
 
 
 @lru_cache(2)
