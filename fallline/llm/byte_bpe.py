@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from fallline.llm.rows import per_batch, per_partition
+from fallline.llm.rows import hold, per_batch, per_partition
 from fallline.llm.textblock import Block, binary_array, blocks, ranges
 
 # Symbols: what one code point means to the automaton, looking one or two code points ahead.
@@ -286,6 +286,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(load_ranks(path))
 
 
+hold(__name__, vocabulary.cache_clear)
+
+
 def encode(df: DataFrame, ranks_path: str, *, key: str = "doc_id", text: str = "text", verify: bool = False) -> DataFrame:
     """key and ids (array of int) of every text.  ``ranks_path`` is read on the executors, where the
     vocabulary package is installed like the other libraries.  ``verify`` decodes the ids again and fails

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fallline.llm.rows import per_partition
+from fallline.llm.rows import hold, per_partition
 from fallline.llm.textblock import IS_SPACE, LOWER, Block, binary_array, blocks
 from fallline.runtime import broadcast_if_small
 
@@ -182,6 +182,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+hold(__name__, encoder.cache_clear)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 1, key: str = "doc_id", text: str = "text") -> None:
     """Encode every text, append ``end_id``, and write the store.
 
