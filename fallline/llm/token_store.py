@@ -38,9 +38,11 @@ from fallline.runtime import broadcast_if_small
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 #: Parts words that are encoded together.
 MARK = "\x01"
+#: Texts of a thousand new words that the tokenizer gets at once: what it returns is a hundred times larger than the ids.
+AT_ONCE = 16
 #: Bytes of text that are encoded together: more repeat more words.
 TEXT_BYTES = 8 << 20
 
@@ -110,7 +112,7 @@ class Encoder:
         sizes, flat = [], []
         between = b" " + mark + b" "
         texts = [between.join(together[i : i + 1000]).decode() for i in range(0, len(together), 1000)]
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+        for e in (e for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)):
             ids = np.array(e.ids, np.int32)
             marks = np.flatnonzero(ids == self.mark)
             sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
@@ -266,4 +268,7 @@ def checksums(tokens: DataFrame, *, key: str = "doc_id") -> DataFrame:
             }
 
     rows = tokens.select(tokens[key].alias("key"), "start", "ids")
-    return per_partition(rows, run, f"{key} {tokens.schema[key].dataType.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # Another owner than the encoder's, so that workers that only read give up their words.
+    return per_partition(
+        rows, run, f"{key} {tokens.schema[key].dataType.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint", f"{__name__}.checksums"
+    )
