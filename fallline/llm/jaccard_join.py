@@ -566,7 +566,9 @@ def _classes(docs: DataFrame, size: int, percent: int, key: str, text: str, coun
     found, rows = _rows(docs, size, percent, key, text)
     family = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     # One document of each set that has a family, with its text.
-    chosen = rows.join(family, "node").groupBy("node", F.col("label").alias("family")).agg(F.min(F.struct("doc", "text_hash")).alias("one"), F.min("n_shingles").alias("n"))
+    # Copies share a node, so rows are aggregated before they are dealt by it.
+    chosen = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("one"), F.min("n_shingles").alias("n"))
+    chosen = chosen.join(family.withColumnRenamed("label", "family"), "node")
     chosen = cut(chosen.select("node", "family", "n", F.col("one.doc").alias("doc"), F.col("one.text_hash").alias("text_hash")), "members")
     weights = cut(chosen.groupBy("family").agg(F.sum("n").alias("weight")).filter(F.col("weight") > TASK_SHINGLES), "heavy")
     large = chosen.join(broadcast_if_small(weights), "family", "left_semi").select("node").withColumn("heavy", F.lit(True))
@@ -582,7 +584,7 @@ def _classes(docs: DataFrame, size: int, percent: int, key: str, text: str, coun
         for one in tasks:
             links = links.unionByName(_links(one, size, percent, counters))
     component = connected_components(links)
-    labelled = rows.join(component, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
+    labelled = rows.join(broadcast_if_small(component), "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
     labelled = keep(cut(labelled, "labelled"))
     # Most documents stand alone: only classes of two rows or more need their smallest key, and their table is
     # written so that the join can split a class that holds many rows.
@@ -596,8 +598,10 @@ def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80, key: str =
     that of the smallest hash of its text.  Of repeated rows one stays."""
     classes = cut(jaccard_classes(docs, size=size, percent=percent, key=key, text=text), "classes")
     grouped = classes.filter("label IS NOT NULL")
-    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")).alias("first"))
-    losers = grouped.join(first, "label").filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    # As in _classes: only classes of two rows or more, from a table, so that a hot class needs no task of its own.
+    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")).alias("first"), F.count("*").alias("rows"))
+    first = cut(first.filter("rows > 1").drop("rows"), "first")
+    losers = grouped.join(broadcast_if_small(first), "label").filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.text_hash"))))
     losers = losers.select(F.col("doc").alias("l_doc"), F.col("text_hash").alias("l_hash")).distinct()
     columns = docs.columns
     mine = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
