@@ -9,9 +9,12 @@ is also given as set operations (:func:`mfd_weights`, :func:`adjusted_receiver`,
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ NORTH_SOUTH = (0, 1, 2, 3, 3, 2, 3, 2)
 DIRECTION = {(-1, 1): 1, (-1, 0): 2, (-1, -1): 3, (0, -1): 4, (1, -1): 5, (1, 0): 6, (1, 1): 7, (0, 1): 8}
 
 SCALE = 1000.0
+#: Cells whose neighbours are looked up, or whose rows are sent, at once.
+CHUNK = 262_144
 FLOW_SCHEMA = (
     "cell_id bigint, island bigint, rank bigint, astar_receiver bigint, receiver bigint, accumulation double, static_ok boolean, "
     "up_max float, outlet bigint, streams array<boolean>, roots array<bigint>, lefts array<boolean>"
@@ -36,164 +41,322 @@ FLOW_SCHEMA = (
 
 
 class Island:
-    """One island in a box padded by invalid cells, so that neighbours are plain index offsets."""
+    """One island in a box padded by invalid cells, so that neighbours are plain index offsets.
+
+    Only :meth:`route` goes cell by cell; what follows takes all cells of a wave, or of the box, at once.
+    """
 
     def __init__(self, cell_id: np.ndarray, z: np.ndarray, edge: np.ndarray, cols: int, xres: float, yres: float):
         r, c = cell_id // cols, cell_id % cols
         self.width = w = int(c.max() - c.min()) + 3
-        self.at = ((r - r.min() + 1) * w + (c - c.min() + 1)).tolist()
-        size = (int(r.max() - r.min()) + 3) * w
-        self.cell = np.full(size, -1, np.int64)
-        self.cell[self.at] = cell_id
-        self.z = [0.0] * size
-        self.valid = [False] * size
-        self.edge = [False] * size
-        for p, height, border in zip(self.at, z.tolist(), edge.tolist()):
-            self.z[p], self.valid[p], self.edge[p] = float(height), True, border
+        self.cols, self.r0, self.c0 = cols, int(r.min()) - 1, int(c.min()) - 1
+        self.size = size = (int(r.max() - r.min()) + 3) * w
+        self.kind = np.dtype(np.int32 if size < 2**31 else np.int64)
+        self.at = ((r - self.r0) * w + (c - self.c0)).astype(self.kind)  # row by row, as cell_id is sorted
+        self.z, self.valid, self.edge = np.zeros(size, np.int32), np.zeros(size, bool), np.zeros(size, bool)
+        self.z[self.at], self.valid[self.at], self.edge[self.at] = z, True, edge
         self.step = [dr * w + dc for dr, dc in LOOK]
-        self.direction = {dr * w + dc: k for (dr, dc), k in DIRECTION.items()}
+        # The neighbours row by row: offsets and direction codes.
+        self.offsets = np.array([dr * w + dc for dr, dc in stencil.AROUND], np.int64)
+        self.codes = np.array([DIRECTION[d] for d in stencil.AROUND], np.int8)
         diagonal = float(np.hypot(xres, yres)) * SCALE
         self.xd, self.yd = xres * SCALE, yres * SCALE
         self.length = [self.yd, self.yd, self.xd, self.xd] + [diagonal] * 4
 
+    def beside(self, values: np.ndarray, step: int = 0) -> np.ndarray:
+        """A view of the values ``step`` places after each cell of the box that has all its neighbours there."""
+        return values[self.width + 1 + step : self.size - self.width - 1 + step]
+
+    def named(self, p: np.ndarray) -> np.ndarray:
+        """Cells of places in the box."""
+        p = p.astype(np.int64)
+        return (p // self.width + self.r0) * self.cols + p % self.width + self.c0
+
+    def _plain(self, values: np.ndarray) -> array:
+        """Values for loops over cells: plain arrays give Python's numbers faster than numpy's do."""
+        return array("i" if self.kind == np.int32 else "q", values.astype(self.kind).tobytes())
+
     def route(self) -> None:
-        """Ranks and receivers: edge cells first in the queue, lowest first, earlier pushed first among equals."""
-        z, valid, edge = self.z, self.valid, self.edge
-        size = len(z)
-        rank, receiver, queued = [-1] * size, [-1] * size, [False] * size
-        heap = []
-        for age, p in enumerate(q for q in self.at if edge[q]):
-            heap.append((z[p], age, p))
-            queued[p] = True
-        age = len(heap)
-        heapq.heapify(heap)
-        order = []
-        while heap:
-            height, _, p = heapq.heappop(heap)
-            for k, step in enumerate(self.step):
+        """Ranks and receivers: edge cells first in the queue, lowest first, earlier pushed first among equals.
+
+        Edge cells wait sorted beside the heap, and come before equally high cells of it.
+        """
+        edges = self.at[self.edge[self.at]]
+        edges = edges[np.argsort(self.z[edges], kind="stable")]
+        heights, first, n_edges = self._plain(self.z[edges]), self._plain(edges), len(edges)
+        z, receiver, order = self._plain(self.z), self._plain(np.full(self.size, -1, self.kind)), self._plain(self.at[:0])
+        # 0: not there or ranked, 1: not yet reached, 2: in the heap, 3: an edge cell without rank.
+        state = bytearray(np.where(self.edge, np.uint8(3), self.valid.view(np.uint8)).tobytes())
+        pushed = self._plain(self.at[:0])  # by age
+        s, n, w, e = self.step[:4]
+        diagonals = [(self.step[k], self.step[EAST_WEST[k]], self.step[NORTH_SOUTH[k]]) for k in range(4, 8)]
+        far, xd, yd = self.length[4], self.xd, self.yd
+        heap: list[int] = []  # height and age as one number
+        push, pop = heapq.heappush, heapq.heappop
+        at = 0
+        following = heights[0] << 32 if n_edges else None
+        while heap or following is not None:
+            if heap and (following is None or heap[0] < following):
+                key = pop(heap)
+                p, height = pushed[key & 0xFFFFFFFF], key >> 32
+            else:
+                p, height = first[at], heights[at]
+                at += 1
+                following = heights[at] << 32 if at < n_edges else None
+            for q in (p + s, p + n, p + w, p + e):
+                k = state[q]
+                if k == 1:
+                    receiver[q], state[q] = p, 2
+                    push(heap, z[q] << 32 | len(pushed))
+                    pushed.append(q)
+                elif k == 3 and z[q] > height:
+                    receiver[q] = p
+            for step, ew, ns in diagonals:
                 q = p + step
-                if not valid[q] or rank[q] >= 0 or queued[q] and not edge[q]:
+                k = state[q]
+                if k != 1 and k != 3:
                     continue
-                rise = z[q] - height
-                if k > 3 and rise > 0:
-                    slope = rise / self.length[k]
-                    ew, ns = p + self.step[EAST_WEST[k]], p + self.step[NORTH_SOUTH[k]]
-                    if valid[ew] and rank[ew] < 0 and z[q] > z[ew] and slope < (z[q] - z[ew]) / self.xd:
+                high = z[q]
+                rise = high - height
+                if rise > 0:
+                    slope = rise / far
+                    if state[p + ew] and high > (x := z[p + ew]) and slope < (high - x) / xd:
                         continue
-                    if valid[ns] and rank[ns] < 0 and z[q] > z[ns] and slope < (z[q] - z[ns]) / self.yd:
+                    if state[p + ns] and high > (x := z[p + ns]) and slope < (high - x) / yd:
                         continue
-                if not queued[q]:
-                    receiver[q], queued[q] = p, True
-                    heapq.heappush(heap, (z[q], age, q))
-                    age += 1
+                if k == 1:
+                    receiver[q], state[q] = p, 2
+                    push(heap, high << 32 | len(pushed))
+                    pushed.append(q)
                 elif rise > 0:
                     receiver[q] = p
-            rank[p] = len(order)
+            state[p] = 0
             order.append(p)
-        self.rank, self.astar, self.order = rank, receiver, order
+        self.order = np.frombuffer(order, self.kind).copy()
+        self.astar = np.frombuffer(receiver, self.kind).copy()
+        self.rank = np.full(self.size, -1, self.kind)
+        self.rank[self.order] = np.arange(len(order), dtype=self.kind)
+
+    def _weights(self, k: int, power: int) -> tuple[np.ndarray, np.ndarray]:
+        """(whether cells pass flow to their k-th neighbour by slope, the weight of that)."""
+        step, z, rank = self.step[k], self.z, self.rank
+        p, q = self.beside(z), self.beside(z, step)
+        passes = self.beside(self.valid) & ~self.beside(self.edge) & self.beside(self.valid, step) & (self.beside(rank, step) < self.beside(rank)) & (p >= q)
+        return passes, self._power(p, q, k, power)
+
+    def _power(self, p: np.ndarray, q: np.ndarray, k: int, power: int) -> np.ndarray:
+        fall = p.astype(np.float64) - q
+        fall[fall == 0] = 0.5
+        return (fall / self.length[k]) ** power
 
     def accumulate(self, power: int) -> None:
-        """Multiple-flow-direction accumulation: every cell passes its flow to lower neighbours by slope."""
-        z, rank, valid = self.z, self.rank, self.valid
-        flow = [0.0] * len(z)
-        for p in self.order:
-            flow[p] = 1.0
-        for p in reversed(self.order):
-            if self.edge[p]:
-                continue
-            parts, total, found = [], 0.0, False
+        """Multiple-flow-direction accumulation: every cell passes its flow to lower neighbours by slope.
+
+        A wave holds the cells whose givers all have their flow; a cell adds what it is given in the order of falling ranks.
+        """
+        size, astar, rank = self.size, self.astar, self.rank
+        total, most, found = np.zeros(size), np.full(size, -np.inf), np.zeros(size, bool)
+        gives = np.zeros(size, np.uint8)  # a bit for each neighbour
+        place = self.beside(np.arange(size, dtype=self.kind))
+        for k, step in enumerate(self.step):
+            passes, weight = self._weights(k, power)
+            self.beside(total)[:] += np.where(passes, weight, 0.0)
+            np.maximum(self.beside(most), np.where(passes, weight, -np.inf), out=self.beside(most))
+            self.beside(found)[:] |= passes & (self.beside(astar) == place + step)
+            self.beside(gives)[:] |= passes.view(np.uint8) << np.uint8(k)
+        # The routed receiver takes part, also where it is higher.
+        lost = np.flatnonzero(self.valid & ~self.edge & ~found & (astar >= 0))
+        most[lost] = np.where(gives[lost] > 0, most[lost], 1.0)
+        total[lost] += most[lost]
+        upward = np.zeros(size, bool)
+        upward[lost] = True
+        for k, step in enumerate(self.step):
+            mine = lost[astar[lost] == lost + step]
+            gives[mine] |= np.uint8(1 << k)
+        waiting = np.zeros(size, np.int8)
+        for k, step in enumerate(self.step):
+            self.beside(waiting, step)[:] += ((self.beside(gives) >> np.uint8(k)) & np.uint8(1)).view(np.int8)
+        self.flow = flow = np.zeros(size)
+        flow[self.order] = 1.0
+        wave = self.at[waiting[self.at] == 0].astype(np.int64)
+        while len(wave):
+            for a in range(0, len(wave), CHUNK):
+                some = wave[a : a + CHUNK]
+                given, ranks = np.zeros((8, len(some))), np.full((8, len(some)), -1, self.kind)
+                for k, step in enumerate(self.step):
+                    here = np.flatnonzero((gives[some - step] >> np.uint8(k)) & np.uint8(1))
+                    if not len(here):
+                        continue
+                    q = some[here]
+                    p = q - step
+                    weight = self._power(self.z[p], self.z[q], k, power)
+                    up = upward[p] & (astar[p] == q)
+                    weight[up] = most[p[up]]
+                    given[k, here] = flow[p] * (weight / total[p])
+                    ranks[k, here] = rank[p]
+                given = np.take_along_axis(given, np.argsort(-ranks, axis=0, kind="stable"), axis=0)
+                got = flow[some]
+                for one in given:
+                    got += one
+                flow[some] = got
+            following = []
             for k, step in enumerate(self.step):
-                q = p + step
-                if valid[q] and rank[q] < rank[p] and z[p] >= z[q]:
-                    weight = ((z[p] - z[q] or 0.5) / self.length[k]) ** power
-                    parts.append((q, weight))
-                    total += weight
-                    found = found or q == self.astar[p]
-            if not found and self.astar[p] >= 0:
-                most = max((weight for _, weight in parts), default=1.0)
-                parts.append((self.astar[p], most))
-                total += most
-            for q, weight in parts:
-                flow[q] += flow[p] * (weight / total)
-        self.flow = flow
+                q = wave[(gives[wave] >> np.uint8(k)) & np.uint8(1) > 0] + step
+                waiting[q] -= 1
+                following.append(q[waiting[q] == 0])
+            wave = np.concatenate(following)
 
     def receive(self) -> None:
         """The receiver of greatest accumulation among lower ranks; stream tests that no threshold changes."""
-        z, rank, valid, flow = self.z, self.rank, self.valid, self.flow
-        size = len(z)
-        self.receiver, self.ok, self.up = list(self.astar), [False] * size, [0.0] * size
-        for p in self.order:
-            best = flow[self.astar[p]] if self.astar[p] >= 0 else -1.0
-            ok, up = False, 0.0
-            for step in self.step:
-                q = p + step
-                if not valid[q]:
-                    continue
-                if rank[q] < rank[p]:
-                    ok = ok or z[q] != z[p]
-                    if not self.edge[p] and flow[q] > best:
-                        best, self.receiver[p] = flow[q], q
-                if z[q] > z[p]:
-                    up = max(up, flow[q] + 0.5)
-            self.ok[p], self.up[p] = ok and not self.edge[p], float(np.float32(up))
-        self.donors: list[list[int]] = [[] for _ in range(size)]
-        for p in sorted(self.order):  # row by row
-            if self.receiver[p] >= 0:
-                self.donors[self.receiver[p]].append(p)
-        self.outlet = [-1] * size
-        for p in self.order:
-            self.outlet[p] = self.outlet[self.receiver[p]] if self.receiver[p] >= 0 else p
-
-    def streams(self, threshold: int) -> list[bool]:
-        out = [False] * len(self.z)
-        for p in reversed(self.order):
-            if not out[p] and self.ok[p] and self.flow[p] >= threshold and self.up[p] < threshold:
-                out[p] = not any(out[p + step] for step in self.step)
-            if out[p] and self.receiver[p] >= 0:
-                out[self.receiver[p]] = True
-        return out
-
-    def half_basins(self, stream: list[bool]) -> tuple[list[int], list[bool]]:
-        """(root cell of the half-basin pair, whether on its left) of every cell; -1 without a stream.
-
-        Downstream cells come first: a cell on a main path hands its pair up to its main donor, gives side donors
-        (and all that drains to them) a side, and starts a pair at each stream donor of a junction.
+        z, rank, valid, flow, kind = self.z, self.rank, self.valid, self.flow, self.kind
+        size = self.size
+        self.receiver, self.ok, up = self.astar.copy(), np.zeros(size, bool), np.zeros(size)
+        best = np.where(self.astar >= 0, flow[self.astar], -1.0)
+        inner = valid & ~self.edge
+        place = self.beside(np.arange(size, dtype=kind))
+        for step in self.step:
+            there = self.beside(valid) & self.beside(valid, step)
+            lower = there & (self.beside(rank, step) < self.beside(rank))
+            self.beside(self.ok)[:] |= lower & (self.beside(z, step) != self.beside(z))
+            better = lower & self.beside(inner) & (self.beside(flow, step) > self.beside(best))
+            self.beside(self.receiver)[better] = (place + kind.type(step))[better]
+            self.beside(best)[better] = self.beside(flow, step)[better]
+            higher = there & (self.beside(z, step) > self.beside(z))
+            np.maximum(self.beside(up), np.where(higher, self.beside(flow, step) + 0.5, 0.0), out=self.beside(up))
+        self.ok &= inner
+        self.up = up.astype(np.float32)
+        # The donor of greatest flow, the first row by row among equals; -1 without donors.
+        self.largest, most = np.full(size, -1, kind), np.full(size, -1.0)
+        for step in self.offsets.tolist():
+            larger = (self.beside(self.receiver, step) == place) & (self.beside(flow, step) > self.beside(most))
+            self.beside(self.largest)[larger] = (place + kind.type(step))[larger]
+            self.beside(most)[larger] = self.beside(flow, step)[larger]
+        down = self.receiver[self.order]
+        self.down_way = np.zeros(size, np.int8)
+        self.down_way[self.order] = np.where(down >= 0, self._way(down.astype(np.int64) - self.order), 0)
+        self.outlet = self._ends(self.receiver < 0)
+
+    def _way(self, offset: np.ndarray) -> np.ndarray:
+        return self.codes[np.minimum(np.searchsorted(self.offsets, offset), 7)]
+
+    def _ends(self, end: np.ndarray) -> np.ndarray:
+        """For every place the first one down the receivers, itself included, that is an ``end``."""
+        out = np.where(end, np.arange(self.size, dtype=self.kind), self.receiver)
+        while True:
+            further = out[out]
+            if np.array_equal(further, out):
+                return out
+            out = further
+
+    def streams(self, threshold: int) -> np.ndarray:
+        """Whether a stream runs through each place.
+
+        Cells are tested from the highest rank down; one may begin a stream where none runs beside it as far as higher ranks
+        have made streams.  A stream is followed down at once, so a cell keeps the highest rank that made it one.
         """
-        size = len(self.z)
-        root, left, path = [-1] * size, [False] * size, [False] * size
-        for p in self.order:
-            down = self.receiver[p]
-            if stream[p] and down < 0:
-                root[p], path[p] = p, True
-            if root[p] < 0:
-                if down >= 0:
-                    root[p], left[p] = root[down], left[down]
+        may = self.at[self.ok[self.at] & (self.flow[self.at] >= threshold) & (self.up[self.at].astype(np.float64) < threshold)]
+        may = may[np.argsort(-self.rank[may], kind="stable")]
+        if not hasattr(self, "_walk"):
+            self._walk = self._plain(self.rank), self._plain(self.receiver)
+        rank, receiver = self._walk
+        made = self._plain(np.full(self.size, -1, self.kind))
+        a, b, c, d, e, f, g, h = self.step
+        for p in may.tolist():
+            if made[p] >= 0:
                 continue
-            if not path[p]:
+            k = rank[p]
+            if made[p + a] > k or made[p + b] > k or made[p + c] > k or made[p + d] > k or made[p + e] > k or made[p + f] > k or made[p + g] > k or made[p + h] > k:
                 continue
-            donors = self.donors[p]
-            up = [q for q in donors if stream[q]]
-            if not donors:
-                continue  # the ridge cell of a path is on the right
-            main = up[0] if up else max(donors, key=lambda q: self.flow[q])
-            to = self.direction
-            main_way = to[main - p]
-            down_way = to[down - p] if down >= 0 else (main_way + 3) % 8 + 1
-            lefts = rights = 0
-            for q in donors:
-                if q == main or q in up:
-                    continue
-                turn = (to[q - p] - down_way) % 8 < (main_way - down_way) % 8
-                root[q], left[q] = root[p], turn
-                lefts, rights = lefts + turn, rights + (not turn)
-            if len(up) > 1:
-                left[p] = lefts >= rights
-                for q in up:
-                    root[q], path[q] = q, True
-            else:
-                left[p] = lefts > rights
-                root[main], path[main] = root[p], True
-        return root, left
+            made[p] = k
+            down = receiver[p]
+            while down >= 0:
+                before = made[down]
+                if before < k:
+                    made[down] = k
+                if before >= 0:
+                    break
+                k, down = rank[down], receiver[down]
+        return np.frombuffer(made, self.kind) >= 0
+
+    def half_basins(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(root cell of the half-basin pair, whether on its left) of every place; -1 without a stream.
+
+        A cell on a main path hands its pair up to its main donor, gives side donors (and all that drains to them) a
+        side, and starts a pair at each stream donor of a junction.
+        """
+        size, receiver, kind = self.size, self.receiver, self.kind
+        root, left = np.full(size, -1, kind), np.zeros(size, bool)
+        run = np.flatnonzero(stream)
+        donors, main = np.zeros(size, np.int8), self.largest.copy()
+        for step in self.offsets[::-1].tolist():  # the first stream donor stays
+            q = run + step
+            up = stream[q] & (receiver[q] == run)
+            donors[run] += up
+            main[run[up]] = q[up]
+        down = receiver[run]
+        begins = np.zeros(size, bool)
+        begins[run] = (down < 0) | (donors[down] > 1)
+        root[run] = np.where(begins[run], run, down)
+        while True:
+            further = root[root[run]]
+            if np.array_equal(further, root[run]):
+                break
+            root[run] = further
+        # Paths go on above the heads of streams, up to the ridge.
+        path = stream.copy()
+        ends = run[donors[run] == 0]
+        while len(ends):
+            above = main[ends]
+            ends, above = ends[above >= 0], above[above >= 0].astype(np.int64)
+            root[above], path[above] = root[ends], True
+            ends = above
+        p = np.flatnonzero(path)
+        p = p[main[p] >= 0]  # the ridge cell of a path is on the right
+        main_way, lefts, rights = self._way(main[p].astype(np.int64) - p), np.zeros(len(p), np.int8), np.zeros(len(p), np.int8)
+        down_way = np.where(receiver[p] >= 0, self.down_way[p], (main_way + 3) % 8 + 1)
+        settled = path | (receiver < 0)
+        for step, code in zip(self.offsets.tolist(), self.codes.tolist()):
+            q = p + step
+            side = (receiver[q] == p) & (q != main[p]) & ~stream[q]
+            turn = (code - down_way) % 8 < (main_way - down_way) % 8
+            root[q[side]], left[q[side]], settled[q[side]] = root[p[side]], turn[side], True
+            lefts += side & turn
+            rights += side & ~turn
+        left[p] = np.where(donors[p] > 1, lefts >= rights, lefts > rights)
+        end = self._ends(settled)
+        return root[end], left[end]
+
+
+def _island_rows(batches: Iterator[pa.RecordBatch], cols: int, xres: float, yres: float, thresholds: list[int], power: int) -> Iterator[pa.RecordBatch]:
+    """The flow table of one island from the batches of its cells, in batches."""
+    table = pa.Table.from_batches(batches)
+    cell = table["cell_id"].to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cell, island = cell[order], table["island"][0].as_py()
+    one = Island(cell, table["hydro_z"].to_numpy()[order], table["is_edge"].to_numpy()[order], cols, xres, yres)
+    del table, order
+    one.route()
+    one.accumulate(power)
+    one.receive()
+    at, levels = one.at, []
+    for threshold in thresholds:
+        stream = one.streams(threshold)
+        root, left = one.half_basins(stream)
+        levels.append((stream[at], root[at], left[at]))
+    cells = lambda p: pa.array(one.named(p), mask=p < 0)
+    for a in range(0, len(at), CHUNK):
+        p = at[a : a + CHUNK]
+        some = [[x[a : a + CHUNK] for x in level] for level in levels]
+        edge = pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(levels))
+        lists = lambda k, kind: pa.ListArray.from_arrays(edge, pa.array(np.stack([s[k] for s in some], axis=1).ravel() if some else np.empty(0, kind), type=pa.from_numpy_dtype(kind)))
+        for s in some:
+            s[1] = np.where(s[1] < 0, -1, one.named(s[1]))
+        columns = {
+            "cell_id": cell[a : a + CHUNK], "island": np.full(len(p), island, np.int64), "rank": one.rank[p].astype(np.int64), "astar_receiver": cells(one.astar[p]),
+            "receiver": cells(one.receiver[p]), "accumulation": one.flow[p], "static_ok": one.ok[p], "up_max": one.up[p], "outlet": cells(one.outlet[p]),
+            "streams": lists(0, np.dtype(bool)), "roots": lists(1, np.dtype(np.int64)), "lefts": lists(2, np.dtype(bool)),
+        }
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
 def flow(cells: DataFrame, grid: GridSpec, thresholds: list[int], *, power: int = 5, scale: float = SCALE, tile: int = _regions.TILE) -> DataFrame:
@@ -204,26 +367,10 @@ def flow(cells: DataFrame, grid: GridSpec, thresholds: list[int], *, power: int
     rows = marked.filter("valid = 1").select("cell_id", "hydro_z", "is_edge").join(islands, "cell_id")
     cols, xres, yres = grid.cols, grid.xres, grid.yres
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("cell_id")
-        one = Island(frame["cell_id"].to_numpy(), frame["hydro_z"].to_numpy(), frame["is_edge"].to_numpy(), cols, xres, yres)
-        one.route()
-        one.accumulate(power)
-        one.receive()
-        levels = [(s, *one.half_basins(s)) for s in map(one.streams, thresholds)]
-        named = lambda p: int(one.cell[p]) if p >= 0 else None
-        return pd.DataFrame({
-            "cell_id": frame["cell_id"], "island": frame["island"], "rank": [one.rank[p] for p in one.at],
-            "astar_receiver": pd.array([named(one.astar[p]) for p in one.at], dtype="Int64"),
-            "receiver": pd.array([named(one.receiver[p]) for p in one.at], dtype="Int64"),
-            "accumulation": [one.flow[p] for p in one.at], "static_ok": [one.ok[p] for p in one.at], "up_max": np.array([one.up[p] for p in one.at], np.float32),
-            "outlet": [named(one.outlet[p]) for p in one.at],
-            "streams": [[s[p] for s, _, _ in levels] for p in one.at],
-            "roots": [[named(root[p]) if root[p] >= 0 else 0 - 1 for _, root, _ in levels] for p in one.at],
-            "lefts": [[left[p] for _, _, left in levels] for p in one.at],
-        })
-
-    return rows.groupBy("island").applyInPandas(run, FLOW_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _island_rows(batches, cols, xres, yres, thresholds, power)
+
+    return rows.groupBy("island").applyInArrow(run, FLOW_SCHEMA)
 
 
 def half_basin_levels(flow_table: DataFrame, level: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 import sqlite3
 import struct
+import tracemalloc
 import zlib
 
 import duckdb
@@ -278,6 +279,28 @@ def test_routing_equals_a_naive_walk(spark, xres, yres):
         assert len(levels) == 2 * len(got)
 
 
+def test_one_large_island_takes_bounded_memory():
+    """A worker holds arrays of an island's cells, not Python objects: 8.5 million cells that touch are one island."""
+    rnd = np.random.default_rng(8)
+    rows, cols = 150, 200
+    z = (rnd.integers(0, 4_000, (rows, cols)) + 300 * np.add.outer(np.arange(rows), np.arange(cols))).ravel().astype(np.int32)
+    cell = np.arange(rows * cols)
+    edge = np.isin(cell // cols, (0, rows - 1)) | np.isin(cell % cols, (0, cols - 1))
+    tracemalloc.start()
+    try:
+        one = routing.Island(cell, z, edge, cols, 30.0, 30.0)
+        one.route()
+        one.accumulate(5)
+        one.receive()
+        for threshold in (30, 8, 2):
+            one.half_basins(one.streams(threshold))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert one.flow[one.at][edge].sum() == pytest.approx(len(cell))
+    assert peak < 300 * len(cell), peak / len(cell)
+
+
 def test_regions_across_tiles(spark):
     rnd = np.random.default_rng(3)
     z = rnd.integers(0, 3, (23, 31))
