@@ -443,20 +443,24 @@ def domains(flow_table: DataFrame, limit: int) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rank")
-        place = {cell: i for i, cell in enumerate(frame["cell_id"].tolist())}
-        down = [place.get(r, -1) if r is not None else -1 for r in (None if pd.isna(r) else int(r) for r in frame["receiver"])]
-        held, apart = [1] * len(down), [False] * len(down)
-        for i in range(len(down) - 1, -1, -1):
-            j = down[i]
-            apart[i] = j < 0 or held[i] >= limit or held[j] - 1 + held[i] > limit - 1
-            if not apart[i]:
-                held[j] += held[i]
-        piece, n = [0] * len(down), 0
-        for i, j in enumerate(down):
-            if apart[i]:
-                n += 1
-            piece[i] = n if apart[i] else piece[j]
-        return pd.DataFrame({"cell_id": frame["cell_id"], "island": frame["island"], "piece": piece})
+        cell, n = frame["cell_id"].to_numpy(), len(frame)
+        sorter = np.argsort(cell, kind="stable")
+        known = frame["receiver"].notna().to_numpy()
+        wanted = frame["receiver"].fillna(-1).to_numpy(np.int64)
+        near = sorter[np.minimum(np.searchsorted(cell, wanted, sorter=sorter), n - 1)]
+        down = np.where(known & (cell[near] == wanted), near, -1)
+        held, apart, below = array("q", bytes(8 * n)), bytearray(n), array("q", down.astype(np.int64).tobytes())
+        for i in range(n - 1, -1, -1):  # held counts what a cell's donors have added
+            mine, j = held[i] + 1, below[i]
+            if j < 0 or mine >= limit or held[j] + mine >= limit:
+                apart[i] = 1
+            else:
+                held[j] += mine
+        begins = np.frombuffer(apart, np.uint8) > 0
+        head = np.where(begins, np.arange(n), down)
+        while not np.array_equal(further := head[head], head):
+            head = further
+        return pd.DataFrame({"cell_id": cell, "island": frame["island"].to_numpy(), "piece": np.cumsum(begins)[head]})
 
     rows = flow_table.select("cell_id", "island", "rank", "receiver")
     return rows.groupBy("island").applyInPandas(run, "cell_id bigint, island bigint, piece bigint")
