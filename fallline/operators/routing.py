@@ -373,20 +373,20 @@ def flow(cells: DataFrame, grid: GridSpec, thresholds: list[int], *, power: int
     return rows.groupBy("island").applyInArrow(run, FLOW_SCHEMA)
 
 
-def half_basin_levels(flow_table: DataFrame, level: int | None = None) -> DataFrame:
+def half_basin_levels(flow_table: DataFrame, level: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """level (from 1), cell_id, stream and hb: pairs are numbered by their root cells, the left half 2k - 1 and the right 2k;
-    0 where no stream drains.  All levels, or one of them."""
+    0 where no stream drains.  All levels, or one of them; columns ``also`` of the flow table stay."""
     if level is None:
         zipped = F.arrays_zip("streams", "roots", "lefts")
-        cells = flow_table.select("cell_id", F.posexplode(zipped).alias("level", "x")).select((F.col("level") + 1).alias("level"), "cell_id", F.col("x.streams").alias("stream"), F.col("x.roots").alias("root"), F.col("x.lefts").alias("left"))
+        cells = flow_table.select("cell_id", *also, F.posexplode(zipped).alias("level", "x")).select((F.col("level") + 1).alias("level"), "cell_id", *also, F.col("x.streams").alias("stream"), F.col("x.roots").alias("root"), F.col("x.lefts").alias("left"))
     else:
-        cells = flow_table.select(F.lit(level).alias("level"), "cell_id", *[F.element_at(c, level).alias(c[:-1]) for c in ("streams", "roots", "lefts")])
+        cells = flow_table.select(F.lit(level).alias("level"), "cell_id", *also, *[F.element_at(c, level).alias(c[:-1]) for c in ("streams", "roots", "lefts")])
     roots = cells.filter("root >= 0").select("level", "root").distinct()
     numbered = _regions.number_rows(roots, ["level", "root"], "k")
     first = numbered.groupBy("level").agg((F.min("k") - 1).alias("before"))  # one row a level
     numbered = numbered.join(F.broadcast(first), "level").select("level", "root", (F.col("k") - F.col("before")).alias("k"))
     out = cells.join(numbered, ["level", "root"], "left")
-    return out.select("level", "cell_id", "stream", F.coalesce(2 * F.col("k") - F.col("left").cast("int"), F.lit(0)).cast("long").alias("hb"))
+    return out.select("level", "cell_id", "stream", F.coalesce(2 * F.col("k") - F.col("left").cast("int"), F.lit(0)).cast("long").alias("hb"), *also)
 
 
 def _pairs(cells: DataFrame, flow_table: DataFrame, grid: GridSpec) -> DataFrame:
