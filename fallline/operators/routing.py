@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fallline.grid import GridSpec
@@ -389,51 +389,64 @@ def half_basin_levels(flow_table: DataFrame, level: int | None = None, also: tup
     return out.select("level", "cell_id", "stream", F.coalesce(2 * F.col("k") - F.col("left").cast("int"), F.lit(0)).cast("long").alias("hb"), *also)
 
 
-def _pairs(cells: DataFrame, flow_table: DataFrame, grid: GridSpec) -> DataFrame:
-    """Every valid cell with each valid neighbour: place in LOOK's order, ranks, elevations and accumulations."""
-    rows = cells.select("cell_id", "r", "c", stencil.quantize(F.col("z")).alias("hz")).join(flow_table.select("cell_id", "rank", "accumulation"), "cell_id")
-    looks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, (dr, dc) in enumerate(LOOK)])
-    sent = rows.select(F.col("cell_id").alias("src"), "r", "c", F.col("hz").alias("src_z"), F.col("rank").alias("src_rank"), F.explode(looks).alias("o"))
-    sent = sent.select("src", "src_z", "src_rank", F.col("o.k").alias("k"), (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
-    there = rows.select("r", "c", F.col("cell_id").alias("dst"), F.col("hz").alias("dst_z"), F.col("rank").alias("dst_rank"), F.col("accumulation").alias("dst_acc"))
-    return sent.join(there, ["r", "c"])
+def _around(cells: DataFrame, flow_table: DataFrame) -> DataFrame:
+    """Every valid cell with its elevation, rank, routed receiver and accumulation, whether it is an edge cell, and ``pairs``: its valid
+    neighbours (place in LOOK's order, cell, elevation, rank, accumulation).
+
+    Neighbours come from windows along lines; cells that the table lacks above or below others are put in first, as diagonal
+    neighbours are seen past them.
+    """
+    flow = flow_table.select("cell_id", "rank", "accumulation", "astar_receiver")
+    rows = cells.select("cell_id", "r", "c", stencil.quantize(F.col("z")).alias("hz"), F.col("z").isNotNull().alias("valid")).join(flow, "cell_id", "left")
+    column = Window.partitionBy("c").orderBy("r")
+    above, below = F.lag("r").over(column), F.lead("r").over(column)
+    lacks = F.array_compact(F.array(F.when(F.coalesce(above < F.col("r") - 2, F.lit(True)), F.col("r") - 1), F.when(F.coalesce(below > F.col("r") + 1, F.lit(True)), F.col("r") + 1)))
+    gaps = cells.select("r", "c").select("c", lacks.alias("lacks")).select(F.explode("lacks").alias("r"), "c")
+    rows = rows.unionByName(gaps, allowMissingColumns=True)
+    own = F.struct(F.col("cell_id").alias("dst"), F.col("hz").alias("dst_z"), F.col("rank").alias("dst_rank"), F.col("accumulation").alias("dst_acc"), "valid")
+    rows = stencil.neighbours(rows, own, "around").filter("rank IS NOT NULL")
+    is_edge = ~F.forall("around", lambda x: F.coalesce(x["valid"], F.lit(False)))
+    place = F.array(*[F.lit(LOOK.index(d)) for d in stencil.AROUND])
+    pairs = F.filter(F.zip_with("around", place, lambda x, k: F.struct(k.alias("k"), *[x[n].alias(n) for n in ("dst", "dst_z", "dst_rank", "dst_acc")])), lambda x: x["dst_rank"].isNotNull())
+    return rows.select("cell_id", "hz", "rank", "accumulation", "astar_receiver", is_edge.alias("is_edge"), pairs.alias("pairs"))
 
 
 def mfd_weights(cells: DataFrame, flow_table: DataFrame, grid: GridSpec, power: int = 5) -> DataFrame:
     """src, dst and w: the shares of a cell's flow, as set operations on ranks."""
     diagonal = float(np.hypot(grid.xres, grid.yres))
-    length = F.when(F.col("k") < 2, grid.yres).when(F.col("k") < 4, grid.xres).otherwise(diagonal) * SCALE
-    edges = stencil.edge(cells).filter("is_edge").select(F.col("cell_id").alias("src"))
-    pairs = _pairs(cells, flow_table, grid).join(edges, "src", "left_anti").filter("dst_rank < src_rank")
-    fall = F.col("src_z") - F.col("dst_z")
-    raw = F.when(fall > 0, F.pow(fall / length, F.lit(power))).when(fall == 0, F.pow(0.5 / length, F.lit(power)))
-    pairs = pairs.select("src", "dst", raw.alias("raw")).join(flow_table.select(F.col("cell_id").alias("src"), "astar_receiver"), "src")
-    best = pairs.groupBy("src").agg(F.coalesce(F.max("raw"), F.lit(1.0)).alias("best"))
-    pairs = pairs.join(best, "src").withColumn("raw", F.when(F.col("raw").isNull() & (F.col("dst") == F.col("astar_receiver")), F.col("best")).otherwise(F.col("raw"))).filter("raw IS NOT NULL")
-    total = pairs.groupBy("src").agg(F.sum("raw").alias("total"))
-    return pairs.join(total, "src").select("src", "dst", (F.col("raw") / F.col("total")).alias("w"))
+
+    def raw(x: Column) -> Column:
+        length = F.when(x["k"] < 2, grid.yres).when(x["k"] < 4, grid.xres).otherwise(diagonal) * SCALE
+        fall = F.col("hz") - x["dst_z"]
+        return F.when(fall > 0, F.pow(fall / length, F.lit(power))).when(fall == 0, F.pow(0.5 / length, F.lit(power)))
+
+    rows = _around(cells, flow_table).filter("NOT is_edge")
+    lower = F.transform(F.filter("pairs", lambda x: x["dst_rank"] < F.col("rank")), lambda x: F.struct(x["dst"].alias("dst"), raw(x).alias("raw")))
+    rows = rows.select("cell_id", "astar_receiver", lower.alias("lower"))
+    rows = rows.withColumn("best", F.coalesce(F.array_max(F.transform("lower", lambda x: x["raw"])), F.lit(1.0)))
+    given = F.transform("lower", lambda x: F.struct(x["dst"].alias("dst"), F.when(x["raw"].isNull() & (x["dst"] == F.col("astar_receiver")), F.col("best")).otherwise(x["raw"]).alias("raw")))
+    rows = rows.select("cell_id", F.filter(given, lambda x: x["raw"].isNotNull()).alias("given"))
+    rows = rows.withColumn("total", F.aggregate("given", F.lit(0.0), lambda n, x: n + x["raw"]))
+    return rows.select(F.col("cell_id").alias("src"), "total", F.explode("given").alias("x")).select("src", F.col("x.dst").alias("dst"), (F.col("x.raw") / F.col("total")).alias("w"))
 
 
 def adjusted_receiver(cells: DataFrame, flow_table: DataFrame, grid: GridSpec) -> DataFrame:
     """cell_id and receiver: the lower-ranked neighbour of greatest accumulation if that beats the routed receiver's."""
-    edges = stencil.edge(cells).select("cell_id", "is_edge")
-    pairs = _pairs(cells, flow_table, grid).filter("dst_rank < src_rank")
-    best = pairs.groupBy(F.col("src").alias("cell_id")).agg(F.max_by(F.struct("dst", "dst_acc"), F.struct("dst_acc", -F.col("k"))).alias("b"))
-    own = flow_table.select(F.col("cell_id").alias("astar_receiver"), F.col("accumulation").alias("own_acc"))
-    out = flow_table.select("cell_id", "astar_receiver").join(own, "astar_receiver", "left").join(best, "cell_id", "left").join(edges, "cell_id")
-    better = ~F.col("is_edge") & (F.col("b.dst_acc") > F.coalesce("own_acc", F.lit(-1.0)))
-    return out.select("cell_id", F.when(better, F.col("b.dst")).otherwise(F.col("astar_receiver")).alias("receiver"))
+    rows = _around(cells, flow_table)
+    lower = F.filter("pairs", lambda x: x["dst_rank"] < F.col("rank"))
+    best = F.array_max(F.transform(lower, lambda x: F.struct(x["dst_acc"].alias("acc"), (-x["k"]).alias("k"), x["dst"].alias("dst"))))
+    # The routed receiver is a neighbour.
+    own = F.get(F.filter("pairs", lambda x: x["dst"] == F.col("astar_receiver")), F.lit(0))["dst_acc"]
+    rows = rows.select("cell_id", "astar_receiver", "is_edge", best.alias("b"), own.alias("own_acc"))
+    better = ~F.col("is_edge") & (F.col("b.acc") > F.coalesce("own_acc", F.lit(-1.0)))
+    return rows.select("cell_id", F.when(better, F.col("b.dst")).otherwise(F.col("astar_receiver")).alias("receiver"))
 
 
 def stream_tests(cells: DataFrame, flow_table: DataFrame, grid: GridSpec) -> DataFrame:
     """cell_id, static_ok and up_max as set operations."""
-    edges = stencil.edge(cells).select("cell_id", "is_edge")
-    pairs = _pairs(cells, flow_table, grid)
-    got = pairs.groupBy(F.col("src").alias("cell_id")).agg(
-        F.max((F.col("dst_rank") < F.col("src_rank")) & (F.col("dst_z") != F.col("src_z"))).alias("lower"),
-        F.max(F.when(F.col("dst_z") > F.col("src_z"), F.col("dst_acc") + 0.5)).alias("up"))
-    out = flow_table.select("cell_id").join(edges, "cell_id").join(got, "cell_id", "left")
-    return out.select("cell_id", (~F.col("is_edge") & F.coalesce("lower", F.lit(False))).alias("static_ok"), F.coalesce("up", F.lit(0.0)).cast("float").alias("up_max"))
+    lower = F.exists("pairs", lambda x: (x["dst_rank"] < F.col("rank")) & (x["dst_z"] != F.col("hz")))
+    up = F.array_max(F.transform(F.filter("pairs", lambda x: x["dst_z"] > F.col("hz")), lambda x: x["dst_acc"] + 0.5))
+    return _around(cells, flow_table).select("cell_id", (~F.col("is_edge") & lower).alias("static_ok"), F.coalesce(up, F.lit(0.0)).cast("float").alias("up_max"))
 
 
 def domains(flow_table: DataFrame, limit: int) -> DataFrame:

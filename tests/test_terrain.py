@@ -279,6 +279,26 @@ def test_routing_equals_a_naive_walk(spark, xres, yres):
         assert len(levels) == 2 * len(got)
 
 
+def test_set_forms_send_cells_and_not_pairs(spark):
+    """Rows are exchanged a cell, not a pair of neighbours; cells that touch at a corner only are neighbours, also in a table that
+    lacks the cells beside them."""
+    rnd = np.random.default_rng(6)
+    z = [[None if rnd.random() < 0.35 else int(v) for v in row] for row in rnd.integers(0, 30, (14, 17))]
+    cells, grid = table(spark, z)
+    flow = cut(routing.flow(cells, grid, [3]), "flow")
+    for some in (cells, cells.filter("z IS NOT NULL")):
+        assert {(r.cell_id, r.receiver) for r in routing.adjusted_receiver(some, flow, grid).collect()} == {(r.cell_id, r.receiver) for r in flow.collect()}
+        assert {(r.cell_id, r.static_ok, r.up_max) for r in routing.stream_tests(some, flow, grid).collect()} == {(r.cell_id, r.static_ok, r.up_max) for r in flow.collect()}
+        shares = routing.mfd_weights(some, flow, grid).groupBy("src").agg(F.round(F.sum("w"), 9).alias("total")).collect()
+        assert shares and {r.total for r in shares} == {1.0}
+        assert set(r.src for r in shares) == {r.cell_id for r in stencil.edge(cells).filter("z IS NOT NULL AND NOT is_edge").collect()}
+    for build in (routing.adjusted_receiver, routing.stream_tests, routing.mfd_weights):
+        plan = build(cells, flow, grid)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1, plan
+    plan = routing.half_basin_levels(flow, also=("outlet",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "outlet" in plan
+
+
 def test_one_large_island_takes_bounded_memory():
     """A worker holds arrays of an island's cells, not Python objects: 8.5 million cells that touch are one island."""
     rnd = np.random.default_rng(8)
