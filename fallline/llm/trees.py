@@ -8,12 +8,14 @@ may nest its elements as deep as it likes.
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
 
 from fallline.llm.html_tree import Node
 
-#: Trees whose children differ in more pairs than these are aligned greedily: each child with the next one of its label.
+#: Tables of more pairs of children than these are made by rows of arrays, of which some are kept and the others made again.
 PAIRS = 40_000
 #: A task starts afresh when it knows so many trees.
 LIMIT = 200_000
@@ -31,6 +33,46 @@ def runs(node: Node) -> list[tuple[str, list[Node]]]:
     return out
 
 
+class Rows:
+    """The table of :meth:`Trees._table` where it is wide: every so many rows one is kept, and those between are made again
+    from it when they are asked for, one stretch at a time."""
+
+    def __init__(self, value: Callable[[int, int], int], p: tuple[int, ...], q: tuple[int, ...]):
+        self.value, self.p = value, p
+        self.other, self.code = list(dict.fromkeys(q)), {}
+        number = {v: k for k, v in enumerate(self.other)}
+        self.at = np.array([number[v] for v in q])
+        self.every = max(1, math.isqrt(len(p)))
+        self.kept, row = [np.zeros(len(q) + 1, np.int64)], np.zeros(len(q) + 1, np.int64)
+        for i, u in enumerate(p, 1):
+            row = self._next(row, u)
+            if i % self.every == 0:
+                self.kept.append(row)
+        self.last, self.stretch, self.rows = row, -1, []
+
+    def _next(self, above: np.ndarray, u: int) -> np.ndarray:
+        if u not in self.code:
+            self.code[u] = np.array([self.value(u, v) for v in self.other])
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + self.code[u][self.at]), out=row[1:])
+        return row
+
+    def __len__(self) -> int:
+        return len(self.p) + 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i < 0 or i == len(self.p):
+            return self.last
+        stretch, k = divmod(i, self.every)
+        if k == 0:
+            return self.kept[stretch]
+        if stretch != self.stretch:
+            self.stretch, self.rows = stretch, [self.kept[stretch]]
+            for u in self.p[stretch * self.every : (stretch + 1) * self.every - 1]:
+                self.rows.append(self._next(self.rows[-1], u))
+        return self.rows[k]
+
+
 class Trees:
     def __init__(self):
         self.number: dict[tuple, int] = {}
@@ -109,24 +151,6 @@ class Trees:
         tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
         return head, tail
 
-    def _middle(self, x: int, y: int) -> tuple[int, int, list[tuple[int, int]] | None]:
-        """(equal beginning, equal end, greedy pairs of places where the middles are too wide for a table)."""
-        a, b = self.kids[x], self.kids[y]
-        head, tail = self._ends(a, b)
-        if (len(a) - head - tail) * (len(b) - head - tail) <= PAIRS:
-            return head, tail, None
-        where: dict[str, list[int]] = {}
-        for i in range(head, len(a) - tail):
-            where.setdefault(self.label[a[i]], []).append(i)
-        pairs, least = [], head
-        for j in range(head, len(b) - tail):
-            mine = where.get(self.label[b[j]], ())
-            k = bisect_left(mine, least)
-            if k < len(mine):
-                pairs.append((mine[k], j))
-                least = mine[k] + 1
-        return head, tail, pairs
-
     def _value(self, x: int, y: int) -> int:
         if x == y:
             return self.size[x]
@@ -144,23 +168,25 @@ class Trees:
                 stack.pop()
                 continue
             p, q = self.kids[x], self.kids[y]
-            head, tail, greedy = self._middle(x, y)
-            some = [(p[i], q[j]) for i, j in greedy] if greedy is not None else [
-                (u, v) for u in set(p[head : len(p) - tail]) for v in set(q[head : len(q) - tail]) if self.label[u] == self.label[v]]
+            head, tail = self._ends(p, q)
+            some = ((u, v) for u in set(p[head : len(p) - tail]) for v in set(q[head : len(q) - tail]) if self.label[u] == self.label[v])
             todo = [uv for uv in some if uv[0] != uv[1] and uv not in self.matched]
             if todo:
                 stack += todo
                 continue
-            inner = sum(self._value(u, v) for u, v in some) if greedy is not None else self._table(x, y, head, tail)[-1][-1]
+            inner = int(self._table(x, y, head, tail)[-1][-1])
             self.matched[x, y] = 1 + sum(self.size[k] for k in p[:head]) + sum(self.size[k] for k in p[len(p) - tail :]) + inner
             stack.pop()
         return self._value(a, b)
 
-    def _table(self, x: int, y: int, head: int, tail: int) -> list[list[int]]:
+    def _table(self, x: int, y: int, head: int, tail: int) -> list[list[int]] | Rows:
+        """Values of the best alignments of the first i and j children between the equal ends."""
         p, q = self.kids[x], self.kids[y]
-        q = q[head : len(q) - tail]
+        p, q = p[head : len(p) - tail], q[head : len(q) - tail]
+        if len(p) * len(q) > PAIRS:
+            return Rows(self._value, p, q)
         best = [[0] * (len(q) + 1)]
-        for u in p[head : len(p) - tail]:
+        for u in p:
             above, row = best[-1], [0]
             for j, v in enumerate(q):
                 row.append(max(row[j], above[j + 1], above[j] + self._value(u, v)))
@@ -178,17 +204,14 @@ class Trees:
         p, q = self.kids[x], self.kids[y]
         if p == q:
             return tuple(range(len(q)))
-        head, tail, greedy = self._middle(x, y)
+        head, tail = self._ends(p, q)
         out = [-1] * len(q)
         out[:head] = range(head)
         for k in range(1, tail + 1):
             out[-k] = len(p) - k
-        if greedy is not None:
-            for i, j in greedy:
-                out[j] = i
-            return tuple(out)
-        for u in p[head : len(p) - tail]:
-            for v in q[head : len(q) - tail]:
+        others = set(q[head : len(q) - tail])
+        for u in set(p[head : len(p) - tail]):
+            for v in others:
                 self.match(u, v)
         best = self._table(x, y, head, tail)
         i, j = len(best) - 1, len(best[0]) - 1

@@ -273,9 +273,6 @@ def _evidence(pages: DataFrame, marks: bool) -> DataFrame:
                 if not found:
                     continue
                 number = _hash("\n".join(t for _, t in page.content(own)))
-                if (host, number) in seen:
-                    continue
-                seen.add((host, number))
                 source = reader.trees.dump(shape[id(page.root)])
                 code = _hash(source)
                 if (host, None, code) not in seen:
@@ -285,6 +282,11 @@ def _evidence(pages: DataFrame, marks: bool) -> DataFrame:
                 for at, text, votes in found:
                     key = at, _hash(text)
                     rows[key] = rows.get(key, 0) + votes
+                # Only what says the same in every row is left out: which page comes first, and with which others, must not matter.
+                same = host, number, _hash(repr((code, sorted(rows.items()))))
+                if same in seen:
+                    continue
+                seen.add(same)
                 out += [(host, code, at, value, number, votes, None) for (at, value), votes in rows.items()]
             if len(seen) > 500_000:
                 seen.clear()
@@ -373,7 +375,8 @@ def induce(pages: DataFrame, *, marks: bool = True) -> DataFrame:
     """host, template (JSON), regions (places) and constants ("place value" strings) of every host."""
     evidence = cut(_evidence(pages, marks), "evidence")
     texts = evidence.filter("page IS NOT NULL")
-    counted = texts.select("host", "shape", "node", "value", "page", "votes").distinct().groupBy("host", "shape", "node", "value").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
+    # Pages of one text that differ elsewhere are one page, with all that any of them says.
+    counted = texts.groupBy("host", "shape", "node", "value", "page").agg(F.max("votes").alias("votes")).groupBy("host", "shape", "node", "value").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
     counted = cut(counted, "counted")
     per_shape = cut(texts.select("host", "shape", "page").distinct().groupBy("host", "shape").agg(F.count("*").alias("pages")), "shapes")
     pages_of = per_shape.groupBy("host").agg(F.sum("pages").alias("pages"))

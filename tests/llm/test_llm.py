@@ -875,6 +875,39 @@ def test_simple_tree_matching(monkeypatch):
         monkeypatch.undo()
 
 
+def test_wide_trees_are_aligned_like_narrow_ones(monkeypatch):
+    rnd = random.Random(14)
+
+    def number(t, n):
+        return t.make(n[0], tuple(number(t, k) for k in n[1]))
+
+    def some(n):
+        return "r", tuple((rnd.choice("xyz"), tuple((rnd.choice("uv"), ()) for _ in range(rnd.randint(0, 2)))) for _ in range(n))
+
+    for n, m in [(rnd.randint(1, 9), rnd.randint(1, 9)) for _ in range(200)] + [(90, 60)]:
+        a, b = some(n), some(m)
+        plain, wide = trees.Trees(), trees.Trees()
+        x, y = number(plain, a), number(plain, b)
+        expected = plain.match(x, y), plain.align(x, y), plain.dump(plain.merge(x, y))
+        monkeypatch.setattr(trees, "PAIRS", 3)
+        x, y = number(wide, a), number(wide, b)
+        assert (wide.match(x, y), wide.align(x, y), wide.dump(wide.merge(x, y))) == expected
+        monkeypatch.undo()
+
+
+def test_wrappers_do_not_depend_on_the_order_of_pages(spark):
+    """Pages of one article that differ beside it all count, whichever comes first in a partition."""
+    words_of = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    page = lambda k, side: f"<html><body><div><p>{side}</p></div><section><p>{words_of(k)}</p><p>{words_of(k + 100)}</p></section></body></html>"
+    rows = [(10 * k + i, f"http://h.example/{k}/{i}", page(k, side)) for k in range(10) for i, side in enumerate(("Spring offers", "Autumn offers"))]
+    found = []
+    for order in (rows, rows[::-1]):
+        pages = spark.createDataFrame(order, "page_id bigint, url string, html string").coalesce(1).withColumn("host", F.lit("h.example"))
+        (r,) = wrapper.induce(pages).collect()
+        found.append((r.template, r.regions, sorted(r.constants or ())))
+    assert found[0] == found[1] and len(found[0][2]) == 2
+
+
 # very long texts and clashing columns
 
 
