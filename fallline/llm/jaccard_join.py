@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fallline.components import connected_components
-from fallline.llm.rows import per_partition
+from fallline.llm.rows import OUT_ROWS, per_partition
 from fallline.llm.textblock import LOWER, Block, blocks, distinct_sorted, gram_hashes, mix, ranges, slice_hashes, words
 from fallline.runtime import broadcast_if_small, cut, temporary
 
@@ -216,8 +216,12 @@ def _agreeing(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.concatenate([[True], value[1:] != value[:-1]])
     head = node[np.maximum.accumulate(np.where(first, np.arange(len(value)), 0))]
     other = node != head
-    pairs = np.unique(np.stack([node[other], head[other]]), axis=1)
-    return order[first], pairs[0], pairs[1]
+    a, b = node[other], head[other]
+    del head, value
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    return order[first], a[new], b[new]
 
 
 _LINK = "key bigint, a bigint, b bigint, doc {kind}, text_hash bigint, n int, proof bigint"
@@ -244,8 +248,12 @@ def _candidates(docs: DataFrame, size: int, percent: int, key: str, text: str, s
             values.clear(), nodes.clear()
             waiting = 0
             head, a, b = _agreeing(value, node)
-            yield edges(node[head], None, value[head].view(np.int64), doc_type)
-            yield edges(a, b, a, doc_type)
+            value, node = value[head].view(np.int64), node[head]
+            # Seven columns of all of them at once would take more than the signatures themselves.
+            for first in range(0, len(node), OUT_ROWS):
+                yield edges(node[first : first + OUT_ROWS], None, value[first : first + OUT_ROWS], doc_type)
+            for first in range(0, len(a), OUT_ROWS):
+                yield edges(a[first : first + OUT_ROWS], b[first : first + OUT_ROWS], a[first : first + OUT_ROWS], doc_type)
 
         for batch in batches:
             doc_type = batch.schema.field("doc").type

@@ -908,6 +908,20 @@ def test_wrappers_do_not_depend_on_the_order_of_pages(spark):
     assert found[0] == found[1] and len(found[0][2]) == 2
 
 
+def test_signatures_leave_in_small_batches(spark, monkeypatch):
+    """A task does not hold all columns of all its signatures at once."""
+    found = []
+    monkeypatch.setattr(jaccard_join, "hot_shingles", lambda *_: np.empty(0, np.uint64))
+    monkeypatch.setattr(jaccard_join, "OUT_ROWS", 50, raising=False)
+    monkeypatch.setattr(jaccard_join, "per_partition", lambda df, function, schema, owner=None: found.append(function) or spark.createDataFrame([], schema))
+    docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    jaccard_join._candidates(docs, 3, 80, "doc_id", "text")
+    texts = [" ".join(f"w{i + k}" for i in range(60)) for k in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(40)), "text": texts, "text_hash": list(range(40))})
+    sizes = [len(out["a"]) for out in found[0](iter([batch]))]
+    assert max(sizes) <= 50 and sum(sizes) > 200
+
+
 # very long texts and clashing columns
 
 
