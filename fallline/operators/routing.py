@@ -32,13 +32,22 @@ NORTH_SOUTH = (0, 1, 2, 3, 3, 2, 3, 2)
 DIRECTION = {(-1, 1): 1, (-1, 0): 2, (-1, -1): 3, (0, -1): 4, (1, -1): 5, (1, 0): 6, (1, 1): 7, (0, 1): 8}
 
 SCALE = 1000.0
-#: Cells whose neighbours are looked up, or whose rows are sent, at once.
-CHUNK = 262_144
+#: Cells whose neighbours are looked up, or that are packed, at once; cells that travel as one row; rows that are sent at once.
+CHUNK, PACK, UNPACKED = 262_144, 16_384, 65_536
 FLOW_SCHEMA = (
     "cell_id bigint, island bigint, rank bigint, astar_receiver bigint, receiver bigint, accumulation double, static_ok boolean, "
     "up_max float, outlet bigint, streams array<boolean>, roots array<bigint>, lefts array<boolean>"
 )
 
+# Cells on the way to an island's task, and its results, by block; None is the type of places in the island's box.
+PACKED = {"cell_id": np.int64, "hydro_z": np.int32, "is_edge": np.bool_}
+PACKED_SCHEMA = "island bigint, " + ", ".join(f"{k} binary" for k in PACKED)
+FLOW_BLOCKS = {
+    "cell_id": None, "rank": None, "astar_receiver": None, "receiver": None, "accumulation": np.float64, "static_ok": np.bool_, "up_max": np.float32,
+    "outlet": None, "streams": np.bool_, "roots": None, "lefts": np.bool_,
+}
+FLOW_BLOCKS_SCHEMA = "island bigint, box binary, " + ", ".join(f"{k} binary" for k in FLOW_BLOCKS)
+
 
 class Island:
     """One island in a box padded by invalid cells, so that neighbours are plain index offsets.
@@ -327,14 +336,45 @@ class Island:
         return root[end], left[end]
 
 
+def _blocks(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the values between every two cuts."""
+    ends = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells as rows of PACKED_SCHEMA, each up to PACK cells of an island."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        island = table["island"].to_numpy()
+        order = np.argsort(island, kind="stable")
+        island = island[order]
+        first = np.flatnonzero(np.diff(island, prepend=island[0] - 1))
+        at = np.arange(len(island))
+        cuts = np.flatnonzero((at - np.repeat(first, np.diff(first, append=len(at)))) % PACK == 0)
+        columns = [_blocks(table[k].to_numpy()[order].astype(kind), np.append(cuts, len(at))) for k, kind in PACKED.items()]
+        return pa.RecordBatch.from_arrays([pa.array(island[cuts]), *columns], names=["island", *PACKED])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
 def _island_rows(batches: Iterator[pa.RecordBatch], cols: int, xres: float, yres: float, thresholds: list[int], power: int) -> Iterator[pa.RecordBatch]:
-    """The flow table of one island from the batches of its cells, in batches."""
+    """Blocks of the flow table of one island (see FLOW_BLOCKS) from the blocks of its cells; cells are places in its box."""
     table = pa.Table.from_batches(batches)
-    cell = table["cell_id"].to_numpy()
+    cell, z, edge = (np.frombuffer(b"".join(table[k].to_pylist()), kind) for k, kind in PACKED.items())
     order = np.argsort(cell, kind="stable")
-    cell, island = cell[order], table["island"][0].as_py()
-    one = Island(cell, table["hydro_z"].to_numpy()[order], table["is_edge"].to_numpy()[order], cols, xres, yres)
-    del table, order
+    island = table["island"][0].as_py()
+    one = Island(cell[order], z[order], edge[order], cols, xres, yres)
+    del table, cell, z, edge, order
     one.route()
     one.accumulate(power)
     one.receive()
@@ -343,34 +383,69 @@ def _island_rows(batches: Iterator[pa.RecordBatch], cols: int, xres: float, yres
         stream = one.streams(threshold)
         root, left = one.half_basins(stream)
         levels.append((stream[at], root[at], left[at]))
-    cells = lambda p: pa.array(one.named(p), mask=p < 0)
-    for a in range(0, len(at), CHUNK):
-        p = at[a : a + CHUNK]
-        some = [[x[a : a + CHUNK] for x in level] for level in levels]
-        edge = pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(levels))
-        lists = lambda k, kind: pa.ListArray.from_arrays(edge, pa.array(np.stack([s[k] for s in some], axis=1).ravel() if some else np.empty(0, kind), type=pa.from_numpy_dtype(kind)))
-        for s in some:
-            s[1] = np.where(s[1] < 0, -1, one.named(s[1]))
-        columns = {
-            "cell_id": cell[a : a + CHUNK], "island": np.full(len(p), island, np.int64), "rank": one.rank[p].astype(np.int64), "astar_receiver": cells(one.astar[p]),
-            "receiver": cells(one.receiver[p]), "accumulation": one.flow[p], "static_ok": one.ok[p], "up_max": one.up[p], "outlet": cells(one.outlet[p]),
-            "streams": lists(0, np.dtype(bool)), "roots": lists(1, np.dtype(np.int64)), "lefts": lists(2, np.dtype(bool)),
-        }
-        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
+    box = np.array([one.width, one.r0, one.c0, one.kind.itemsize], np.int64).tobytes()
+    for a in range(0, len(at), PACK):
+        p = at[a : a + PACK]
+        columns = [p, one.rank[p], one.astar[p], one.receiver[p], one.flow[p], one.ok[p], one.up[p], one.outlet[p]]
+        # Level by level.
+        columns += [np.concatenate([x[k][a : a + PACK] for x in levels]) if levels else np.empty(0, bool) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array([island]), pa.array([box]), *[pa.array([x.tobytes()]) for x in columns]], names=["island", "box", *FLOW_BLOCKS])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], cols: int, levels: int) -> Iterator[pa.RecordBatch]:
+    """Rows of FLOW_SCHEMA from blocks of islands."""
+    names = [x.split()[0] for x in FLOW_SCHEMA.split(", ")]
+
+    def rows(block: dict) -> dict[str, np.ndarray]:
+        width, r0, c0, size = np.frombuffer(block["box"], np.int64).tolist()
+        place = np.dtype(f"i{size}")
+        out = {k: np.frombuffer(block[k], kind or place) for k, kind in FLOW_BLOCKS.items()}
+        n = len(out["cell_id"])
+        for k in ("cell_id", "astar_receiver", "receiver", "outlet", "roots"):
+            p = out[k].astype(np.int64)
+            out[k] = np.where(p < 0, -1, (p // width + r0) * cols + p % width + c0)
+        for k in ("streams", "roots", "lefts"):
+            out[k] = out[k].reshape(levels, n).T.ravel()
+        return out | {"rank": out["rank"].astype(np.int64), "island": np.full(n, block["island"], np.int64)}
+
+    def batch(some: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        columns = {k: np.concatenate([x[k] for x in some]) for k in names}
+        edge = pa.array(np.arange(len(columns["cell_id"]) + 1, dtype=np.int32) * np.int32(levels))
+        arrays = [pa.array(x, mask=x < 0) if k in ("astar_receiver", "receiver", "outlet") else pa.array(x) for k, x in columns.items()]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edge, x) if k in ("streams", "roots", "lefts") else x for k, x in zip(names, arrays)], names=names)
+
+    some, n = [], 0
+    for blocks in batches:
+        for k in range(blocks.num_rows):
+            some.append(rows(blocks.slice(k, 1).to_pylist()[0]))
+            n += len(some[-1]["cell_id"])
+            if n >= UNPACKED:
+                yield batch(some)
+                some, n = [], 0
+    if some:
+        yield batch(some)
 
 
 def flow(cells: DataFrame, grid: GridSpec, thresholds: list[int], *, power: int = 5, scale: float = SCALE, tile: int = _regions.TILE) -> DataFrame:
-    """The flow table: see FLOW_SCHEMA; the arrays have an entry for each threshold."""
-    ship(cells.sparkSession)
+    """The flow table: see FLOW_SCHEMA; the arrays have an entry for each threshold.
+
+    An island's task receives and sends blocks of bytes, which all tasks make and open: what it does alone is the kernel.
+    """
+    spark = cells.sparkSession
+    ship(spark)
     marked = stencil.edge(cells).withColumn("hydro_z", stencil.quantize(F.col("z"), scale)).withColumn("valid", F.col("z").isNotNull().cast("int"))
     islands = _regions.regions(marked, grid, "valid", diagonal=True, tile=tile).withColumnRenamed("region", "island")
     rows = marked.filter("valid = 1").select("cell_id", "hydro_z", "is_edge").join(islands, "cell_id")
-    cols, xres, yres = grid.cols, grid.xres, grid.yres
+    cols, xres, yres, levels = grid.cols, grid.xres, grid.yres, len(thresholds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _island_rows(batches, cols, xres, yres, thresholds, power)
 
-    return rows.groupBy("island").applyInArrow(run, FLOW_SCHEMA)
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _unpack(batches, cols, levels)
+
+    done = rows.mapInArrow(_pack, PACKED_SCHEMA).groupBy("island").applyInArrow(run, FLOW_BLOCKS_SCHEMA)
+    return done.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(unpack, FLOW_SCHEMA)
 
 
 def half_basin_levels(flow_table: DataFrame, level: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:

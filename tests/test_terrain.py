@@ -10,6 +10,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,6 +323,45 @@ def test_one_large_island_takes_bounded_memory():
     assert peak < 300 * len(cell), peak / len(cell)
 
 
+def test_islands_travel_in_blocks(spark, monkeypatch):
+    """An island's task gets and gives blocks of cells, not a row a cell; cells come back whole and in their islands, in whatever batches."""
+    rnd = np.random.default_rng(10)
+    z = [[None if rnd.random() < 0.3 else int(v) for v in row] for row in rnd.integers(0, 40, (12, 19))]
+    cells, grid = table(spark, z)
+    plan = routing.flow(cells, grid, [3])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and plan.count("MapInArrow") == 2, plan
+    islands = {r.cell_id: r.island for r in routing.flow(cells, grid, [3]).collect()}
+    edge = {r.cell_id: r.is_edge for r in stencil.edge(cells).collect()}
+    height = {r * grid.cols + c: v * 1000 for r, row in enumerate(z) for c, v in enumerate(row) if v is not None}
+    assert set(islands) == set(height)
+    order = rnd.permutation(sorted(height)).tolist()
+    rows = pa.table({"cell_id": pa.array(order, pa.int64()), "hydro_z": pa.array([height[c] for c in order], pa.int32()),
+                     "is_edge": [edge[c] for c in order], "island": pa.array([islands[c] for c in order], pa.int64())})
+    found = []
+    for chunk, pack, size in ((routing.CHUNK, routing.PACK, 1_000), (40, 7, 16), (1, 1, 5)):
+        monkeypatch.setattr(routing, "CHUNK", chunk)
+        monkeypatch.setattr(routing, "PACK", pack)
+        monkeypatch.setattr(routing, "UNPACKED", chunk)
+        packed = pa.Table.from_batches(routing._pack(iter(rows.to_batches(size))))
+        assert max(len(x) for x in packed["cell_id"].to_pylist()) <= 8 * pack
+        got = []
+        for island in sorted(set(islands.values())):
+            mine = packed.filter(pa.compute.equal(packed["island"], island))
+            blocks = routing._island_rows(iter(mine.to_batches()), grid.cols, 30.0, 30.0, [6, 3], 5)
+            got += [r for b in routing._unpack(blocks, grid.cols, 2) for r in b.to_pylist()]
+        found.append(sorted(got, key=lambda r: r["cell_id"]))
+    assert found[0] == found[1] == found[2]
+    assert {r["cell_id"]: r["island"] for r in found[0]} == islands
+
+
+def test_routing_check_makes_no_half_basins(spark, monkeypatch):
+    """It asks for ranks, receivers and accumulation only."""
+    asked, real = [], routing.flow
+    monkeypatch.setattr(routing, "flow", lambda cells, grid, thresholds, **k: asked.append(thresholds) or real(cells, grid, thresholds, **k))
+    row = terrain.routing_check(spark, SF).first()
+    assert asked == [[]] and row.bad_receivers == 0 and row.edge_flow == row.visited > 0
+
+
 def test_regions_across_tiles(spark):
     rnd = np.random.default_rng(3)
     z = rnd.integers(0, 3, (23, 31))
