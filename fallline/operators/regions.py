@@ -147,7 +147,7 @@ def clean(labels: DataFrame, grid: GridSpec, clean_size_m2: float, *, method: st
     kept = raw.filter("raw > 0").groupBy("raw").agg(F.count("*").alias("n")).filter(F.col("n") * grid.cell_area > clean_size_m2).select("raw")
     work = raw.join(kept.withColumn("keep", F.lit(True)), "raw", "left").select(
         "cell_id", "r", "c", "raw", F.when(F.col("keep"), F.col("raw")).otherwise(0).alias("label"), (F.col("raw") > 0).alias("target"))
-    work = cut(stencil.grow(work, radius), "cleaned")
+    work = cut(stencil.grow(cut(work, "kept"), radius), "cleaned")
     if method == "quick":
         work = cut(stencil.interior(work), "interior")
         step, done = max(8, min(64, 2 * radius)), 0

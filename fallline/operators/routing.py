@@ -448,14 +448,19 @@ def flow(cells: DataFrame, grid: GridSpec, thresholds: list[int], *, power: int
     return done.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(unpack, FLOW_SCHEMA)
 
 
-def half_basin_levels(flow_table: DataFrame, level: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+def half_basin_levels(flow_table: DataFrame, level: int | None = None, also: tuple[str, ...] = (), *, dense: bool = True) -> DataFrame:
     """level (from 1), cell_id, stream and hb: pairs are numbered by their root cells, the left half 2k - 1 and the right 2k;
-    0 where no stream drains.  All levels, or one of them; columns ``also`` of the flow table stay."""
+    0 where no stream drains.  All levels, or one of them; columns ``also`` of the flow table stay.
+
+    Where numbers need to tell half-basins apart only, and not be ``dense``, k is the root cell plus 1: nothing is sorted or joined."""
     if level is None:
         zipped = F.arrays_zip("streams", "roots", "lefts")
         cells = flow_table.select("cell_id", *also, F.posexplode(zipped).alias("level", "x")).select((F.col("level") + 1).alias("level"), "cell_id", *also, F.col("x.streams").alias("stream"), F.col("x.roots").alias("root"), F.col("x.lefts").alias("left"))
     else:
         cells = flow_table.select(F.lit(level).alias("level"), "cell_id", *also, *[F.element_at(c, level).alias(c[:-1]) for c in ("streams", "roots", "lefts")])
+    if not dense:
+        hb = F.when(F.col("root") >= 0, 2 * (F.col("root") + 1) - F.col("left").cast("int")).otherwise(F.lit(0))
+        return cells.select("level", "cell_id", "stream", hb.cast("long").alias("hb"), *also)
     roots = cells.filter("root >= 0").select("level", "root").distinct()
     numbered = _regions.number_rows(roots, ["level", "root"], "k")
     first = numbered.groupBy("level").agg((F.min("k") - 1).alias("before"))  # one row a level

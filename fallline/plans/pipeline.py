@@ -45,8 +45,8 @@ class SlopeUnits:
 
     With a ``work`` folder every stage is a table there, under a key of all that decides it, and a later run with the same
     settings reads what an earlier one finished, also where that was stopped; ``restart`` builds everything anew.  ``storage``
-    says whether half-basins of all levels are written at once (``all``) or made level by level from the flow table
-    (``stream``); ``auto`` decides by the space that they need and the folder has.
+    says whether half-basins of all levels are written at once (``all``) or read level by level from the flow table, which
+    holds them (``stream``); ``auto`` is the latter in a lazy run, and else decides by the space that they need and the folder has.
     """
 
     def __init__(self, settings: Settings | None = None, *, work: str | None = None, source: str = "", restart: bool = False, storage: str = "auto", tile: int = regions.TILE):
@@ -67,9 +67,10 @@ class SlopeUnits:
         s, spark = self.settings, cells.sparkSession
         levels = threshold_schedule(s.threshold_m2, grid.cell_area, s.reduction_factor, s.max_iterations)
         flow = self._stage(grid, "flow", lambda: routing.flow(cells, grid, [x.cells for x in levels], power=s.convergence, scale=s.hydro_scale, tile=self.tile), spark)
-        if candidate_storage(grid, len(levels), free_bytes(spark), self.storage, mode == "materialized") == "stream":
-            return flow, lambda k: routing.half_basin_levels(flow, k).select("cell_id", "hb"), len(levels)
-        return flow, self._stage(grid, "half_basins", lambda: routing.half_basin_levels(flow), spark), len(levels)
+        storage = "stream" if self.storage == "auto" and mode == "lazy" else self.storage
+        if candidate_storage(grid, len(levels), free_bytes(spark), storage, mode == "materialized") == "stream":
+            return flow, lambda k: routing.half_basin_levels(flow, k, dense=False).select("cell_id", "hb"), len(levels)
+        return flow, self._stage(grid, "half_basins", lambda: routing.half_basin_levels(flow, dense=False), spark), len(levels)
 
     def segment(self, cells: DataFrame, levels: DataFrame | Callable[[int], DataFrame], count: int, grid: GridSpec, *, mode: str = "lazy") -> DataFrame:
         """cell_id and clump of every valid cell, before cleaning."""

@@ -401,6 +401,52 @@ def test_lazy_and_materialized_agree(spark):
     assert one == two and len(one) == 360
 
 
+@pytest.mark.parametrize("radius,tile", [(3, 5), (4.5, 4), (7, 3), (2, 512)])
+def test_growth_in_tiles_equals_a_search(spark, radius, tile):
+    """Labels come from other tiles too, ties go to the smallest row, then column, and a gap sends one row and not one for every line."""
+    rnd = np.random.default_rng(11)
+    z = rnd.choice([0, 0, 0, 0, 0, 0, 1, 2, 7], (17, 23)) * (rnd.random((17, 23)) < 0.5)
+    z[5:14, 6:20] = 0
+    cells, grid = table(spark, z)
+    target = rnd.random(z.shape) < 0.9
+    flags = spark.createDataFrame([(i, bool(v)) for i, v in enumerate(target.ravel())], "cell_id bigint, target boolean")
+    labels = cells.withColumn("label", F.col("z").cast("int")).join(flags, "cell_id")
+    out = stencil.grow(labels, radius, tile=tile)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate") == 2, plan
+    assert out.schema["label"].dataType == labels.schema["label"].dataType
+    seeds = [(r, c) for r, c in itertools.product(range(17), range(23)) if z[r, c] > 0]
+    for row in out.collect():
+        r, c = row.r, row.c
+        near = [((a - r) ** 2 + (b - c) ** 2, a, b) for a, b in seeds if (a - r) ** 2 + (b - c) ** 2 <= radius * radius]
+        wanted = z[r, c] if z[r, c] > 0 or not target[r, c] or not near else z[min(near)[1:]]
+        assert row.label == wanted, (r, c)
+    assert out.count() == 17 * 23
+
+
+def test_a_lazy_run_reads_half_basins_from_the_flow_table(spark, tmp_path):
+    """No table of all levels is written for it, and telling half-basins apart takes neither a sort nor a join."""
+    rnd = np.random.default_rng(12)
+    cells, grid = table(spark, rnd.integers(0, 30, (18, 20)))
+    settings = Settings(threshold_m2=20_000, min_area_m2=9_000, cv_min=0.2)
+    got = {}
+    for storage in ("auto", "all"):
+        out = SlopeUnits(settings, work=str(tmp_path / storage), storage=storage).run(cells, grid)
+        got[storage] = {r.cell_id: (r.raw_unit, r.unit) for r in out.collect()}
+        made = {p.name for p in (tmp_path / storage).glob("*/*")}
+        assert ("half_basins" in made) == (storage == "all") and "flow" in made
+    assert got["auto"] == got["all"] and len(set(got["auto"].values())) > 1
+    flow = spark.read.parquet(str(next((tmp_path / "auto").glob("*/flow"))))
+    apart = routing.half_basin_levels(flow, dense=False)
+    assert "Join" not in apart._jdf.queryExecution().optimizedPlan().toString()
+    sets = [{}, {}]
+    for found, one in zip(sets, (apart, routing.half_basin_levels(flow))):
+        for r in one.collect():
+            found.setdefault((r.level, r.hb), set()).add((r.cell_id, r.stream))
+    assert {k[0] for k, v in sets[0].items() if k[1] == 0} == {k[0] for k, v in sets[1].items() if k[1] == 0}
+    assert sorted(map(sorted, sets[0].values())) == sorted(map(sorted, sets[1].values()))
+
+
 def test_clean_and_sinks(spark, tmp_path):
     rnd = np.random.default_rng(2)
     cells, grid = table(spark, rnd.integers(1, 4, (12, 12)))
